@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tidemark.llm.substring_dedup import op3_substring_dedup
+from tidemark.llm.suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_substring_dedup,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
