@@ -112,6 +112,7 @@ def scan(plan: Plan):
             seed, ctx, doc, rk, s0, s1 = (c[o] for c in cols)
             later = _repeats(plan, seed, ctx, doc, rk, s0)[2]
             kind = np.where(later, REPEAT, SEED)
+            seed = np.where(later, rk.view(np.uint64), seed)  # a repeat only passes through, so any task may have it
             for i in range(0, len(seed), 100_000):
                 j = slice(i, i + 100_000)
                 yield _batch(seed[j], ctx[j], doc[j], rk[j], s0[j], s1[j], kind[j])
