@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import op10_chat_formatting
+from tidemark.llm.embeddings import op5_embedding_dedup
 from tidemark.llm.language import op8_language_id
 from tidemark.llm.packing import op6_best_fit_packing
 from tidemark.llm.quality import op1_quality_classifier
@@ -10,7 +12,7 @@ from tidemark.llm.suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op6_best_fit_packing, op8_language_id, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op5_embedding_dedup, op6_best_fit_packing, op8_language_id, op9_suffix_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict:
