@@ -65,12 +65,12 @@ def chunks(off: np.ndarray, size: int = 0):
         i = j
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and the rows' offsets into them; off begins at 0."""
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, by default [^\\x20\\x09-\\x0D]+, and the rows' offsets into them; off begins at 0."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     first = solid.copy()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import op10_chat_formatting
+from tidemark.llm.decontamination import op2_benchmark_decontamination
 from tidemark.llm.embeddings import op5_embedding_dedup
 from tidemark.llm.jaccard_join import op7_ngram_jaccard_join
 from tidemark.llm.language import op8_language_id
@@ -13,7 +14,7 @@ from tidemark.llm.suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op5_embedding_dedup, op6_best_fit_packing, op7_ngram_jaccard_join, op8_language_id, op9_suffix_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_substring_dedup, op5_embedding_dedup, op6_best_fit_packing, op7_ngram_jaccard_join, op8_language_id, op9_suffix_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict:
