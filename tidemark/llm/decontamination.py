@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import kernels as K
 from tidemark.llm.common import arrow_rows, table
@@ -92,6 +93,7 @@ class Items:
         off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         values, begin, n = word_values(np.frombuffer(b"".join(data), np.uint8), off, 2 * window)
         self.ids = [i for i, _ in rows]
+        self.kind = pa.array([i for i in self.ids if i is not None][:1] or [0]).type
         self.words = [values[b : b + k] for b, k in zip(begin, n, strict=True)]
         long = [i for i, k in enumerate(n) if k >= exact]
         # so that one of the document's windows stands at a place of the item whatever the shift
@@ -127,8 +129,8 @@ class Items:
 FOUND = "item int, start int, stop int, edits int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 8, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id and matches array<struct<item_id, start, stop, edits>> of each row of docs.
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 8, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, rest (struct of the columns of keep), matches array<struct<item_id, start, stop, edits>> of each row of docs.
 
     An item matches where its word edit distance to a part of the document is at most tolerance times its words.
     start and stop count the document's words. block_bytes: benchmark text sent to the tasks at once.
@@ -139,14 +141,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kind = dict(items.dtypes)["item_id"]
-    own = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    matched = f"array<struct<item_id:{kind},start:int,stop:int,edits:int>>"
+    rest = F.struct(*(F.col(c) for c in keep) or (F.lit(0).alias("none"),)).alias("rest")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), rest)
+    schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"matches array<struct<item_id:{kind},start:int,stop:int,edits:int>>")])
     for n in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()  # about block_bytes
         index = Items([(r[0], r[1]) for r in part], window, exact, repetitions, picked, stride)
-        rows = rows.mapInArrow(_find(index, tolerance, stride), f"doc_id {own}, text string, matches {matched}")
-    return rows.select("doc_id", "text", "matches")
+        rows = rows.mapInArrow(_find(index, tolerance, stride), schema)
+    return rows
 
 
 def _find(index: Items, tolerance: float, stride: int):
@@ -185,9 +187,10 @@ def _find(index: Items, tolerance: float, stride: int):
                         s = p - int(begin[r])
                         if s + k <= n[r]:
                             found[i + r] += [{"item_id": index.ids[it], "start": s, "stop": s + k, "edits": 0} for it in table_[int(g[p])]]
-            kind = pa.array([x for x in index.ids if x is not None][:1]).type if any(x is not None for x in index.ids) else pa.int64()
+            kind = b.schema.field("matches").type.value_type.field("item_id").type if "matches" in b.schema.names else index.kind
             struct = pa.list_(pa.struct([("item_id", kind), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, pa.array(found, struct)], names=["doc_id", "text", "matches"])
+            names = ["doc_id", "text", "rest"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, struct)], names=[*names, "matches"])
 
     return run
 

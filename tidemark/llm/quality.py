@@ -210,5 +210,22 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
     return classify(stats, model, threshold).select(doc_id, held_out.alias("held_out"), "score", "predicted")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, as they are, that the classifier does not reject; it learns as in quality_classifier."""
+    stats = document_statistics(docs, text, doc_id)
+    known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held, F.lit(False))
+    model = fit(materialize(stats.where(~held_out).join(known, doc_id).select("stats", "label"), "labelled"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, raw = K.texts(b.column(text))
+            for i, j in K.chunks(off):
+                score = model.score(statistics(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
+                yield b.slice(i, j - i).filter(pa.array(score >= threshold))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
