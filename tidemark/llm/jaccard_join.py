@@ -10,7 +10,7 @@ further: partners' sizes have a ratio of t at least.
 Within a region documents are pivots: all members are compared to the region's pivot (the member with the smallest
 hash, so overlapping regions agree on it). Members linked to it are one component. What is left of a region are pairs
 of different components whose distances to the pivot differ by at most 1 - t; the region goes on to the next round
-with up to `pivots` of the members outside the first component as new pivots, until no pair is left. Comparisons are
+with up to `pivots` members of the first component and as many outside it as new pivots, until no pair is left. Comparisons are
 exact, on texts that stream past the pivot's set.
 
 Equal sets are one node from the start. Defined results: null text and text without words have no shingles and link
@@ -192,31 +192,33 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     some = signed.where("n > 0")
     rows = some.select(F.explode("pivots").alias("token"), "fp", "n").repartition(parts, "token")
     regions = materialize(rows.mapInArrow(_regions(t), "rid long, fp long, pivot long").distinct(), "regions")
-    texts = some.groupBy("fp").agg(F.min("rk").alias("rk"))  # one row's text for each set
+    # one row's text for each set that shares a region
+    owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(regions.select("fp").distinct(), "fp")
+    texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners, "rk").select("fp", "text"), "texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         """pairs(fp, pivot) with both, either, and linked."""
-        wanted = pairs.unionAll(pairs.select(F.col("pivot").alias("fp"), "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
-        sent = named.select("rk", "text").join(wanted.join(texts, "fp"), "rk").select("fp", F.explode("pivots").alias("pivot"), "text")
+        wanted = pairs.unionAll(pairs.select("pivot", "pivot").toDF("fp", "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
+        sent = texts.join(wanted, "fp").select("fp", F.explode("pivots").alias("pivot"), "text")
         sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("fp") != F.col("pivot"))
-        return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").distinct().withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
+        return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
 
     known = materialize(compare(regions.where("fp <> pivot").select("fp", "pivot").distinct()), "compared")
-    links = known.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    found = components(links)
+    links = lambda t: t.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    found = components(links(known))
     # distance to the region's first pivot; the pivot's is 0
     far = F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / F.col("either"))
     left = regions.join(known.select("fp", "pivot", "both", "either"), ["fp", "pivot"], "left").select("rid", "fp", far.alias("far"), (F.col("fp") == F.col("pivot")).alias("done"))
     slack = float(1 - t) + 1e-9
     while True:
         now = left.join(found, F.col("fp") == F.col("node"), "left").select("rid", "fp", "far", "done", F.coalesce("component", "fp").alias("component"))
-        # open regions: two components, and a member that was no pivot yet
-        open_ = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("done")).alias("n"))
-        open_ = open_.where("low < high and n > 1").select("rid")
+        # open regions: two components, and two members that were no pivots yet
+        open_ = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("done")).alias("n")).where("low < high and n > 1").select("rid")
         now = now.join(open_, "rid", "left_semi")
         left = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack), "rid long, fp long, far double, done boolean, pivot array<long>"), "open")
-        pairs = left.select("fp", F.explode("pivot").alias("pivot")).distinct()
-        pairs = materialize(pairs.join(known, ["fp", "pivot"], "left_anti").join(known.select(F.col("fp").alias("pivot"), F.col("pivot").alias("fp")), ["fp", "pivot"], "left_anti"), "pairs")
+        pairs = left.select(F.explode("pivot").alias("pivot"), "fp").select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot")).distinct()
+        seen = known.select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot"))
+        pairs = materialize(pairs.join(seen, ["fp", "pivot"], "left_anti"), "pairs")
         left = left.drop("pivot")
         if pairs.isEmpty():
             if left.isEmpty():
@@ -224,8 +226,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             continue
         more = materialize(compare(pairs), "compared")
         known = known.unionByName(more)
-        links = links.unionAll(more.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-        found = components(links)
+        found = components(links(more).unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     node = some.select("fp", "doc").join(found, F.col("fp") == F.col("node"), "left").select("doc", "fp", F.coalesce("component", "fp").alias("root"))
     lowest = node.groupBy("root").agg(F.min("doc").alias("low"))
     root = node.select("fp", "root").distinct().join(lowest, "root").select("fp", "low")
@@ -247,16 +248,19 @@ def _next(pivots: int, slack: float):
             for s, e in zip(cut, np.append(cut[1:], len(rid)), strict=True):
                 f, d, c = fp[s:e], far[s:e], comp[s:e]
                 main = c[int(d.argmin())]
-                outside = np.flatnonzero((c != main) & ~done[s:e])
-                outside = outside[np.argsort(K.mix(f[outside].view(np.uint64)))][:pivots]
+                fresh = ~done[s:e]
+                order = K.mix(f.view(np.uint64))
+                outside = np.flatnonzero((c != main) & fresh)
+                outside = outside[np.argsort(order[outside])][:pivots]
+                # members of the first component try all others first, as most of these link to some of them
+                inside = np.flatnonzero((c == main) & fresh)
+                inside = inside[np.argsort(order[inside])][:pivots] if len(outside) else inside[:0]
                 if not len(outside):
                     done[s:e] = True
-                for i in outside:
-                    hit = np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e])
+                for i in np.append(inside, outside):
                     done[s + i] = True
-                    for h in hit:
-                        if h != i:
-                            new[s + h].append(int(f[i]))
+                    for h in np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e]):
+                        new[s + h].append(int(f[i]))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in new])])
             flat = pa.array([y for x in new for y in x], pa.int64())
             return pa.Table.from_arrays([pa.array(rid), pa.array(fp), pa.array(far), pa.array(done), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rid", "fp", "far", "done", "pivot"])
