@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 E = F.expr
-SERIES = Window.partitionBy("episode").orderBy("frame_idx")
-BY_SPEED = Window.partitionBy("episode").orderBy("speed", "frame_idx")
 CELLS = 9
 
 
+def by_speed() -> WindowSpec:
+    return Window.partitionBy("episode").orderBy("speed", "frame_idx")
+
+
 def usable(speed: str = "speed") -> Column:
     """0 and NaN mark unknown speeds."""
     return (F.col(speed) != 0) & ~F.isnan(speed)
@@ -19,7 +22,7 @@ def usable(speed: str = "speed") -> Column:
 def slowest(frames: DataFrame, n: int, keep: Column | None = None) -> DataFrame:
     """The n slowest usable frames of each episode that pass `keep`, with their rank."""
     rows = frames.where(usable()) if keep is None else frames.where(usable() & keep)
-    return rows.withColumn("rank", F.row_number().over(BY_SPEED)).where(F.col("rank") <= n)
+    return rows.withColumn("rank", F.row_number().over(by_speed())).where(F.col("rank") <= n)
 
 
 def flagged(flag: str, ref: Column) -> Column:
@@ -42,7 +45,7 @@ def minima(detections: DataFrame, segmented: bool = True) -> DataFrame:
 
     An inner point is one if it exceeds no neighbour and is under one; a segment without any gives its first least.
     """
-    run = F.col("frame_idx") - F.row_number().over(SERIES) if segmented else F.lit(0)
+    run = F.col("frame_idx") - F.row_number().over(Window.partitionBy("episode").orderBy("frame_idx")) if segmented else F.lit(0)
     rows = detections.where("detected").withColumn("seg", run)
     by = Window.partitionBy("episode", "seg")
     order = by.orderBy("frame_idx")
@@ -165,7 +168,7 @@ def pair_events(events: DataFrame, short: bool = False) -> DataFrame:
 
 def speed_gate(frames: DataFrame, picks: DataFrame, zero_based: bool = False) -> DataFrame:
     """Whether a picked frame's speed is at most the speed at rank int(0.3 n) of the usable ones (rank from 1, at least 1; or from 0)."""
-    ranked = frames.where(usable()).withColumn("rank", F.row_number().over(BY_SPEED)).withColumn("n", F.count("*").over(Window.partitionBy("episode")))
+    ranked = frames.where(usable()).withColumn("rank", F.row_number().over(by_speed())).withColumn("n", F.count("*").over(Window.partitionBy("episode")))
     at = E("cast(floor(0.3D * n) as int)")
     cut = ranked.where(F.col("rank") == (at + 1 if zero_based else F.greatest(F.lit(1), at))).select("episode", F.col("speed").alias("cut"))
     own = picks.join(frames.select("episode", "frame_idx", "speed"), ["episode", "frame_idx"], "left")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 E = F.expr
-SERIES = Window.partitionBy("episode").orderBy("frame_idx")
-BEFORE = SERIES.rowsBetween(Window.unboundedPreceding, -1)
-AFTER = SERIES.rowsBetween(1, Window.unboundedFollowing)
+
+
+def series() -> WindowSpec:
+    """The one window of all series operators, so that they share an exchange."""
+    return Window.partitionBy("episode").orderBy("frame_idx")
 
 
 def _distance(*pairs: tuple[str, str]) -> Column:
@@ -18,14 +21,14 @@ def _distance(*pairs: tuple[str, str]) -> Column:
 def detected_speed(frames: DataFrame, per_gap: bool = True) -> DataFrame:
     """Distance to the previous detected centre, over the frame gap if per_gap; 0 where not or first detected."""
     seen = F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))
-    out = frames.withColumn("p", F.last(seen, ignorenulls=True).over(BEFORE))
+    out = frames.withColumn("p", F.last(seen, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)))
     gap = F.greatest(F.lit(1), F.col("frame_idx") - F.col("p.frame_idx")) if per_gap else F.lit(1)
     return out.withColumn("speed", F.when(F.col("detected") & F.col("p").isNotNull(), _distance(("x", "p.x"), ("y", "p.y")) / gap).otherwise(0.0)).drop("p")
 
 
 def reset_speed(frames: DataFrame) -> DataFrame:
     """As detected_speed, but a missing frame makes the next detection a first one."""
-    last = F.lag(F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))).over(SERIES)
+    last = F.lag(F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))).over(series())
     out = frames.withColumn("p", last)
     near = F.col("detected") & (F.col("p.frame_idx") == F.col("frame_idx") - 1)
     return out.withColumn("speed", F.when(near, _distance(("x", "p.x"), ("y", "p.y"))).otherwise(0.0)).drop("p")
@@ -34,8 +37,8 @@ def reset_speed(frames: DataFrame) -> DataFrame:
 def interpolated_speed(frames: DataFrame, interval: float = 1.0) -> DataFrame:
     """Speed over positions filled linearly between detections (flat beyond them) if an episode has two at least."""
     seen = F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))
-    here = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-    out = frames.withColumn("a", F.last(seen, ignorenulls=True).over(here)).withColumn("z", F.first(seen, ignorenulls=True).over(SERIES.rowsBetween(0, Window.unboundedFollowing)))
+    here = series().rowsBetween(Window.unboundedPreceding, 0)
+    out = frames.withColumn("a", F.last(seen, ignorenulls=True).over(here)).withColumn("z", F.first(seen, ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing)))
     out = out.withColumn("n", F.count_if("detected").over(Window.partitionBy("episode")))
     share = (F.col("frame_idx") - F.col("a.frame_idx")) / (F.col("z.frame_idx") - F.col("a.frame_idx"))
 
@@ -43,8 +46,8 @@ def interpolated_speed(frames: DataFrame, interval: float = 1.0) -> DataFrame:
         between = F.when(F.col("a.frame_idx") == F.col("z.frame_idx"), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + (F.col(f"z.{c}") - F.col(f"a.{c}")) * share)
         return F.when(F.col("detected"), F.col(c)).when(F.col("n") > 1, F.coalesce(between, F.col(f"a.{c}"), F.col(f"z.{c}")))
 
-    out = out.withColumn("fx", fill("x")).withColumn("fy", fill("y")).withColumn("px", F.lag("fx").over(SERIES)).withColumn("py", F.lag("fy").over(SERIES))
-    speed = F.when(F.lag("frame_idx").over(SERIES).isNull(), 0.0).otherwise(_distance(("fx", "px"), ("fy", "py")) / interval)
+    out = out.withColumn("fx", fill("x")).withColumn("fy", fill("y")).withColumn("px", F.lag("fx").over(series())).withColumn("py", F.lag("fy").over(series()))
+    speed = F.when(F.lag("frame_idx").over(series()).isNull(), 0.0).otherwise(_distance(("fx", "px"), ("fy", "py")) / interval)
     return out.withColumn("speed", speed).drop("a", "z", "n", "fx", "fy", "px", "py")
 
 
@@ -96,7 +99,7 @@ def rigid_transform(points: DataFrame) -> DataFrame:
 
 
 def trailing_mean(frames: DataFrame, value: str, width: int = 15) -> DataFrame:
-    return frames.withColumn("smooth", F.avg(value).over(SERIES.rowsBetween(1 - width, 0)))
+    return frames.withColumn("smooth", F.avg(value).over(series().rowsBetween(1 - width, 0)))
 
 
 def detection_rate(frames: DataFrame) -> DataFrame:

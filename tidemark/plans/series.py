@@ -85,10 +85,10 @@ def _top_sql(keep: str, pick: str = "") -> str:
  FROM frames f JOIN picks p ON p.episode = f.episode WHERE f.speed <> 0 AND {keep}) SELECT episode, frame_idx, round(speed, 6) AS speed, rank::INT AS rank FROM r WHERE rank <= 4"""
 
 
-def _top(flag, ref):
+def _top(flag, ref=None):
     def run(s, d):
         rows = _frames(s, d).join(_picks(s, d).select("episode", F.col("frame_idx").alias("ref")), "episode")
-        return C.slowest(rows, 4, C.flagged(flag, ref)).select(*KEYS, R6("speed"), "rank")
+        return C.slowest(rows, 4, C.flagged(flag, F.col("ref") if ref is None else F.lit(ref))).select(*KEYS, R6("speed"), "rank")
 
     return run
 
@@ -163,9 +163,9 @@ QUERIES = {
     "invalid_frames": (lambda s, d: S.invalid_tensor(_tensors(s, d)).where("invalid").selectExpr("vec_id div 100 as video", "cast(vec_id % 100 as int) as frame_idx"), f"WITH {_TENSORS} SELECT vec_id // 100 AS video, (vec_id % 100)::INT AS frame_idx FROM tensors WHERE list_stddev_pop(inv) < 1e-4"),
     "clip_duration": (lambda s, d: S.clip_duration(T.files(s, d).selectExpr("page_id", "readable", "size as n_frames", "cast(page_id % 4 * 10 as double) as fps")).select("page_id", R6("duration")), "SELECT page_id, CASE WHEN page_id % 10 > 0 THEN CASE WHEN page_id % 4 > 0 THEN round(length(html) / (page_id % 4 * 10.0::DOUBLE), 6) ELSE 0.0 END END::DOUBLE AS duration FROM pages"),
     "topn_speed": (lambda s, d: C.slowest(_frames(s, d), 4).select(*KEYS, R6("speed"), "rank"), _top_sql("true")),
-    "topn_feedback": (_top("feedback", F.col("ref")), _top_sql("f.frame_idx > p.frame_idx")),
-    "topn_speed_flag": (_top("speed", F.lit(40.0)), _top_sql("f.speed < 40")),
-    "topn_exclude": (_top("", F.col("ref")), _top_sql("f.frame_idx <> p.frame_idx")),
+    "topn_feedback": (_top("feedback"), _top_sql("f.frame_idx > p.frame_idx")),
+    "topn_speed_flag": (_top("speed", 40.0), _top_sql("f.speed < 40")),
+    "topn_exclude": (_top(""), _top_sql("f.frame_idx <> p.frame_idx")),
     "topn_fallback": (lambda s, d: C.slowest_or_spaced(_frames(s, d).withColumn("speed", E("if(episode % 3 = 0, 0D, speed)")), 4),
         f"""WITH {FRAMES}, f AS (SELECT * REPLACE (CASE WHEN episode % 3 = 0 THEN 0.0::DOUBLE ELSE speed END AS speed) FROM frames),
  r AS (SELECT episode, frame_idx, row_number() OVER (PARTITION BY episode ORDER BY speed, frame_idx) AS rn FROM f WHERE speed <> 0), t AS (SELECT episode, max(num_frames) AS n FROM f GROUP BY episode HAVING count(*) FILTER (speed <> 0) = 0)

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per episode and 0-based frame: speed (0 where unknown), detected, pinch distance, hand centre x, y."""
-    by = Window.partitionBy("user_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("episode"),
+    by = Window.partitionBy("episode")
+    return table(spark, sf_dir, "events").withColumnRenamed("user_id", "episode").select(
+        "episode",
         (F.row_number().over(by.orderBy("ts", "event_id")) - 1).alias("frame_idx"),
         F.count("*").over(by).cast("int").alias("num_frames"),
         E("if(event_type = 'error', 0D, value)").alias("speed"),
