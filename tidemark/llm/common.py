@@ -31,6 +31,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing reads any more."""
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches that Python workers get, so that long texts stay within memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -49,9 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(u != v).distinct()
-    sign = None
+    sign = before = None
     while True:
         edges = materialize(edges, "star")
+        if before is not None:
+            discard(before)
+        before = edges
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64(u, v).cast("decimal(38,0)"))).first()
         if seen == sign or not seen[0]:
             break

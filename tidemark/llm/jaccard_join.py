@@ -177,7 +177,7 @@ def _compare(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = 20, pivots: int = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = 20, pivots: int = 64) -> DataFrame:
     """doc_id, rk (names the row by id and text), n_shingles, component_id (the smallest id reachable by links) of each row.
 
     Two documents link when 100 * intersection >= percent * union of their distinct k-word shingles.
@@ -215,11 +215,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         # open regions: two components, and two members that were no pivots yet
         open_ = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("done")).alias("n")).where("low < high and n > 1").select("rid")
         now = now.join(open_, "rid", "left_semi")
-        left = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack), "rid long, fp long, far double, done boolean, pivot array<long>"), "open")
-        pairs = left.select(F.explode("pivot").alias("pivot"), "fp").select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot")).distinct()
+        step = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack), "rid long, fp long, far double, done boolean, pivot long"), "open")
+        left, pairs = step.where("pivot is null").drop("pivot"), step.where("pivot is not null").select("fp", "pivot").distinct()
         seen = known.select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot"))
         pairs = materialize(pairs.join(seen, ["fp", "pivot"], "left_anti"), "pairs")
-        left = left.drop("pivot")
         if pairs.isEmpty():
             if left.isEmpty():
                 break
@@ -237,13 +236,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def _next(pivots: int, slack: float):
-    """One round of open regions, sorted by rid: the members' new pivots, by the triangle window and the components."""
+    """One round of open regions, sorted by rid: their rows, and the pairs (fp < pivot) that the triangle window and the components leave; a task gives a pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def step(t: pa.Table) -> pa.Table:
-            rid, fp, far, done, comp = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "fp", "far", "done", "component"))
+        names = ["rid", "fp", "far", "done", "pivot"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
+        sent: set[tuple[int, int]] = set()
+        for t in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
+            rid, fp, far, done, comp = (t.column(c).to_numpy() for c in ("key", "fp", "far", "done", "component"))
             done = done.copy()
-            new: list[list[int]] = [[] for _ in rid]
+            fresh_pairs: list[tuple[int, int]] = []
             cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
             for s, e in zip(cut, np.append(cut[1:], len(rid)), strict=True):
                 f, d, c = fp[s:e], far[s:e], comp[s:e]
@@ -260,13 +262,15 @@ def _next(pivots: int, slack: float):
                 for i in np.append(inside, outside):
                     done[s + i] = True
                     for h in np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e]):
-                        new[s + h].append(int(f[i]))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in new])])
-            flat = pa.array([y for x in new for y in x], pa.int64())
-            return pa.Table.from_arrays([pa.array(rid), pa.array(fp), pa.array(far), pa.array(done), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rid", "fp", "far", "done", "pivot"])
-
-        for t in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
-            yield from step(t.rename_columns(["rid", *t.column_names[1:]])).to_batches()
+                        pair = (int(min(f[h], f[i])), int(max(f[h], f[i])))
+                        if pair not in sent:
+                            sent.add(pair)
+                            fresh_pairs.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(fp), pa.array(far), pa.array(done), pa.nulls(len(rid), pa.int64())], names=names)
+            if fresh_pairs:
+                n = len(fresh_pairs)
+                a, z = zip(*fresh_pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if v is None else pa.array(v, k) for v, k in zip((None, a, None, None, z), kinds, strict=True)], names=names)
 
     return run
 
