@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.common import arrow_rows, components, materialize, partitions, table
+from tidemark.llm.common import arrow_rows, components, materialize, partitions, release, table
 from tidemark.llm.seeds import LAST, keyed, whole_keys
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -192,10 +192,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     some = signed.where("n > 0")
     rows = some.select(F.explode("pivots").alias("token"), "fp", "n").repartition(parts, "token")
     regions = materialize(rows.mapInArrow(_regions(t), "rid long, fp long, pivot long").distinct(), "regions")
+    release(spark)
     # one row's text for each set that shares a region
     owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(regions.select("fp").distinct(), "fp")
     texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners, "rk").select("fp", "text"), "texts")
 
+    release(spark)
+
     def compare(pairs: DataFrame) -> DataFrame:
         """pairs(fp, pivot) with both, either, and linked."""
         wanted = pairs.unionAll(pairs.select("pivot", "pivot").toDF("fp", "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
