@@ -10,7 +10,7 @@ further: partners' sizes have a ratio of t at least.
 Within a region documents are pivots: all members are compared to the region's pivot (the member with the smallest
 hash, so overlapping regions agree on it). Members linked to it are one component. What is left of a region are pairs
 of different components whose distances to the pivot differ by at most 1 - t; the region goes on to the next round
-with up to `pivots` members of the first component and as many outside it as new pivots, until no pair is left. Comparisons are
+with a few members of the first component, then up to `pivots` of the others as new pivots, until no pair is left. Comparisons are
 exact, on texts that stream past the pivot's set.
 
 Equal sets are one node from the start. Defined results: null text and text without words have no shingles and link
@@ -32,6 +32,7 @@ from tidemark.llm import kernels as K
 from tidemark.llm.common import arrow_rows, components, materialize, partitions, release, table
 from tidemark.llm.seeds import LAST, keyed, whole_keys
 
+PARITY = 1024  # bits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -99,6 +100,10 @@ def _signatures(counts: np.ndarray, k: int, t: Fraction):
             fp = np.zeros(j - i, np.uint64)
             np.add.at(fp, row, K.mix(token ^ np.uint64(0x5851F42D4C957F2D)))
             fp = K.mix(fp ^ n.astype(np.uint64)).view(np.int64)
+            # parity bitmap: bits that differ between two sets are at most the elements that differ
+            flip = np.zeros((j - i, PARITY), np.uint8)
+            np.bitwise_xor.at(flip, (row, (token >> np.uint64(40)).astype(np.int64) % PARITY), 1)
+            parity = np.packbits(flip, axis=1)
             window = n - -(-n * t.numerator // t.denominator) + 1
             window[n == 0] = 0
             rare = counts[(token & np.uint64(len(counts) - 1)).astype(np.int64)]
@@ -107,8 +112,8 @@ def _signatures(counts: np.ndarray, k: int, t: Fraction):
             keep = np.arange(len(o)) - first[row] < window[row]
             ends = np.concatenate([[0], np.cumsum(window)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc").slice(i, j - i), b.column("rk").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[o][keep].view(np.int64)))],
-                names=["doc", "rk", "n", "fp", "pivots"],
+                [b.column("doc").slice(i, j - i), b.column("rk").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[o][keep].view(np.int64))), pa.array([x.tobytes() for x in parity], pa.binary())],
+                names=["doc", "rk", "n", "fp", "pivots", "parity"],
             )
 
     return run
@@ -188,7 +193,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     t, parts = Fraction(percent, 100), partitions(spark)
     named = keyed(docs, text, doc_id)
     counts = sketch(named, k, bits)
-    signed = materialize(named.mapInArrow(_signatures(counts, k, t), "doc long, rk long, n int, fp long, pivots array<long>"), "signatures")
+    signed = materialize(named.mapInArrow(_signatures(counts, k, t), "doc long, rk long, n int, fp long, pivots array<long>, parity binary"), "signatures")
     some = signed.where("n > 0")
     rows = some.select(F.explode("pivots").alias("token"), "fp", "n").repartition(parts, "token")
     regions = materialize(rows.mapInArrow(_regions(t), "rid long, fp long, pivot long").distinct(), "regions")
@@ -197,6 +202,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(regions.select("fp").distinct(), "fp")
     texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners, "rk").select("fp", "text"), "texts")
 
+    shapes = materialize(some.select("fp", "n", "parity").join(regions.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "shapes")
     release(spark)
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -217,8 +223,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         now = left.join(found, F.col("fp") == F.col("node"), "left").select("rid", "fp", "far", "done", F.coalesce("component", "fp").alias("component"))
         # open regions: two components, and two members that were no pivots yet
         open_ = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("done")).alias("n")).where("low < high and n > 1").select("rid")
-        now = now.join(open_, "rid", "left_semi")
-        step = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack), "rid long, fp long, far double, done boolean, pivot long"), "open")
+        now = now.join(open_, "rid", "left_semi").join(shapes, "fp").select("rid", "fp", "far", "done", "component", "n", "parity")
+        step = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack, t), "rid long, fp long, far double, done boolean, pivot long"), "open")
         left, pairs = step.where("pivot is null").drop("pivot"), step.where("pivot is not null").select("fp", "pivot").distinct()
         seen = known.select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot"))
         pairs = materialize(pairs.join(seen, ["fp", "pivot"], "left_anti"), "pairs")
@@ -238,16 +244,24 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return out.select(back(F.col("doc")).alias("doc_id"), "rk", F.col("n").cast("long").alias("n_shingles"), back(own).alias("component_id"))
 
 
-def _next(pivots: int, slack: float):
-    """One round of open regions, sorted by rid: their rows, and the pairs (fp < pivot) that the triangle window and the components leave; a task gives a pair once."""
+def _next(pivots: int, slack: float, t: Fraction):
+    """One round of open regions, sorted by rid: the rows of those that need more rounds, and the pairs (fp < pivot) to compare; a task gives a pair once.
+
+    A pair is left out if it is of one component, if the triangle window excludes it, or if sizes and parity bitmaps
+    show more differing elements than a similarity of t allows. In a region's first round a few members of the first
+    component meet all others, most of which link to one of them; then the others are pivots.
+    """
+    few = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rid", "fp", "far", "done", "pivot"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
         sent: set[tuple[int, int]] = set()
-        for t in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
-            rid, fp, far, done, comp = (t.column(c).to_numpy() for c in ("key", "fp", "far", "done", "component"))
+        for rows in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
+            rid, fp, far, done, comp, size = (rows.column(c).to_numpy() for c in ("key", "fp", "far", "done", "component", "n"))
+            bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rid), -1)
             done = done.copy()
+            stays = np.zeros(len(rid), bool)
             fresh_pairs: list[tuple[int, int]] = []
             cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
             for s, e in zip(cut, np.append(cut[1:], len(rid)), strict=True):
@@ -256,20 +270,24 @@ def _next(pivots: int, slack: float):
                 fresh = ~done[s:e]
                 order = K.mix(f.view(np.uint64))
                 outside = np.flatnonzero((c != main) & fresh)
-                outside = outside[np.argsort(order[outside])][:pivots]
-                # members of the first component try all others first, as most of these link to some of them
+                outside = outside[np.argsort(order[outside])]
                 inside = np.flatnonzero((c == main) & fresh)
-                inside = inside[np.argsort(order[inside])][:pivots] if len(outside) else inside[:0]
-                if not len(outside):
-                    done[s:e] = True
-                for i in np.append(inside, outside):
+                first = done[s:e].sum() <= 1 and len(outside) > few and len(inside)
+                chosen = inside[np.argsort(order[inside])][:few] if first else outside[:pivots]
+                for i in chosen:
                     done[s + i] = True
-                    for h in np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e]):
+                    near = np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e])
+                    # elements that differ: at most (1 - t) / (1 + t) of both sizes together
+                    most = (size[s:e][near].astype(np.int64) + int(size[s + i])) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+                    near = near[np.bitwise_count(bits[s:e][near] ^ bits[s + i]).sum(axis=1) <= most]
+                    for h in near.tolist():
                         pair = (int(min(f[h], f[i])), int(max(f[h], f[i])))
                         if pair not in sent:
                             sent.add(pair)
                             fresh_pairs.append(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(fp), pa.array(far), pa.array(done), pa.nulls(len(rid), pa.int64())], names=names)
+                stays[s:e] = first or len(outside) > pivots
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (rid, fp, far, done)] + [pa.nulls(int(stays.sum()), pa.int64())], names=names)
             if fresh_pairs:
                 n = len(fresh_pairs)
                 a, z = zip(*fresh_pairs, strict=True)
