@@ -66,9 +66,7 @@ class Walk:
             for r in chosen[s]:
                 out[r] = (out[r] ^ word) * np.uint64(K._Q)
             if s + 1 < self.steps:
-                at += ((word >> np.uint64(1 + s % 60)) & np.uint64(1)).astype(np.int64)
-        for r in range(len(out)):
-            out[r] = K.mix(out[r] + np.uint64(r))
+                at += ((word >> np.uint64(1 + s % 60)) & np.uint64(1)).view(np.int64)
         return out
 
 
@@ -106,7 +104,7 @@ class Items:
         for h in hashes:
             o = np.argsort(h, kind="stable")
             seen = np.zeros(1 << 16, bool)
-            seen[h & np.uint64(0xFFFF)] = True
+            seen[h >> np.uint64(48)] = True
             self.tables.append((seen, h[o], item[o], place[o]))
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, k in enumerate(n):
@@ -118,7 +116,7 @@ class Items:
         out = []
         if self.tables and len(starts):
             for h, (seen, keys, item, place) in zip(self.walk.hashes(values, starts), self.tables, strict=True):
-                hit = np.flatnonzero(seen[h & np.uint64(0xFFFF)])
+                hit = np.flatnonzero(seen[h >> np.uint64(48)])
                 a, z = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
                 own = np.repeat(hit, z - a)
                 at = np.arange(len(own)) - np.repeat(np.cumsum(z - a) - (z - a), z - a) + np.repeat(a, z - a)
