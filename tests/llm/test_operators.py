@@ -108,6 +108,29 @@ def test_line_dedup(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_lines_of_a_bucket_are_all_compared(spark):
+    """Lines with shared boilerplate meet by chance: near copies that meet link whatever the bucket's smallest line is."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    plate, lines = some(60), []
+    for _ in range(60):
+        own = some(60)
+        lines += [plate + own] + [plate + own[:at] + "#" + own[at + 1 :] for at in r.sample(range(60), 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "key long, line string").coalesce(2)
+    met: dict[int, list[int]] = {}
+    for row in line_dedup.signatures(df, 8, 8, 3, 0.8).collect():
+        for b in row.buckets:
+            met.setdefault(b, []).append(row.key)
+    pairs = {(max(a, b), min(a, b)) for x in met.values() for a in x for b in x if a != b}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines]
+    want = X.components(range(len(lines)), lambda a, b: (a, b) in pairs and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = line_dedup.line_dedup(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")).where("n_removed = 0").select("doc_id").collect()
+    assert {x.doc_id for x in kept} == set(want.values())
+    members = spark.createDataFrame([(b, i) for b, x in met.items() for i in x], "bucket long, key long")
+    got = {x.node: x.component for x in line_dedup.linked(members, df, 8, 0.8, pivots=2).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_line_similarity_is_exact(spark):
     pairs = [("abcdefghijkl", "abcdefghijkm"), ("short", "short"), ("é" * 12, "é" * 11 + "x")]
     df = spark.createDataFrame(pairs, "line_a string, line_b string")

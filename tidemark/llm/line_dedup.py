@@ -3,9 +3,11 @@
 Lines are compared without outer white space and lower-cased. Each distinct line's character shingles (UTF-16 units) are hashed once
 and their minima under `bands * rows` masks are its signature; the exploding and the minima stay in one generated
 loop with a partial aggregate, so no array of shingles is ever held. Lines that agree on all rows of a band meet in
-that band's bucket, each with the bucket's smallest line, so a bucket gives as many pairs as lines. Pairs are verified
-by the exact Jaccard similarity of their shingle sets, and distributed union-find joins verified pairs to components.
-Of each component one line stays: the first, by document and line number.
+that band's bucket. First all lines of a bucket are compared to its smallest; then, as long as a bucket has lines of
+different components, more of its lines are compared to the rest, so in the end each pair of lines that meet is
+compared or of one component. Pairs whose shingles set too different bits are left out, the others are verified by the
+exact Jaccard similarity of their shingle sets, and distributed union-find joins verified pairs to components. Of each
+component one line stays: the first, by document and line number.
 
 Defined results: blank lines always stay and match nothing; lines shorter than a shingle are one shingle; null text
 has no lines and stays null; a null doc_id counts as the largest, and rows with equal ids are ordered by a hash of the
@@ -25,6 +27,7 @@ from tidemark.llm.seeds import LAST
 
 
 DENSE, STEPS = 128, 5
+WORDS = 16  # longs of a line's bitmap
 
 
 def _units(line: str) -> str:
@@ -64,6 +67,54 @@ def similarity(k: int) -> Column:
     return F.expr(f"transform({sizes}, s -> s.both / (s.all - s.both))[0]")
 
 
+def bitmaps(lines: DataFrame, k: int) -> DataFrame:
+    """key, n (shingles, repeated ones too) and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line)."""
+    units = lines.select("key", F.expr(_units("line")).alias("u")).withColumn("n", F.expr(f"greatest(cast(length(u) div 2 as int) - {k}, 0) + 1"))
+    hashes = units.select("key", "n", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", "n", F.expr(_shingle("u", k, "hash")).alias("h"))
+    return hashes.groupBy("key").agg(F.max("n").alias("n"), *(F.bit_or(F.expr(f"if(shiftrightunsigned(h, 6) & {WORDS - 1} = {i}, shiftleft(1L, h & 63), 0L)")).alias(f"w{i}") for i in range(WORDS)))
+
+
+def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivots: int = 32) -> DataFrame:
+    """node and component of each key that has a link: of the pairs in a bucket of members(bucket, key), those of lines at least threshold similar.
+
+    A round's pivots are compared to all lines of their bucket that were no pivots yet and are of other components:
+    first the smallest, then about `pivots` of those outside one component, then four times as many. Two sets differ in
+    at least as many shingles as their bitmaps do in bits.
+    """
+    spark = members.sparkSession
+    shapes = materialize(bitmaps(texts, k), "line-bitmaps")
+    release(spark)
+    differ = " + ".join(f"bit_count(p.w{i} ^ m.w{i})" for i in range(WORDS))
+    meet = F.expr(f"p.bucket = m.bucket and p.component <> m.component and not (m.pivot and m.key < p.key) and {differ} <= (p.n + m.n) * {(1 - threshold) / (1 + threshold)} + 1e-6")
+    lines = [texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab"]
+    edges = "a long, b long"
+    seen, found, turn = spark.createDataFrame([], edges), spark.createDataFrame([], "node long, component long"), 0
+    left = members
+    while True:
+        now = left.join(found, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+        # one component of each open bucket: that of a random line, so mostly the largest
+        main = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("key", F.lit(turn))).alias("main")).where("low < high")
+        now = now.join(main.select("bucket", "main"), "bucket")
+        outside = F.col("component") != F.col("main")
+        if turn:
+            some = now.groupBy("bucket").agg(F.min(F.when(outside, F.col("key"))).alias("first"), F.count_if(outside).alias("outside"))
+            pivot = outside & ((F.col("key") == F.col("first")) | (F.pmod(F.xxhash64("key", F.lit(-turn)), F.greatest(F.lit(1), F.expr(f"outside div {pivots}"))) == 0))
+            pivots *= 4
+        else:
+            some, pivot = now.groupBy("bucket").agg(F.min("key").alias("first")), F.col("key") == F.col("first")
+        now = materialize(now.join(some, "bucket").select("bucket", "key", "component", pivot.alias("pivot")), "line-members")
+        if now.isEmpty():
+            return found
+        full = now.join(shapes, "key")
+        pairs = full.where("pivot").alias("p").join(full.alias("m"), meet).select(F.expr("least(p.key, m.key)").alias("a"), F.expr("greatest(p.key, m.key)").alias("b")).distinct()
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "line-pairs")
+        release(spark)
+        if not pairs.isEmpty():
+            links = pairs.join(lines[0], "a").join(lines[1], "b").where(similarity(k) >= threshold).select("a", "b")
+            found = components(links.unionAll(found.toDF("a", "b")))
+        seen, left, turn = seen.unionAll(pairs), now.where("not pivot").select("bucket", "key"), turn + 1
+
+
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 8, threshold: float = 0.8, bands: int = 8, rows: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, text (the lines that stay), rest (struct of the columns of keep) of each row.
 
@@ -77,14 +128,12 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     index = materialize(lines.select("doc", "rk", "ln", "key"), "line-index")
 
     buckets = signatures(solid, k, bands, rows, threshold).select("key", F.explode("buckets").alias("bucket"))
-    low = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("most")).where("a < most").select("bucket", "a")
-    pairs = materialize(buckets.join(low, "bucket").where("key <> a").select("a", F.col("key").alias("b")).distinct(), "line-pairs")
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
+    members = materialize(buckets.join(shared, "bucket", "left_semi").distinct(), "line-buckets")
     release(spark)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    known = materialize(solid.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")), "line-texts")
+    known = materialize(solid.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")), "line-texts")
     release(spark)
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(known.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    found = components(both.where(similarity(k) >= threshold).select("a", "b"))
+    found = linked(members, known, k, threshold)
 
     place = F.struct("doc", "rk", "ln")
     firsts = index.where("key is not null").groupBy("key").agg(F.min(place).alias("first")).join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component"))
