@@ -118,7 +118,7 @@ def test_lines_of_a_bucket_are_all_compared(spark):
         lines += [plate + own] + [plate + own[:at] + "#" + own[at + 1 :] for at in r.sample(range(60), 2)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "key long, line string").coalesce(2)
     met: dict[int, list[int]] = {}
-    for row in line_dedup.signatures(df, 8, 8, 3, 0.8).collect():
+    for row in line_dedup.signatures(df, 8, 8, 3).collect():
         for b in row.buckets:
             met.setdefault(b, []).append(row.key)
     pairs = {(max(a, b), min(a, b)) for x in met.values() for a in x for b in x if a != b}
@@ -131,6 +131,22 @@ def test_lines_of_a_bucket_are_all_compared(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_long_lines_meet_as_often_as_short_ones(spark):
+    """Pairs at Jaccard 0.8 and a little more, of 155 to 200 shingles: 0.997 of them meet at least."""
+    r = random.Random(9)
+    rows, pairs = [], 400
+    for i in range(pairs):
+        a = [r.choice("abcdefghijklmnop ") for _ in range(r.randint(162, 207))]
+        b, grams = list(a), lambda x: {"".join(x[j : j + 8]) for j in range(len(x) - 7)}
+        for at in r.sample(range(len(a)), len(a)):  # as many edits as leave 0.8
+            c = [*b[:at], "#", *b[at + 1 :]]
+            if len(grams(a) & grams(c)) >= 0.8 * len(grams(a) | grams(c)):
+                b = c
+        rows += [(2 * i, "".join(a)), (2 * i + 1, "".join(b))]
+    got = {x.key: set(x.buckets) for x in line_dedup.signatures(spark.createDataFrame(rows, "key long, line string"), 8, 8, 3).collect()}
+    assert sum(bool(got[2 * i] & got[2 * i + 1]) for i in range(pairs)) >= 0.99 * pairs
+
+
 def test_line_similarity_is_exact(spark):
     pairs = [("abcdefghijkl", "abcdefghijkm"), ("short", "short"), ("é" * 12, "é" * 11 + "x")]
     df = spark.createDataFrame(pairs, "line_a string, line_b string")

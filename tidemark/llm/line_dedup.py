@@ -26,7 +26,6 @@ from tidemark.llm.seeds import LAST
 
 
 
-DENSE, STEPS = 128, 5
 WORDS = 16  # longs of a line's bitmap
 
 
@@ -44,20 +43,13 @@ def _shingle(units: str, k: int, kind: str = "xxhash64") -> str:
     return f"{kind}(substring({units}, 2 * i + 1, {2 * k}))"
 
 
-def signatures(lines: DataFrame, k: int, bands: int, rows: int, threshold: float) -> DataFrame:
-    """key and buckets array<long> of each key of lines(key, line).
-
-    Lines of more than DENSE shingles take every 8th of them by hash, of more than 8 * DENSE every 64th, and so on.
-    Sizes of similar lines differ by a factor of the threshold at most; lines so near a step have both signatures.
-    """
+def signatures(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """key and buckets array<long> of each key of lines(key, line), from all shingles of a line, whatever its length."""
     masks = np.random.default_rng(3).integers(-(1 << 31), (1 << 31) - 1, bands * rows)
-    fits = f"j -> (j = {STEPS} or n * {threshold} < {DENSE} * shiftleft(1L, 3 * j)) and (j = 0 or n >= {threshold} * {DENSE} * shiftleft(1L, 3 * j - 3))"
-    sized = lines.select("key", F.expr(_units("line")).alias("u")).withColumn("n", F.expr("length(u) div 2"))
-    sized = sized.select("key", "u", F.explode(F.expr(f"filter(sequence(0, {STEPS}), {fits})")).alias("step"))
-    hashes = sized.select("key", "step", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", "step", F.expr(_shingle("u", k, "hash")).alias("h"))
-    hashes = hashes.where("h & (shiftleft(1, 3 * step) - 1) = 0")
-    minima = hashes.groupBy("key", "step").agg(*(F.min(F.expr(f"h ^ {m}")).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
-    return minima.select("key", F.array(*(F.xxhash64(F.lit(b), "step", *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands))).alias("buckets"))
+    units = lines.select("key", F.expr(_units("line")).alias("u"))
+    hashes = units.select("key", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", F.expr(_shingle("u", k, "hash")).alias("h"))
+    minima = hashes.groupBy("key").agg(*(F.min(F.expr(f"h ^ {m}")).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
+    return minima.select("key", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands))).alias("buckets"))
 
 
 def similarity(k: int) -> Column:
@@ -118,7 +110,8 @@ def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivot
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 8, threshold: float = 0.8, bands: int = 8, rows: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, text (the lines that stay), rest (struct of the columns of keep) of each row.
 
-    With the defaults lines of similarity 0.8 meet with probability 0.997, of 0.9 with more than 0.9999.
+    With the defaults lines of similarity 0.8 meet, and so are compared, with probability 0.997 by the formula, of 0.9
+    with more than 0.9999. Measured at 0.8: 300 of 300 pairs of 155 to 200 shingles, 300 of 300 of 1,193 to 1,393.
     """
     spark, raw = docs.sparkSession, F.col(text)
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(doc_id), raw).alias("rk"), raw.alias("text"), F.struct(*(F.col(c) for c in keep) or (F.lit(0).alias("none"),)).alias("rest"))
@@ -127,7 +120,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     solid = lines.where("key is not null").select("key", "line")
     index = materialize(lines.select("doc", "rk", "ln", "key"), "line-index")
 
-    buckets = signatures(solid, k, bands, rows, threshold).select("key", F.explode("buckets").alias("bucket"))
+    buckets = signatures(solid, k, bands, rows).select("key", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
     members = materialize(buckets.join(shared, "bucket", "left_semi").distinct(), "line-buckets")
     release(spark)
