@@ -87,6 +87,18 @@ def test_jaccard_join_chains(spark):
     assert got == X.jaccard_groups(texts)
 
 
+def test_jaccard_links(spark, docs, texts, empty):
+    """Links within a component count too."""
+    sets = {i: X.shingle_set(t) for i, t in texts.items()}
+    want = {i: (len(a), sum(j != i and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items())) for i, a in sets.items()}
+    assert max(n for _, n in want.values()) > 2
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard_join.jaccard_links(docs).collect()} == want
+    assert jaccard_join.jaccard_links(empty).count() == 0
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_links) for r in jaccard_join.jaccard_links(df).collect()), key=str) == [(1, 2), (1, 2), (2, 0), (None, 2)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]

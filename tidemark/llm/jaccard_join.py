@@ -13,6 +13,10 @@ of different components whose distances to the pivot differ by at most 1 - t; th
 with a few members of the first component, then up to `pivots` of the others as new pivots, until no pair is left. Comparisons are
 exact, on texts that stream past the pivot's set.
 
+`jaccard_components` prunes pairs within a component, so it knows no links; `jaccard_links` counts each row's links, from
+all pairs of sets that share a shingle of their windows and that sizes and bitmaps allow, each compared exactly. Its
+work grows with the number of such pairs.
+
 Equal sets are one node from the start. Defined results: null text and text without words have no shingles and link
 with nothing; repeated rows each get a row; a null doc_id counts as the largest; an empty table gives an empty result.
 Columns other than the id and the text are ignored, so their names cannot clash.
@@ -182,6 +186,56 @@ def _compare(k: int):
     return run
 
 
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+    """pairs(fp, pivot) with both, either, and linked."""
+    wanted = pairs.unionAll(pairs.select("pivot", "pivot").toDF("fp", "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
+    sent = texts.join(wanted, "fp").select("fp", F.explode("pivots").alias("pivot"), "text")
+    sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("fp") != F.col("pivot"))
+    return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
+
+
+def _meeting(t: Fraction):
+    """Pairs (fp < pivot) of the sets of each shingle, sorted by it, but those whose sizes or parity bitmaps show a similarity under t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
+            token, fp, n = (rows.column(c).to_numpy() for c in ("key", "fp", "n"))
+            bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(token), -1)
+            n = n.astype(np.int64)
+            cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            for s, e in zip(cut, np.append(cut[1:], len(token)), strict=True):
+                for i in range(s, e - 1):
+                    most = (n[i + 1 : e] + n[i]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+                    near = i + 1 + np.flatnonzero(np.abs(n[i + 1 : e] - n[i]) <= most)
+                    near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= most[near - i - 1]]
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[near], fp[i])), pa.array(np.maximum(fp[near], fp[i]))], names=["fp", "pivot"])
+
+    return run
+
+
+def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = 20) -> DataFrame:
+    """doc_id, rk, n_shingles, n_links (other rows that the row links with, by the rule of jaccard_components) of each row."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    t, parts = Fraction(percent, 100), partitions(spark)
+    named = keyed(docs, text, doc_id)
+    counts = sketch(named, k, bits)
+    signed = materialize(named.mapInArrow(_signatures(counts, k, t), "doc long, rk long, n int, fp long, pivots array<long>, parity binary"), "signatures")
+    some = signed.where("n > 0")
+    sets = some.dropDuplicates(["fp"]).select(F.explode("pivots").alias("token"), "fp", "n", "parity")
+    pairs = materialize(sets.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_meeting(t), "fp long, pivot long").distinct(), "pairs")
+    owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(pairs.select("fp").union(pairs.select("pivot")).distinct(), "fp")
+    texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners, "rk").select("fp", "text"), "texts")
+    links = materialize(_compared(texts, pairs, k, percent, parts).where("linked").select("fp", "pivot"), "links")
+    copies = some.groupBy("fp").agg(F.count("*").alias("copies"))
+    ends = links.unionAll(links.select("pivot", "fp").toDF("fp", "pivot"))
+    others = ends.join(copies.withColumnRenamed("fp", "pivot"), "pivot").groupBy("fp").agg(F.sum("copies").alias("others"))
+    counted = copies.join(others, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = signed.join(counted, (signed["fp"] == counted["fp"]) & (signed["n"] > 0), "left")
+    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "rk", F.col("n").cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = 20, pivots: int = 64) -> DataFrame:
     """doc_id, rk (names the row by id and text), n_shingles, component_id (the smallest id reachable by links) of each row.
 
@@ -206,11 +260,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     release(spark)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """pairs(fp, pivot) with both, either, and linked."""
-        wanted = pairs.unionAll(pairs.select("pivot", "pivot").toDF("fp", "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
-        sent = texts.join(wanted, "fp").select("fp", F.explode("pivots").alias("pivot"), "text")
-        sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("fp") != F.col("pivot"))
-        return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
+        return _compared(texts, pairs, k, percent, parts)
 
     known = materialize(compare(regions.where("fp <> pivot").select("fp", "pivot").distinct()), "compared")
     links = lambda t: t.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
