@@ -216,6 +216,23 @@ def test_embedding_dedup(spark):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_links_with_many_lists(spark):
+    """Pairs near the threshold in one crowd, a list for every second vector: both ends find each link."""
+    r = np.random.default_rng(6)
+    base = np.append(1.0, np.zeros(31)) + r.normal(scale=0.08, size=(200, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([base, 0.953 * base + np.sqrt(1 - 0.953**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.embedding_dedup(df, per_list=2, block=40).collect()}
+    f = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = f @ f.T >= 0.95
+    found = X.components(range(len(f)), lambda a, b: links[a, b])
+    assert got == {i: (int(links[i].sum()) - 1, found[i]) for i in range(len(f))}
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 

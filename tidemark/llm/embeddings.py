@@ -3,9 +3,11 @@
 Equal vectors are first put together (a partial aggregate), so a vector in a third of all rows is one search. Coarse
 centroids and subspace codebooks are fitted on a bounded sample; every vector is indexed. A vector's code is its
 nearest centroid's list and, for each subspace, the codeword nearest to its residual, with the exact length of what the
-code leaves out. Each vector searches its nearest `probes` lists: table lookups give its distance to each code, a code
+code leaves out. Each vector searches every list that can hold a partner: a list is excluded only if the vector is
+further than the threshold's distance from all places that are nearer to that list's centroid than to the vector's own.
+So both ends find a link, however many lists there are. Table lookups give its distance to each code, a code
 is dropped only if the triangle inequality with the code's own error excludes the threshold, and the rest are compared
-exactly in double precision. Lists are dealt out in blocks of at most `block` codes, searches stream past them, and a
+exactly in double precision. Lists are dealt out in groups of at most `block` codes, larger lists in blocks, searches stream past them, and a
 block passes on counts and a spanning forest of its links, never its pairs.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components link
@@ -86,8 +88,38 @@ ROW = "cell int, block int, search int, id long, n long, v array<float>, code bi
 FOUND = "a long, b long, n long"
 
 
-def _route(index: Index, probes: int, blocks: np.ndarray):
-    """A row for each vector's place in the index, and one for each block that it searches."""
+def reach_of(threshold: float) -> float:
+    """Distance of two unit vectors at the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+
+
+def reachable(x: np.ndarray, coarse: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
+    """Which lists can hold a vector within reach of each row of x, whose nearest centroid is `own`.
+
+    What is in a list is on its side of the plane between its centroid and that of x, and x is at a known distance from it.
+    """
+    length = (coarse**2).sum(1)
+    far = length - 2 * x @ coarse.T
+    between = length[own][:, None] + length - 2 * coarse[own] @ coarse.T
+    return far - far[np.arange(len(x)), own][:, None] <= 2 * reach * np.sqrt(np.maximum(between, 0)) + 1e-6
+
+
+def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each list, in order, and blocks of each group: small lists go together, larger ones than most are split."""
+    group, blocks, have = np.zeros(len(counts), np.int64), [0], 0
+    for i, n in enumerate(counts):
+        if i and have + n > most:
+            blocks.append(0)
+            have = 0
+        have += n
+        group[i] = len(blocks) - 1
+        blocks[-1] = max(1, -(-int(have) // most))
+    return group, np.array(blocks)
+
+
+def _route(index: Index, reach: float, group: np.ndarray, blocks: np.ndarray):
+    """A row for each vector's place in the index, and one for each block that it searches; cell is the group of lists."""
+    starts = np.searchsorted(group, np.arange(len(blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,17 +128,17 @@ def _route(index: Index, probes: int, blocks: np.ndarray):
             v = b.column("v")
             x = np.asarray(v.flatten(), float).reshape(b.num_rows, -1)
             x = x / np.linalg.norm(x, axis=1)[:, None]
-            cells = nearest(x, index.coarse, probes)
-            codes, error = index.encode(x - index.coarse[cells[:, 0]])
+            home_cell = nearest(x, index.coarse, 1)[:, 0]
+            codes, error = index.encode(x - index.coarse[home_cell])
             ids = b.column("id").to_numpy()
-            n, k = len(x), cells.shape[1]
-            home = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[cells[:, 0]]
-            row = np.repeat(np.arange(n), blocks[cells].sum(1))
-            cell = np.repeat(cells.ravel(), blocks[cells.ravel()])
-            first = np.repeat(np.cumsum(blocks[cells.ravel()]) - blocks[cells.ravel()], blocks[cells.ravel()])
+            n = len(x)
+            home = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[group[home_cell]]
+            who, to = np.nonzero(np.logical_or.reduceat(reachable(x, index.coarse, home_cell, reach), starts, axis=1))
+            row, cell = np.repeat(who, blocks[to]), np.repeat(to, blocks[to])
+            first = np.repeat(np.cumsum(blocks[to]) - blocks[to], blocks[to])
             block = np.arange(len(cell)) - first
-            for search, r, c, bl in ((0, np.arange(n), cells[:, 0], home), (1, row, cell, block)):
-                own = pa.array([codes[i].tobytes() for i in r] if not search else [None] * len(r), pa.binary())
+            for search, r, c, bl in ((0, np.arange(n), group[home_cell], home), *((1, row[i : i + 8192], cell[i : i + 8192], block[i : i + 8192]) for i in range(0, len(row), 8192))):
+                own = pa.array([home_cell[i].astype(np.int32).tobytes() + codes[i].tobytes() for i in r] if not search else [None] * len(r), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c.astype(np.int32)), pa.array(bl.astype(np.int32)), pa.array(np.full(len(r), search, np.int32)), b.column("id").take(pa.array(r)), b.column("n").take(pa.array(r)), v.take(pa.array(r)), own, pa.array(error[r])],
                     names=["cell", "block", "search", "id", "n", "v", "code", "error"],
@@ -117,14 +149,15 @@ def _route(index: Index, probes: int, blocks: np.ndarray):
 
 def _search(index: Index, threshold: float):
     """Streams rows sorted by cell, block, search, id; holds one block. Gives (a, a, links) for each search and (a, b, 0) edges of a spanning forest."""
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    reach = reach_of(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
 
         def load():
             ids, n, x, codes, error = (np.concatenate(c) for c in zip(*held, strict=True))
-            return {"id": ids, "n": n, "x": x, "code": codes.astype(np.int64), "error": error, "root": np.arange(len(ids))}
+            cell, codes = codes[:, :4].copy().view(np.int32)[:, 0], codes[:, 4:]  # the list, then the codewords
+            return {"id": ids, "n": n, "x": x, "lists": [(c, np.flatnonzero(cell == c)) for c in np.unique(cell)], "code": codes.astype(np.int64), "error": error, "root": np.arange(len(ids))}
 
         def root(r: np.ndarray, i: int) -> int:
             while r[i] != i:
@@ -143,28 +176,29 @@ def _search(index: Index, threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         def search(k, ids, x):
-            center = index.coarse[now[0]]
-            tables = index.tables(x - center)
-            for i in range(0, len(x), 256):
-                j = min(i + 256, len(x))
-                d = sum(t[i:j][:, k["code"][:, s]] for s, t in enumerate(tables))
-                q, y = np.nonzero(np.sqrt(np.maximum(d, 0)) <= reach + k["error"])
-                own = ids[i + q] == k["id"][y]
+            can = reachable(x, index.coarse, nearest(x, index.coarse, 1)[:, 0], reach)
+            for cell, at, who in ((cell, at, w) for cell, at in k["lists"] for w in np.split(np.flatnonzero(can[:, cell]), range(256, len(x), 256))):
+                if not len(who):
+                    continue
+                d = sum(t[:, k["code"][at, s]] for s, t in enumerate(index.tables(x[who] - index.coarse[cell])))
+                q, y = np.nonzero(np.sqrt(np.maximum(d, 0)) <= reach + k["error"][at])
+                y = at[y]
+                own = ids[who[q]] == k["id"][y]
                 q, y = q[~own], y[~own]
-                cosine = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", x[i + q[s : s + 65536]], k["x"][y[s : s + 65536]]) for s in range(0, len(q), 65536)])
+                cosine = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", x[who[q[s : s + 65536]]], k["x"][y[s : s + 65536]]) for s in range(0, len(q), 65536)])
                 ok = cosine >= threshold
                 q, y = q[ok], y[ok]
                 if not len(q):
                     continue
-                links = np.bincount(q, k["n"][y], j - i).astype(np.int64)
+                links = np.bincount(q, k["n"][y], len(who)).astype(np.int64)
                 first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
                 base = y[first][np.cumsum(np.append(True, q[1:] != q[:-1])) - 1]
                 for u, v in np.unique(np.column_stack([k["root"][base], k["root"][y]]), axis=0):
                     u, v = root(k["root"], u), root(k["root"], v)
                     k["root"][max(u, v)] = min(u, v)
                 has = np.flatnonzero(links)
-                yield out(ids[i + has], ids[i + has], links[has])
-                yield out(ids[i + q[first]], k["id"][y[first]], np.zeros(len(first), np.int64))
+                yield out(ids[who[has]], ids[who[has]], links[has])
+                yield out(ids[who[q[first]]], k["id"][y[first]], np.zeros(len(first), np.int64))
 
         for b in batches:
             if not b.num_rows:
@@ -197,10 +231,10 @@ def unlinked(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
 
-def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, probes: int = 8, per_list: int = 200, most_lists: int = 4096, subspaces: int = 8, sample: int = 20_000, block: int = 20_000) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, per_list: int = 200, most_lists: int = 4096, subspaces: int = 8, sample: int = 20_000, block: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
-    sample: vectors that the index is fitted on; probes: lists that each vector searches; block: codes a task holds.
+    sample: vectors that the index is fitted on; block: codes a task holds.
     """
     spark = vectors.sparkSession
     arrow_rows(spark)
@@ -215,12 +249,13 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     index = fit_index(classes, n, sample, per_list, most_lists, subspaces)
     if index is None:
         return unlinked(rows)
-    one = np.ones(len(index.coarse), np.int64)
-    homes = classes.mapInArrow(_route(index, 1, one), ROW).where("search = 0").groupBy("cell").count().collect()  # a row for each list
-    blocks = one.copy()
+    each = np.arange(len(index.coarse))
+    homes = classes.mapInArrow(_route(index, -1.0, each, np.ones_like(each)), ROW).where("search = 0").groupBy("cell").count().collect()  # a row for each list
+    counts = np.zeros(len(each), np.int64)
     for r in homes:
-        blocks[r["cell"]] = -(-r["count"] // block)
-    routed = classes.mapInArrow(_route(index, probes, blocks), ROW).repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "search", "id")
+        counts[r["cell"]] = r["count"]
+    group, blocks = dealt(counts, min(block, -(-n // partitions(spark))))
+    routed = classes.mapInArrow(_route(index, reach_of(threshold), group, blocks), ROW).repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "search", "id")
     found = materialize(routed.mapInArrow(_search(index, threshold), FOUND), "links")
     edges = components(found.where("a <> b").select("a", "b"))
     direct = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
