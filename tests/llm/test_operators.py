@@ -192,6 +192,22 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.matches(df, bench.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_decontamination_of_short_items_with_an_edit(spark):
+    """The tolerance of 20 % is an edit at 5 to 7 words and none below."""
+    items = {k: [f"i{k}w{j}" for j in range(k)] for k in range(1, 8)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows, want = [], []
+    for k, w in items.items():
+        for at in range(k):
+            for copy in (w[:at] + w[at + 1 :], [*w[:at], "zz", *w[at + 1 :]], [*w[:at], "zz", *w[at:]]):
+                for lead, tail in (([], []), (["lead"] * 3, ["tail"] * 2)):
+                    rows.append((len(rows), " ".join(lead + copy + tail)))
+                    want.append({k} if k >= 5 or " ".join(w) in rows[-1][1] else set())
+    df = spark.createDataFrame([*rows, (len(rows), "i7w0 zz i7w2 i7w3 yy i7w5 i7w6")], "doc_id long, text string")
+    got = {x.doc_id: {m.item_id for m in x.matches} for x in decontamination.matches(df, bench).collect()}
+    assert got == dict(enumerate([*want, set()]))
+
+
 def test_edit_distance():
     values = lambda s: np.frombuffer(s.encode(), np.uint8)
     assert decontamination.edit_distance(values("abcd"), values("xxabcdxx")) == (0, 6)

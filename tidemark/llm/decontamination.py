@@ -8,7 +8,9 @@ words), documents at every `stride`-th word, so some window of a copy stands at
 hashes in any repetition give a candidate place of the whole item, where the edit distance is computed exactly. An
 unedited stretch of window + stride - 1 words is always found; the repetitions find most windows with an edit or two.
 
-Items under `exact` words are matched as they are, without edits. The benchmark is read in blocks of bounded size, so
+Items under `exact` words are too short for walks. Where the tolerance allows them e edits, they are cut into e + 1 parts,
+of which one at least stands unedited in a copy: each place of a part is a candidate place of the item. Others are
+matched as they are. The benchmark is read in blocks of bounded size, so
 what the tasks are sent is bounded whatever its size.
 
 Defined results: null or wordless items match nothing; null text counts as empty; repeated rows get equal results; an
@@ -86,7 +88,7 @@ def edit_distance(item: np.ndarray, place: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of the benchmark, ready for look-up."""
 
-    def __init__(self, rows: list[tuple], window: int, exact: int, repetitions: int, picked: int, stride: int):
+    def __init__(self, rows: list[tuple], window: int, exact: int, repetitions: int, picked: int, stride: int, tolerance: float):
         data = [(t or "").encode() for _, t in rows]
         off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         values, begin, n = word_values(np.frombuffer(b"".join(data), np.uint8), off, 2 * window)
@@ -106,10 +108,28 @@ class Items:
             seen = np.zeros(1 << 16, bool)
             seen[h >> np.uint64(48)] = True
             self.tables.append((seen, h[o], item[o], place[o]))
-        self.short: dict[int, dict[int, list[int]]] = {}
+        # by length of the part: by its hash, the items that have it, and where
+        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.parts: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for i, k in enumerate(n):
             if 0 < k < exact:
-                self.short.setdefault(int(k), {}).setdefault(int(K.grams(self.words[i], int(k))[0]), []).append(i)
+                cuts = np.linspace(0, k, min(int(tolerance * k), int(k) - 1) + 2).astype(int)
+                held = self.short if len(cuts) == 2 else self.parts
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    held.setdefault(int(z - a), {}).setdefault(int(K.grams(self.words[i][a:z], int(z - a))[0]), []).append((i, int(a)))
+
+    @staticmethod
+    def places(held: dict[int, dict[int, list[tuple[int, int]]]], values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """Row, item, and place where the item would begin, of each part of an item that stands in a row."""
+        out = []
+        for k, keys in held.items():
+            g = K.grams(values, k)
+            for p in np.flatnonzero(np.isin(g, np.array(list(keys), np.uint64))).tolist():
+                r = int(np.searchsorted(begin, p, "right")) - 1
+                s = p - int(begin[r])
+                if s + k <= n[r]:
+                    out += [(r, it, s - a) for it, a in keys[int(g[p])]]
+        return out
 
     def candidates(self, values: np.ndarray, starts: np.ndarray):
         """Start, item, and place in the item of windows with equal hashes."""
@@ -144,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
     schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"matches array<struct<item_id:{kind},start:int,stop:int,edits:int>>")])
     for n in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()  # about block_bytes
-        index = Items([(r[0], r[1]) for r in part], window, exact, repetitions, picked, stride)
+        index = Items([(r[0], r[1]) for r in part], window, exact, repetitions, picked, stride, tolerance)
         rows = rows.mapInArrow(_find(index, tolerance, stride), schema)
     return rows
 
@@ -166,7 +186,7 @@ def _find(index: Items, tolerance: float, stride: int):
                 owner = np.searchsorted(begin, at, "right") - 1
                 # windows at one place of an item are one candidate
                 tried = np.unique(np.column_stack([owner, item, at - begin[owner] - place]), axis=0)
-                for r, it, s in tried.tolist():
+                for r, it, s in tried.tolist() + sorted(set(index.places(index.parts, values, begin, n))):
                     words = index.words[it]
                     most = int(tolerance * len(words))
                     if any(m["item_id"] == index.ids[it] and m["start"] <= s + most and s - most <= m["start"] for m in found[i + r]):
@@ -178,13 +198,8 @@ def _find(index: Items, tolerance: float, stride: int):
                     if edits <= most:
                         _, length = edit_distance(words[::-1], values[begin[r] + lo : begin[r] + lo + end][::-1])
                         found[i + r].append({"item_id": index.ids[it], "start": lo + end - length, "stop": lo + end, "edits": edits})
-                for k, table_ in index.short.items():
-                    g = K.grams(values, k)
-                    for p in np.flatnonzero(np.isin(g, np.array(list(table_), np.uint64))).tolist():
-                        r = int(np.searchsorted(begin, p, "right")) - 1
-                        s = p - int(begin[r])
-                        if s + k <= n[r]:
-                            found[i + r] += [{"item_id": index.ids[it], "start": s, "stop": s + k, "edits": 0} for it in table_[int(g[p])]]
+                for r, it, s in index.places(index.short, values, begin, n):
+                    found[i + r].append({"item_id": index.ids[it], "start": s, "stop": s + len(index.words[it]), "edits": 0})
             kind = b.schema.field("matches").type.value_type.field("item_id").type if "matches" in b.schema.names else index.kind
             struct = pa.list_(pa.struct([("item_id", kind), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
             names = ["doc_id", "text", "rest"]
