@@ -114,7 +114,7 @@ def test_kernels():
     assert list(N.peaks(np.array([0, 1, 1, 0, 2, 0]))) == [1, 4]
     assert np.allclose(N.gaussian_smooth(np.ones(20), 3), 1) and np.allclose(N.savitzky_golay(np.arange(9.0) ** 2, 5, 2)[2:-2], np.arange(2, 7) ** 2)
     x = np.arange(6.0)
-    assert np.allclose(N.natural_spline(x, 2 * x + 1, np.linspace(0, 5, 11)), 2 * np.linspace(0, 5, 11) + 1)
+    assert np.allclose(N.smoothing_spline(x, 2 * x + 1, np.linspace(0, 5, 11)), 2 * np.linspace(0, 5, 11) + 1)
     assert N.active_span(np.zeros(10)) == (-1, -1)
     r = np.random.default_rng(0)
     a, c = r.normal(0, 1, (60, 3)), np.cos(0.005)

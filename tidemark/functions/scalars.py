@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ E = F.expr
 # Answer patterns, markers of transient errors, sentinels of missing labels, size limits.
 BLOCK = r"""\\{[^{}]*"points"\\s*:\\s*\\[\\s*(-?\\d+)\\s*\\][^{}]*\\}"""
 MARKERS = ("temporarily unavailable", "timed out", "timeout", "connection reset", "rate limit", "try again")
+NAMES = ("timeout", "connection", "connecterror")
 UNAVAILABLE = ("", "x", "na", "n/a", "none", "null")
 LONG, SHORT = 2000, 768
 
@@ -56,7 +60,7 @@ def redact(text: str, secret: str) -> Column:
 
 def transient(status: str, name: str, message: str) -> Column:
     """408, 429 and 500 on are transient; without a status, names and messages of timeouts and lost connections."""
-    named = F.lower(name).rlike("timeout|connection|connecterror")
+    named = F.lower(name).rlike("|".join(NAMES))
     said = F.lower(message).rlike("|".join(MARKERS))
     return F.when(F.col(status).isNotNull(), F.col(status).isin(408, 429) | (F.col(status) >= 500)).otherwise(F.coalesce(named | said, F.lit(False)))
 
@@ -88,3 +92,64 @@ def resized(width: str, height: str) -> Column:
     return E(f"""case when {width} > {height} then
       if(cast(least({width}, {LONG}) / ({width} / {height}) as int) > {SHORT}, named_struct('w', cast({SHORT} * ({width} / {height}) as int), 'h', {SHORT}), named_struct('w', cast(least({width}, {LONG}) as int), 'h', cast(least({width}, {LONG}) / ({width} / {height}) as int)))
       else if(cast(least({height}, {LONG}) * ({width} / {height}) as int) > {SHORT}, named_struct('w', {SHORT}, 'h', cast({SHORT} / ({width} / {height}) as int)), named_struct('w', cast(least({height}, {LONG}) * ({width} / {height}) as int), 'h', cast(least({height}, {LONG}) as int))) end""")
+
+
+def parse_point_many(text: str) -> Column:
+    """struct<point, many>: as parse_point_first, and whether the block names several numbers."""
+    block = f"""regexp_extract(replace(replace({text}, ' ', ''), '\\n', ''), '\\\\{{"points":\\\\[([^\\\\]}}]*)', 1)"""
+    return F.struct(parse_point_first(text).alias("point"), E(f"contains({block}, ',')").alias("many"))
+
+
+def weighted_reward(*rewards: str, weights: tuple[float, ...] = (1.0, 0.0, 0.0)) -> Column:
+    """Reward columns summed by weight; a missing reward counts as 0."""
+    return sum((F.coalesce(F.col(r), F.lit(0.0)) * w for r, w in zip(rewards, weights, strict=True)), F.lit(0.0))
+
+
+def conversational(text: str) -> Column:
+    """A prompt as one user turn of an image part and a text part."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("text"))
+    return F.array(F.struct(F.lit("user").alias("role"), F.array(part("image", F.lit(None)), part("text", F.col(text))).alias("content")))
+
+
+def _content(value: object) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "".join(map(_content, value))
+    if isinstance(value, dict):
+        if "text" in value:
+            text = value["text"]
+            return _content(text["value"] if isinstance(text, dict) and "value" in text else text)
+        return _content(value.get("content", value.get("value")))
+    return str(value)
+
+
+def content_text(column: str) -> Column:
+    """The text of an answer's content given as JSON, nested as it may be: strings and numbers, lists of parts, objects with text, content or value.
+
+    Parts are joined without a separator, other objects and null give nothing; what is not JSON is taken as it is.
+    An Arrow batch at a time, as SQL has no recursion over a value.
+    """
+
+    @F.pandas_udf("string")
+    def flat(values: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str:
+            try:
+                return "" if text is None else _content(json.loads(text))
+            except ValueError:
+                return text
+
+        return values.map(one, na_action=None)
+
+    return flat(F.col(column))
+
+
+def choices(values: list[str] | None, allowed: tuple, label: str = "choice") -> list:
+    """The choices of comma-separated values, each once and in order; None chooses all, an unknown one is an error."""
+    if values is None:
+        return list(allowed)
+    tokens = [t.strip() for v in values for t in str(v).split(",") if t.strip()]
+    known = {str(a): a for a in allowed}
+    if unknown := [t for t in tokens if t not in known]:
+        raise ValueError(f"unknown {label}: {unknown}; known are {list(allowed)}")
+    return list(dict.fromkeys(known[t] for t in tokens))

@@ -93,3 +93,14 @@ def summary(counts: DataFrame) -> DataFrame:
     """counts(missing, unexpected, duplicate, errors): complete, valid and success; partial data never is a success."""
     out = counts.withColumn("complete", E("missing = 0 and unexpected = 0 and duplicate = 0")).withColumn("valid", F.col("errors") == 0)
     return out.withColumn("success", F.col("complete") & F.col("valid"))
+
+
+def conversion(episodes: DataFrame) -> DataFrame:
+    """status (converted, reused or error) and error of rows(episode, labels_valid, source_valid, there, output_valid, force), by episode.
+
+    What is there is reused if it is valid and force is not set; else it is made anew. An output that fails its check is
+    an error either way. force may be missing.
+    """
+    reuse = F.col("there") & ~F.col("force") if "force" in episodes.columns else F.col("there")
+    bad = F.when(~F.col("labels_valid"), "labels").when(~F.col("source_valid"), "source").when(reuse & ~F.col("output_valid"), "output")
+    return episodes.select("episode", F.when(bad.isNotNull(), "error").when(reuse, "reused").otherwise("converted").alias("status"), bad.alias("error"))

@@ -67,30 +67,63 @@ def below_percentile(detections: DataFrame, share: float = 0.15) -> DataFrame:
 
 
 def cue_lists(frames: DataFrame, n: int = 4) -> DataFrame:
-    """episode, num_frames, speed_list (n slowest, slowest first), pinch_list (minima and neighbours, in order), ranked (all usable frames by speed)."""
+    """episode, num_frames, speed_list (n slowest, slowest first), pinch_list (minima and neighbours, in order), ranked (all usable frames by speed), ranked_speeds (theirs)."""
     totals = frames.groupBy("episode").agg(F.max("num_frames").alias("num_frames"))
 
     def listed(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col("frame_idx").alias("f")))), lambda x: x["f"]).alias(name))
 
-    ranked = listed(frames.where(usable()), "speed", "ranked")
+    order = F.array_sort(F.collect_list(F.struct("speed", F.col("frame_idx").alias("f"))))
+    ranked = frames.where(usable()).groupBy("episode").agg(order.alias("o")).select("episode", F.col("o.f").alias("ranked"), F.col("o.speed").alias("ranked_speeds"))
     near = listed(with_neighbors(minima(frames), totals), "frame_idx", "pinch_list")
     none = E("cast(array() as array<int>)")
     out = totals.join(ranked, "episode", "left").join(near, "episode", "left")
-    return out.select("episode", "num_frames", F.coalesce("ranked", none).alias("ranked"), F.coalesce("pinch_list", none).alias("pinch_list")).withColumn("speed_list", F.slice("ranked", 1, n))
+    speeds = F.coalesce("ranked_speeds", E("cast(array() as array<double>)")).alias("ranked_speeds")
+    return out.select("episode", "num_frames", F.coalesce("ranked", none).alias("ranked"), speeds, F.coalesce("pinch_list", none).alias("pinch_list")).withColumn("speed_list", F.slice("ranked", 1, n))
 
 
 def mode_candidates(cues: DataFrame, n: int = 4) -> DataFrame:
     """cues, candidates and fallback frames of each mode; a mode reads only its own signals."""
     one = cues.withColumn("mode", F.explode(F.array(*map(F.lit, ("speed", "pinch", "speed_pinch")))))
+    return _filled(one.withColumn("own_pool", E("sequence(0, num_frames - 1)")), n)
+
+
+def _filled(rows: DataFrame, n: int) -> DataFrame:
+    """rows(mode, ranked, speed_list, pinch_list, own_pool): the mode's cues, filled up to n from its pool; the first frames if nothing is left."""
     chronological = E("sequence(0, num_frames - 1)")
-    out = one.withColumn("cues", E("case mode when 'speed' then speed_list when 'pinch' then pinch_list else array_distinct(concat(speed_list, pinch_list)) end"))
-    out = out.withColumn("pool", F.when(F.col("mode") == "pinch", chronological).otherwise(F.col("ranked")))
+    out = rows.withColumn("cues", E("case mode when 'speed' then speed_list when 'pinch' then pinch_list else array_distinct(concat(speed_list, pinch_list)) end"))
+    out = out.withColumn("pool", F.when(F.col("mode") == "pinch", F.col("own_pool")).otherwise(F.col("ranked"))).drop("own_pool")
     out = out.withColumn("fallback", E(f"slice(array_except(pool, cues), 1, greatest(0, {n} - size(cues)))"))
     out = out.withColumn("bare", (F.size("cues") + F.size("fallback")) == 0).withColumn("fallback", F.when(F.col("bare"), F.slice(chronological, 1, n)).otherwise(F.col("fallback")))
     return out.withColumn("candidates", F.concat("cues", "fallback")).drop("bare")
 
 
+def mode_candidates_after(rows: DataFrame, n: int = 4) -> DataFrame:
+    """mode_candidates after a rejection, over rows(cue lists, mode, flag, ref, ref_speed).
+
+    feedback leaves the frames after ref, speed those slower than ref_speed (pinch cues all stay), another flag all but ref.
+    """
+    left = "case flag when 'feedback' then filter({0}, f -> f > ref) when 'speed' then {1} else filter({0}, f -> f <> ref) end"
+    slower = "slice(ranked, 1, size(filter(ranked_speeds, s -> s < ref_speed)))"
+    out = rows.withColumn("ranked", E(left.format("ranked", slower))).withColumn("speed_list", F.slice("ranked", 1, n))
+    out = out.withColumn("pinch_list", E(left.format("pinch_list", "pinch_list"))).withColumn("own_pool", E(left.format("sequence(0, num_frames - 1)", "sequence(0, num_frames - 1)")))
+    return _filled(out, n)
+
+
+def bare_candidates(rows: DataFrame, n: int = 4) -> DataFrame:
+    """The variant that fills nothing up, over rows(cue lists, mode, flag, ref, ref_speed): candidates, pool and the frames that a grid must avoid.
+
+    Pinch mode keeps its cues and all frames as pool; only a fault there rules out ref itself.
+    """
+    slower = "slice(ranked, 1, size(filter(ranked_speeds, s -> s < ref_speed)))"
+    allowed = E(f"case flag when 'feedback' then filter(ranked, f -> f > ref) when 'speed' then {slower} else filter(ranked, f -> f <> ref) end")
+    out = rows.withColumn("allowed", allowed)
+    out = out.withColumn("candidates", E(f"case mode when 'speed' then slice(allowed, 1, {n}) when 'pinch' then pinch_list else array_distinct(concat(slice(allowed, 1, {n}), pinch_list)) end"))
+    out = out.withColumn("pool", E("if(mode = 'pinch', sequence(0, num_frames - 1), allowed)"))
+    none = "cast(array() as array<int>)"
+    return out.withColumn("invalid", E(f"case when mode <> 'pinch' then array_sort(array_except(ranked, allowed)) when flag = 'fault' then array(ref) else {none} end")).drop("allowed")
+
+
 def window_start(center: Column, total: Column, cells: int = CELLS) -> Column:
     return F.greatest(F.lit(0), F.least(center - cells // 2, total - cells))
 
@@ -112,6 +145,18 @@ def consecutive_grid(lists: DataFrame, candidates: str = "candidates", min_index
     return out.withColumn("start", F.when(F.col("relaxed"), start).otherwise(F.greatest(start, after))).drop("clean")
 
 
+def walk_grid(lists: DataFrame, candidates: str = "candidates", invalid: str = "invalid", cells: int = CELLS) -> DataFrame:
+    """The `cells` frames nearest to the half-even mean of the candidates, left before right at one distance, without the invalid ones.
+
+    average, grid (in order; empty without candidates) and at, the place of the average in it (0 if it is not there).
+    """
+    mean = F.aggregate(candidates, F.lit(0.0), lambda a, f: a + f) / F.size(candidates)
+    out = lists.withColumn("average", F.when(F.size(candidates) > 0, F.bround(mean).cast("int")))
+    near = f"transform(array_except(sequence(0, num_frames - 1), {invalid}), f -> named_struct('far', abs(f - average), 'f', f))"
+    out = out.withColumn("grid", E(f"if(average is null, cast(array() as array<int>), array_sort(transform(slice(array_sort({near}), 1, {cells}), x -> x.f)))"))
+    return out.withColumn("at", E("cast(greatest(0, array_position(grid, coalesce(average, -1)) - 1) as int)"))
+
+
 def grid_recall(windows: DataFrame, truths: DataFrame, cells: int = CELLS) -> DataFrame:
     """Whether the truth lies in the window, and its distance to the nearest frame of it."""
     far = F.greatest(F.lit(0), F.col("start") - F.col("gt"), F.col("gt") - (F.col("start") + cells - 1))
@@ -175,6 +220,21 @@ def speed_gate(frames: DataFrame, picks: DataFrame, zero_based: bool = False) ->
     return own.join(cut, "episode", "left").withColumn("accepted", F.coalesce(F.col("speed") <= F.col("cut"), F.lit(False)))
 
 
+def speed_gate_by_length(frames: DataFrame, picks: DataFrame) -> DataFrame:
+    """speed_gate with the rank int(0.3 * num_frames) of all frames; where so many are not usable there is no cut and nothing is accepted."""
+    cut = frames.where(usable()).withColumn("rank", F.row_number().over(by_speed())).where("rank = greatest(1, cast(floor(0.3D * num_frames) as int))").select("episode", F.col("speed").alias("cut"))
+    own = picks.join(frames.where(usable()).select("episode", "frame_idx", "speed"), ["episode", "frame_idx"], "left")
+    return own.join(cut, "episode", "left").withColumn("accepted", F.coalesce(F.col("speed") <= F.col("cut"), F.lit(False)))
+
+
+def around_minima(frames: DataFrame, points: DataFrame, reach: int = 2) -> DataFrame:
+    """Frames up to `reach` places (not frame numbers) from each point and the probability of drawing each: by inverse speed."""
+    here = Window.partitionBy("episode").orderBy("frame_idx").rowsBetween(-reach, reach)
+    near = frames.withColumn("near", F.collect_list(F.struct("frame_idx", "speed")).over(here)).join(points.select("episode", "frame_idx"), ["episode", "frame_idx"], "left_semi")
+    rows = near.select("episode", F.col("frame_idx").alias("minimum"), F.explode("near").alias("n")).select("episode", "minimum", "n.frame_idx", "n.speed").withColumn("w", E("1 / (speed + 1e-8D)"))
+    return rows.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("episode", "minimum")))
+
+
 def cue_coverage(windows: DataFrame, cells: int = CELLS) -> DataFrame:
     """How many of the window's frames are speed cues, pinch cues only, neither, and both."""
     used = E(f"sequence(start, start + {cells - 1})")

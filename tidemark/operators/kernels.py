@@ -27,24 +27,60 @@ def savitzky_golay(values: np.ndarray, window: int, order: int) -> np.ndarray:
     return np.convolve(np.pad(np.asarray(values, float), half, "edge"), weights[::-1], "valid")
 
 
-def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Interpolating natural cubic spline through (x, y). A smoothing spline of small penalty is close to it, not equal."""
+def banded_solve(diagonals: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+    """Solves a symmetric positive definite system of the main diagonal and the ones above it, in time by its length."""
+    n, w = len(right), len(diagonals)
+    low = [np.zeros(n) for _ in range(w)]  # rows of L D L': low[k][i] is L[i + k, i], low[0] is D
+    for i in range(n):
+        low[0][i] = diagonals[0][i] - sum(low[k][i - k] ** 2 * low[0][i - k] for k in range(1, min(w, i + 1)))
+        for k in range(1, min(w, n - i)):
+            low[k][i] = (diagonals[k][i] - sum(low[m][i - m] * low[m + k][i - m] * low[0][i - m] for m in range(1, min(w - k, i + 1)))) / low[0][i]
+    x = np.array(right, float)
+    for i in range(n):
+        x[i] -= sum(low[k][i - k] * x[i - k] for k in range(1, min(w, i + 1)))
+    x /= low[0]
+    for i in range(n - 1, -1, -1):
+        x[i] -= sum(low[k][i] * x[i + k] for k in range(1, min(w, n - i)))
+    return x
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, residual: float = 0.0) -> np.ndarray:
+    """Natural cubic spline of least curvature whose squared residuals sum to `residual` at most; with 0 it goes through (x, y).
+
+    The penalty is found by bisection; each step is a banded system, so time and memory follow the number of points.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     if n < 3:
         return np.interp(at, x, y)
     h = np.diff(x)
-    a = np.zeros((n, n))
-    r = np.zeros(n)
-    a[0, 0] = a[-1, -1] = 1
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    c = np.linalg.solve(a, r)
-    b = np.diff(y) / h - h * (2 * c[:-1] + c[1:]) / 3
-    d = np.diff(c) / (3 * h)
+    a, c = 1 / h[:-1], 1 / h[1:]
+    second = np.diff(np.diff(y) / h)
+    # second differences: rows (a, -a - c, c) over the points
+    r = [(h[:-1] + h[1:]) / 3, np.append(h[1:-1] / 6, 0.0), np.zeros(n - 2)]
+    q = [a**2 + (a + c) ** 2 + c**2, np.append(-(a[:-1] + c[:-1]) * a[1:] - c[:-1] * (a[1:] + c[1:]), 0.0), np.append(c[:-2] * a[2:], [0.0, 0.0])[: n - 2]]
+
+    def fit(penalty: float) -> tuple[np.ndarray, np.ndarray]:
+        bend = banded_solve([u + penalty * v for u, v in zip(r, q, strict=True)], second)
+        off = np.zeros(n)
+        off[:-2] += a * bend
+        off[1:-1] -= (a + c) * bend
+        off[2:] += c * bend
+        return y - penalty * off, bend
+
+    f, bend = fit(0.0)
+    if residual > 0:
+        low, high = 0.0, 1.0
+        while ((fit(high)[0] - y) ** 2).sum() < residual and high < 1e12:
+            low, high = high, high * 10
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if ((fit(mid)[0] - y) ** 2).sum() <= residual else (low, mid)
+        f, bend = fit(low)
+    m = np.concatenate([[0.0], bend, [0.0]])
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    t = at - x[i]
-    return y[i] + t * (b[i] + t * (c[i] + t * d[i]))
+    u, v = (x[i + 1] - at) / h[i], (at - x[i]) / h[i]
+    return u * f[i] + v * f[i + 1] + ((u**3 - u) * m[i] + (v**3 - v) * m[i + 1]) * h[i] ** 2 / 6
 
 
 def peaks(values: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
@@ -100,7 +136,7 @@ def local_minima(frames: np.ndarray, speeds: np.ndarray, kind: str = "short") ->
         window = max(3, n - 1 if n % 2 == 0 else n)
     smooth = savitzky_golay(s, window, min(order, window - 1, 8))
     grid = np.linspace(f.min(), f.max(), 300)
-    at = peaks(-natural_spline(f.astype(float), smooth, grid), distance, prominence)
+    at = peaks(-smoothing_spline(f.astype(float), smooth, grid, 1e-4 if kind == "short" else 1e-3 * s.mean()), distance, prominence)
     near = {int(f[np.abs(f - x).argmin()]) for x in np.rint(grid[at])}
     pairs = sorted(((x, float(s[f == x][0])) for x in near), key=lambda p: (p[1], p[0]))
     if kind == "short":
@@ -130,16 +166,50 @@ def clip_and_smooth(speeds: np.ndarray, top: float = 150.0, sigma: float = 2.0)
     return out
 
 
+class Cells:
+    """Points of space by cubes of side `reach`: what is within reach of a place is in its cube or one of the 26 around."""
+
+    def __init__(self, points: np.ndarray, reach: float):
+        self.points, self.reach = points, reach
+        self.low = np.floor(points.min(0) / reach).astype(np.int64) - 1
+        self.shape = np.floor(points.max(0) / reach).astype(np.int64) - self.low + 2
+        key = self.key(np.floor(points / reach).astype(np.int64))
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def key(self, cube: np.ndarray) -> np.ndarray:
+        at = cube - self.low
+        inside = ((at >= 0) & (at < self.shape)).all(1)
+        return np.where(inside, (at[:, 0] * self.shape[1] + at[:, 1]) * self.shape[2] + at[:, 2], -1)
+
+    def nearest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the nearest point within reach of each place (-1: none) and its squared distance."""
+        best, who = np.full(len(places), np.inf), np.full(len(places), -1)
+        cube = np.floor(places / self.reach).astype(np.int64)
+        for step in np.ndindex(3, 3, 3):
+            key = self.key(cube + np.array(step) - 1)
+            first, last = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+            last = np.where(key < 0, first, last)
+            for k in range(int((last - first).max(initial=0))):
+                row = np.flatnonzero(first + k < last)
+                point = self.order[first[row] + k]
+                d = ((places[row] - self.points[point]) ** 2).sum(1)
+                nearer = d < best[row]
+                best[row[nearer]], who[row[nearer]] = d[nearer], point[nearer]
+        who[best > self.reach**2] = -1
+        return who, best
+
+
 def align_points(source: np.ndarray, target: np.ndarray, reach: float = 0.03, rounds: int = 30) -> np.ndarray:
     """Point-to-point alignment from identity: the 4 x 4 rigid transform that brings source nearest to target."""
     t = np.eye(4)
     if not len(source) or not len(target):
         return t
+    cells = Cells(target, reach)
     for _ in range(rounds):
         moved = source @ t[:3, :3].T + t[:3, 3]
-        d = ((moved[:, None] - target[None]) ** 2).sum(2)
-        near = d.argmin(1)
-        ok = d[np.arange(len(moved)), near] <= reach**2
+        near, _far = cells.nearest(moved)
+        ok = near >= 0
         if ok.sum() < 3:
             break
         a, b = moved[ok], target[near[ok]]
@@ -182,6 +252,70 @@ def minima_by_episode(frames: DataFrame, kind: str) -> DataFrame:
     return frames.select("episode", "frame_idx", "speed").groupBy("episode").applyInPandas(one, "episode long, frame_idx int, speed double")
 
 
+def minima_by_type(clips: DataFrame) -> DataFrame:
+    """minima_by_episode with each clip's own kind, by its columns video_type and use_depth: short, long, or long_vda."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        kind = "short" if pdf["video_type"].iloc[0] == "short" else "long_vda" if pdf["use_depth"].iloc[0] else "long"
+        found = local_minima(pdf["frame_idx"].to_numpy(), pdf["speed"].to_numpy(), kind)
+        return pd.DataFrame({"episode": [pdf["episode"].iloc[0]] * len(found), "kind": kind, "frame_idx": [f for f, _ in found], "speed": [s for _, s in found]})
+
+    return clips.select("episode", "frame_idx", "speed", "video_type", "use_depth").groupBy("episode").applyInPandas(one, "episode long, kind string, frame_idx int, speed double")
+
+
+def smoothed_by_episode(frames: DataFrame, sigma: float, top: float | None = None) -> DataFrame:
+    """frames' speed smoothed by gaussian_smooth; with `top` by clip_and_smooth."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        speed = pdf["speed"].to_numpy()
+        return pdf.assign(smooth=gaussian_smooth(speed, sigma) if top is None else clip_and_smooth(speed, top, sigma))
+
+    return frames.select("episode", "frame_idx", "speed").groupBy("episode").applyInPandas(one, "episode long, frame_idx int, speed double, smooth double")
+
+
+def registered(clouds: DataFrame, wrists: DataFrame, reach: float = 0.03) -> DataFrame:
+    """episode, frame_idx, p: wrist positions in the coordinates of each episode's first cloud.
+
+    clouds(episode, frame_idx, points array<array<double>>), wrists(episode, frame_idx, p array<double>). The first
+    frame passes as it is, later ones move by the alignment of their cloud; frames without points or with a wrist that
+    is missing or not a number are left out. Each later cloud meets the first one alone, so an episode is never held whole.
+    """
+    solid = clouds.where(F.size("points") > 0)
+    lead = clouds.groupBy("episode").agg(F.min("frame_idx").alias("start"))
+    first = solid.join(lead, "episode").where("frame_idx = start").select("episode", F.col("points").alias("target"))
+    rows = solid.join(wrists, ["episode", "frame_idx"]).where("size(p) = 3 and forall(p, x -> x is not null and not isnan(x))").join(lead, "episode").join(first, "episode", "left")
+    rows = rows.where("frame_idx = start or target is not null")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for first_frame, points, target, p in zip(pdf["frame_idx"] == pdf["start"], pdf["points"], pdf["target"], pdf["p"], strict=True):
+                t = np.eye(4) if first_frame else align_points(np.array([*points], float), np.array([*target], float), reach)
+                out.append([float(x) for x in (t @ np.append(np.array(p, float), 1.0))[:3]])
+            yield pd.DataFrame({"episode": pdf["episode"], "frame_idx": pdf["frame_idx"], "p": out})
+
+    return rows.select("episode", "frame_idx", "start", "points", "target", "p").mapInPandas(run, "episode long, frame_idx int, p array<double>")
+
+
+def blobs_by_tensor(tensors: DataFrame, width: int, percent: float = 10.0, blobs: int = 1) -> DataFrame:
+    """vec_id, blob, size, row and col (means) of the nearest blobs of tensors(vec_id, inv): depths row by row, `width` a row."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, values in zip(pdf["vec_id"], pdf["inv"], strict=True):
+                depth = np.array(values, float)[: len(values) // width * width].reshape(-1, width)
+                label = nearest_blobs(depth, percent, blobs)
+                for b in range(1, label.max(initial=0) + 1):
+                    at = np.argwhere(label == b)
+                    out.append((key, b, len(at), *at.mean(0)))
+            yield pd.DataFrame(out, columns=["vec_id", "blob", "size", "row", "col"])
+
+    return tensors.select("vec_id", "inv").mapInPandas(run, "vec_id long, blob int, size int, row double, col double")
+
+
 def spans_by_episode(frames: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, z = active_span(pdf.sort_values("frame_idx")["speed"].to_numpy())

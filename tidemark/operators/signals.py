@@ -127,3 +127,29 @@ def invalid_tensor(tensors: DataFrame, least: float = 1e-4) -> DataFrame:
 
 def clip_duration(clips: DataFrame) -> DataFrame:
     return clips.withColumn("duration", F.when(F.col("readable"), F.when(F.col("fps") > 0, F.col("n_frames") / F.col("fps")).otherwise(0.0)))
+
+
+def shared_pass(hands: DataFrame, confidence: float = 0.5, least: int = 4) -> DataFrame:
+    """Both signals of one pass over hands(video, hand, kp): status, centre x, y of the surest hand, pinch and its hand.
+
+    A hand is valid with `least` points above the confidence; pinch is taken over valid hands alone.
+    """
+    good = hands.withColumn("good", F.filter("kp", lambda p: p["conf"] > confidence)).withColumn("valid", F.size("good") >= least)
+
+    def mean(c: str) -> Column:
+        return F.aggregate("good", F.lit(0.0), lambda a, p: a + p[c]) / F.size("good")
+
+    d = E("sqrt((kp[4].x - kp[8].x) * (kp[4].x - kp[8].x) + (kp[4].y - kp[8].y) * (kp[4].y - kp[8].y))")
+    rows = good.select("video", "hand", "valid", F.when(F.col("valid"), F.struct((-mean("conf")).alias("c"), "hand", mean("x").alias("x"), mean("y").alias("y"))).alias("centre"), F.when(F.col("valid"), F.struct(d.alias("pinch"), "hand")).alias("closest"))
+    out = rows.groupBy("video").agg(F.count("*").alias("hands"), F.count_if("valid").alias("valid"), F.min("centre").alias("centre"), F.min("closest").alias("closest"))
+    return detection_status(out.withColumn("readable", F.lit(True))).select("video", "status", "centre.x", "centre.y", "closest.pinch", F.col("closest.hand").alias("pinch_hand"))
+
+
+def curve(log: DataFrame, value: str, at: str = "epoch") -> DataFrame:
+    """The points (at, value) of a training log where the value is there."""
+    return log.where(F.col(value).isNotNull()).select(F.col(at), F.col(value).alias("value"))
+
+
+def shifted(track: DataFrame, by: int) -> DataFrame:
+    """A track with its frames renumbered: 1 from 0-based to 1-based numbers, -1 back."""
+    return track.withColumn("frame_idx", F.col("frame_idx") + by)

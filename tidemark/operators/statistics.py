@@ -71,6 +71,13 @@ def bootstrap_ci(rows: DataFrame, by: str, value: str, order: list[str], seed: i
     return rows.select(by, value, *[c for c in order if c not in (by, value)]).groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, low double, high double")
 
 
+def paired_bootstrap(rows: DataFrame, by: str, a: str, b: str, order: list[str], seed: int, resamples: int = 10_000) -> DataFrame:
+    """by, difference (mean of a - b), low, high, n over the rows where both are finite numbers."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (a, b)]
+    pairs = rows.where(finite[0] & finite[1]).withColumn("difference", F.col(a) - F.col(b))
+    return pairs.groupBy(by).agg(F.avg("difference").alias("difference"), F.count("*").alias("n")).join(bootstrap_ci(pairs, by, "difference", order, seed, resamples), by)
+
+
 def wilcoxon_p(differences: np.ndarray) -> tuple[float | None, float | None]:
     """Two-sided signed-rank statistic and probability: exact up to 50 values without ties or zeros, else normal with tie correction."""
     d = np.asarray(differences, float)

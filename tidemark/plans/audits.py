@@ -85,13 +85,20 @@ def _loop(s, d):
 _LOOP = f"""WITH {S._GRID}, {TRUTHS}, a AS (SELECT g.episode, mode, task, g.num_frames AS n, start, t.trial::INT AS trial, ('0x' || substr(sha256(g.episode || '|' || task || '|' || t.trial), 1, 8))::BIGINT AS seed FROM grid g JOIN truths USING (episode), range(3) t(trial)),
  b AS (SELECT *, (seed % 9 + 1)::INT AS cell, (start + seed % 9)::INT AS frame_idx FROM a),
  r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY speed, frame_idx) AS rank, count(*) OVER (PARTITION BY episode) AS n FROM frames WHERE speed <> 0), c AS (SELECT episode, speed AS cut FROM r WHERE rank = greatest(1, floor(0.3::DOUBLE * n))),
- e AS (SELECT b.*, coalesce(f.speed <= cut, false) AS accepted, seed % 2 = 0 OR b.frame_idx > b.n - 5 AS state FROM b JOIN frames f USING (episode, frame_idx) LEFT JOIN c ON c.episode = b.episode),
- g AS (SELECT *, CASE WHEN NOT state THEN 'visual_feedback' WHEN mode <> 'pinch' AND NOT accepted THEN 'speed_feedback' ELSE 'accepted' END AS stage, greatest(0, least(frame_idx - 4, n - 9)) AS w FROM e)
- SELECT episode, mode, task, trial, frame_idx, stage, CASE WHEN stage = 'accepted' THEN frame_idx ELSE CASE WHEN frame_idx + 1 > n - 9 THEN w ELSE greatest(w, frame_idx + 1) END + cell - 1 END::INT AS final FROM g"""
+ e AS (SELECT b.*, f.speed AS own, coalesce(f.speed <= cut, false) AS accepted, seed % 2 = 0 OR b.frame_idx > b.n - 5 AS state FROM b LEFT JOIN (SELECT * FROM frames WHERE speed <> 0) f USING (episode, frame_idx) LEFT JOIN c ON c.episode = b.episode),
+ g AS (SELECT *, CASE WHEN NOT state THEN 'visual_feedback' WHEN mode = 'pinch' THEN 'accepted' WHEN own IS NULL THEN 'missing_hand_speed' WHEN NOT accepted THEN 'speed_feedback' ELSE 'accepted' END AS stage FROM e),
+ sp AS (SELECT episode, list(speed ORDER BY speed, frame_idx) AS ranked_speeds FROM frames WHERE speed <> 0 GROUP BY episode),
+ l AS (SELECT g.*, pinch_list, CASE stage WHEN 'visual_feedback' THEN list_filter(ranked, lambda f: f > g.frame_idx) WHEN 'speed_feedback' THEN ranked[1:len(list_filter(ranked_speeds, lambda x: x < g.own))] ELSE list_filter(ranked, lambda f: f <> g.frame_idx) END AS allowed FROM g JOIN cues USING (episode) LEFT JOIN sp USING (episode)),
+ p AS (SELECT *, CASE stage WHEN 'visual_feedback' THEN list_filter(pinch_list, lambda f: f > frame_idx) WHEN 'speed_feedback' THEN pinch_list ELSE list_filter(pinch_list, lambda f: f <> frame_idx) END AS pl, CASE WHEN mode <> 'pinch' THEN allowed WHEN stage = 'visual_feedback' THEN range(frame_idx + 1, n)::INT[] ELSE list_filter(range(n)::INT[], lambda f: f <> frame_idx) END AS pool FROM l),
+ q AS (SELECT *, CASE mode WHEN 'speed' THEN allowed[1:4] WHEN 'pinch' THEN pl ELSE allowed[1:4] || list_filter(pl, lambda f: NOT list_contains(allowed[1:4], f)) END AS c FROM p),
+ h AS (SELECT *, c || list_filter(pool, lambda f: NOT list_contains(c, f))[1:greatest(0, 4 - len(c))] AS cand FROM q),
+ i AS (SELECT *, round_even(list_avg(CASE WHEN len(cand) = 0 THEN (range(n)::INT[])[1:4] ELSE cand END), 0)::INT AS center FROM h),
+ w AS (SELECT *, greatest(0, least(center - 4, n - 9)) AS w FROM i)
+ SELECT episode, mode, task, trial, frame_idx, stage, CASE WHEN stage = 'accepted' THEN frame_idx ELSE CASE WHEN stage <> 'visual_feedback' OR frame_idx + 1 > n - 9 THEN w ELSE greatest(w, frame_idx + 1) END + cell - 1 END::INT AS final FROM w"""
 
 
 def _wilcoxon(s, d):
-    return P.wilcoxon(Q._pairs(s, d).orderBy("episode"), "task")
+    return P.wilcoxon(Q._pairs(s, d), "task")
 
 
 def _pairwise(s, d):
@@ -128,9 +135,10 @@ QUERIES = {
     "prompt_text": (lambda s, d: T.table(s, d, "events").selectExpr("event_id", "if(event_id % 2 = 0, 'start', 'end') as anchor", "event_type as action").select("event_id", L.prompt("anchor", "action").alias("prompt")), "SELECT event_id, replace(CASE WHEN event_id % 2 = 0 THEN '" + L.PROMPTS["start"] + "' ELSE '" + L.PROMPTS["end"] + "' END, '{action}', event_type) AS prompt FROM events"),
     "dry_run_localize": (lambda s, d: L.dry_run(S._grid(s, d), T.truths(s, d)).select("episode", "mode", "task", "trial", "cell", "prediction", "error"), f"WITH {S._GRID}, {TRUTHS}, a AS (SELECT g.episode, mode, task, start, gt, t.trial::INT AS trial, (('0x' || substr(sha256(g.episode || '|' || task || '|' || t.trial), 1, 8))::BIGINT % 9 + 1)::INT AS cell FROM grid g JOIN truths USING (episode), range(3) t(trial)) SELECT episode, mode, task, trial, cell, start + cell - 1 AS prediction, abs(start + cell - 1 - gt) AS error FROM a"),
     "closed_loop": (_loop, _LOOP),
-    "long_events": (lambda s, d: C.pair_events(C.minima(T.frames(s, d)).join(T.frames(s, d).select("episode", "frame_idx", "speed"), ["episode", "frame_idx"]).selectExpr("episode", "case frame_idx % 3 when 0 then 'Contact' when 1 then 'Separation' else 'Neither' end as event", "frame_idx", "speed")),
-        f"""WITH {S._CUES}, ev AS (SELECT m.episode, CASE (m.frame_idx % 3)::INT WHEN 0 THEN 'Contact' WHEN 1 THEN 'Separation' ELSE 'Neither' END AS event, m.frame_idx, f.speed FROM minima m JOIN frames f USING (episode, frame_idx)),
- pt AS (SELECT *, count(*) FILTER (event = 'Separation') OVER (PARTITION BY episode ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM ev WHERE event <> 'Neither'),
+    "long_events": (lambda s, d: L.long_events(C.minima(T.frames(s, d)), T.frames(s, d)),
+        f"""WITH {S._CUES}, mi AS (SELECT m.episode, num_frames, m.frame_idx AS minimum, ('0x' || substr(sha256(m.episode || '|state|' || m.frame_idx), 1, 8))::BIGINT AS seed FROM minima m JOIN totals USING (episode) WHERE num_frames >= 9),
+ ev AS (SELECT mi.episode, CASE (seed % 3)::INT WHEN 0 THEN 'Contact' WHEN 1 THEN 'Separation' ELSE 'Neither' END AS event, f.frame_idx, f.speed FROM mi JOIN frames f ON f.episode = mi.episode AND f.frame_idx = greatest(0, least(minimum - 4, mi.num_frames - 9)) + seed % 9 WHERE f.speed <> 0),
+ pt AS (SELECT *, count(*) FILTER (event = 'Separation') OVER (PARTITION BY episode ORDER BY frame_idx, event = 'Separation' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM ev WHERE event <> 'Neither'),
  pairs AS (SELECT episode, (list(frame_idx ORDER BY speed, frame_idx) FILTER (event = 'Contact'))[1] AS contact, min(frame_idx) FILTER (event = 'Separation') AS separation FROM pt GROUP BY episode, part) SELECT episode, contact, separation FROM pairs WHERE contact IS NOT NULL AND separation IS NOT NULL"""),
     "bootstrap_ci": (lambda s, d: P.bootstrap_ci(Q._events(s, d).where("error is not null"), "mode", "error", ["episode", "task"], 20260908), None),
     "wilcoxon": (_wilcoxon, None),

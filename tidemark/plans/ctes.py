@@ -16,8 +16,8 @@ TRIALS = """trials AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
  FROM events WHERE event_type IN ('click', 'view', 'purchase'))) WHERE rn = 1)"""
 HANDS = """hands AS (SELECT vec_id AS hand_id, vec_id // 2 AS video, (vec_id % 2)::INT AS hand,
  [{'x': embedding[3 * i + 1]::DOUBLE, 'y': embedding[3 * i + 2]::DOUBLE, 'conf': embedding[3 * i + 3]::DOUBLE} FOR i IN range(21)] AS kp FROM embeddings)"""
-COMPLETIONS = """completions AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 40)
- WHEN doc_id % 5 = 0 THEN '{"points": [2]} no ' || b WHEN doc_id % 13 = 0 THEN '{"points": [2, 3]} ' || b ELSE 'so ' || b END AS completion
+COMPLETIONS = """completions AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN text
+ WHEN doc_id % 5 = 0 THEN '{"points": [2]} no ' || b WHEN doc_id % 13 = 0 THEN '{"points": [2, 3]} ' || b ELSE text || b END AS completion
  FROM (SELECT doc_id, text, '{"points": [' || (doc_id % 11 - 1)::VARCHAR || ']}' AS b FROM documents))"""
 GRID_ROWS = """grid_rows AS (SELECT doc_id AS sample, CASE WHEN toxic = 0 THEN 'contact' ELSE 'separation' END AS task, source, doc_id // 9 AS group_id,
  (doc_id % 9 + 1)::INT AS gt_cell, (10 * (doc_id // 9) + doc_id % 9)::INT AS gt_frame, [(10 * (doc_id // 9) + i)::INT FOR i IN range(9)] AS frame_indices,

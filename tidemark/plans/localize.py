@@ -39,12 +39,28 @@ def dry_run(grids: DataFrame, truths: DataFrame, trials: int = 3) -> DataFrame:
 def closed_loop(grids: DataFrame, frames: DataFrame, truths: DataFrame) -> DataFrame:
     """One round of feedback. The state source answers yes where the seed is even; a late frame (within 5 of the end) passes anyway.
 
-    A rejected state resamples after the frame, a rejected speed among slower frames; pinch mode has no speed gate.
+    A rejected state resamples after the frame, a rejected speed among slower frames, a frame without a speed among all
+    others; pinch mode has no speed gate. The same cell then names a frame of the new window.
     """
+    lists = grids.select("episode", "mode", "ranked", "ranked_speeds", "speed_list", "pinch_list")
     first = dry_run(grids.select("episode", "mode", "num_frames", "start"), truths)
-    rows = C.speed_gate(frames, first.withColumnRenamed("prediction", "frame_idx")).withColumn("state", F.coalesce((F.col("seed") % 2 == 0) | (F.col("frame_idx") > F.col("num_frames") - 5), F.lit(False)))
-    stage = F.when(~F.col("state"), "visual_feedback").when((F.col("mode") != "pinch") & ~F.col("accepted"), "speed_feedback").otherwise("accepted")
-    rows = rows.withColumn("stage", stage)
-    after = F.greatest(C.window_start(F.col("frame_idx"), F.col("num_frames")), F.col("frame_idx") + 1)
-    again = F.when(F.col("frame_idx") + 1 > F.col("num_frames") - C.CELLS, C.window_start(F.col("frame_idx"), F.col("num_frames"))).otherwise(after)
-    return rows.withColumn("final", F.when(F.col("stage") == "accepted", F.col("frame_idx")).otherwise(again + F.col("cell") - 1))
+    rows = C.speed_gate(frames.where(C.usable()), first.withColumnRenamed("prediction", "frame_idx"))
+    rows = rows.withColumn("state", F.coalesce((F.col("seed") % 2 == 0) | (F.col("frame_idx") > F.col("num_frames") - 5), F.lit(False)))
+    gated = F.col("mode") != "pinch"
+    stage = F.when(~F.col("state"), "visual_feedback").when(gated & F.col("speed").isNull(), "missing_hand_speed").when(gated & ~F.col("accepted"), "speed_feedback").otherwise("accepted")
+    rows = rows.withColumn("stage", stage).withColumn("flag", E("case stage when 'visual_feedback' then 'feedback' when 'speed_feedback' then 'speed' else 'fault' end"))
+    again = C.mode_candidates_after(rows.join(lists, ["episode", "mode"]).withColumn("ref", F.col("frame_idx")).withColumn("ref_speed", F.col("speed")))
+    after = C.consecutive_grid(again.withColumn("least", E("if(flag = 'feedback', ref, -1)")).drop("start", "center"), min_index="least")
+    return after.withColumn("final", F.when(F.col("stage") == "accepted", F.col("frame_idx")).otherwise(F.col("start") + F.col("cell") - 1))
+
+
+def long_events(minima: DataFrame, frames: DataFrame) -> DataFrame:
+    """contact and separation frames of long clips from the deterministic source's answers to each minimum.
+
+    The seed of (episode, minimum) gives the state (modulo 3: Contact, Separation, Neither) and the cell of the window
+    around the minimum; the feedback round says yes. Minima whose state is Neither are left out.
+    """
+    rows = minima.select("episode", F.col("frame_idx").alias("minimum")).join(frames.select("episode", "num_frames").distinct(), "episode").where(F.col("num_frames") >= C.CELLS)
+    rows = rows.withColumn("seed", derived_seed(F.col("episode"), F.lit("state"), F.col("minimum"))).withColumn("event", E("element_at(array('Contact', 'Separation', 'Neither'), cast(seed % 3 + 1 as int))"))
+    rows = rows.withColumn("frame_idx", C.window_start(F.col("minimum"), F.col("num_frames")) + dry_answer("seed") - 1)
+    return C.pair_events(rows.join(frames.where(C.usable()).select("episode", "frame_idx", "speed"), ["episode", "frame_idx"]).select("episode", "event", "frame_idx", "speed"))

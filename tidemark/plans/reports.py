@@ -58,9 +58,9 @@ def _requests(s, d):
 
 
 _REQ = "rq AS (SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value / 100 END AS first, value / 10 AS stop, event_id % 500 AS tokens FROM events), rm AS (SELECT *, first AS ttft, coalesce(stop - first, stop) AS generation, CASE WHEN coalesce(stop - first, stop) > 0 THEN tokens / coalesce(stop - first, stop) ELSE 0 END AS rate FROM rq)"
-_ANSWER = "CASE id % 4 WHEN 0 THEN ' event: contact, Frame: 12 ' WHEN 1 THEN 'Event:Separation Frame: -1' WHEN 2 THEN 'Event: none' ELSE 'no idea' END"
+_ANSWER = "concat(completion, CASE id % 4 WHEN 0 THEN concat(' event: contact, Frame: ', id) WHEN 1 THEN 'Event:Separation Frame: -1' WHEN 2 THEN 'Event: none' ELSE 'no idea' END)"
 _STATUS = "CASE doc_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 404 WHEN 2 THEN 503 END"
-_MESSAGE = "CASE doc_id % 3 WHEN 0 THEN 'Rate limit, Try Again' WHEN 1 THEN 'bad request' ELSE 'request timed out' END"
+_MESSAGE = "concat(text, CASE doc_id % 3 WHEN 0 THEN 'Rate limit, Try Again' WHEN 1 THEN 'bad request' ELSE 'request timed out' END)"
 
 QUERIES = {
     "latest_per_key": (lambda s, d: R.latest_per_key(T.table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id"), "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"),
@@ -111,8 +111,8 @@ QUERIES = {
     "percentiles": (lambda s, d: T.frames(s, d).groupBy("episode").agg(*(F.round(F.percentile("speed", F.lit(p)), 6).alias(n) for p, n in ((0.25, "q1"), (0.7, "p70"), (0.95, "p95")))), "SELECT user_id AS episode, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.7), 6) AS p70, round(quantile_cont(v, 0.95), 6) AS p95 FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE value END AS v FROM events) GROUP BY 1"),
     "parse_cell": (lambda s, d: T.completions(s, d).select("id", X.parse_cell("completion").cast("double").alias("cell")), f"""WITH {COMPLETIONS} SELECT id, list_last(regexp_extract_all(completion, '\\{{[^{{}}]*"points"\\s*:\\s*\\[\\s*(-?\\d+)\\s*\\][^{{}}]*\\}}', 1))::DOUBLE AS cell FROM completions"""),
     "parse_point_first": (lambda s, d: T.completions(s, d).select("id", X.parse_point_first("completion").alias("point")), f"""WITH {COMPLETIONS} SELECT id, coalesce(nullif(regexp_extract(replace(replace(completion, ' ', ''), chr(10), ''), '\\{{"points":\\[(-?[0-9]+)', 1), '')::INT, -1) AS point FROM completions"""),
-    "parse_event": (lambda s, d: T.completions(s, d).select("id", E(_ANSWER).alias("a")).select("id", X.parse_event("a").alias("event")), f"WITH {COMPLETIONS} SELECT id, CASE id % 4 WHEN 0 THEN 'Contact' WHEN 1 THEN 'Separation' WHEN 2 THEN 'None' END AS event FROM completions"),
-    "parse_frame": (lambda s, d: T.completions(s, d).select("id", E(_ANSWER).alias("a")).select("id", X.parse_frame("a").alias("frame")), f"WITH {COMPLETIONS} SELECT id, CASE id % 4 WHEN 0 THEN 12 ELSE -1 END AS frame FROM completions"),
+    "parse_event": (lambda s, d: T.completions(s, d).select("id", E(_ANSWER).alias("a")).select("id", X.parse_event("a").alias("event")), f"WITH {COMPLETIONS}, e AS (SELECT id, nullif(regexp_extract({_ANSWER}, '(?i)Event:\\s*(Contact|Separation|Neither|None)', 1), '') AS e FROM completions) SELECT id, upper(e[1]) || lower(e[2:]) AS event FROM e"),
+    "parse_frame": (lambda s, d: T.completions(s, d).select("id", E(_ANSWER).alias("a")).select("id", X.parse_frame("a").alias("frame")), f"WITH {COMPLETIONS} SELECT id, coalesce(nullif(regexp_extract({_ANSWER}, 'Frame:\\s*(-?\\d+)', 1), '')::INT, -1) AS frame FROM completions"),
     "cell_rewards": (lambda s, d: T.grid_rows(s, d).select("sample", F.posexplode(X.cell_rewards("gt_cell")).alias("i", "r")).select("sample", (F.col("i") + 1).alias("cell"), F.round("r", 9).alias("reward")), f"WITH {GRID_ROWS} SELECT sample, c::INT AS cell, round(exp(-((c - gt_cell) * (c - gt_cell)) / 2.0::DOUBLE), 9) AS reward FROM grid_rows, range(1, 10) r(c)"),
     "gaussian_reward": (lambda s, d: T.grid_rows(s, d).select("sample", F.round(X.gaussian_reward("cell", "gt_cell"), 9).alias("reward")), f"WITH {SCORED} SELECT sample, round(reward, 9) AS reward FROM scored"),
     "reward_lookup": (lambda s, d: T.grid_rows(s, d).withColumn("rewards", X.cell_rewards("gt_cell")).select("sample", F.round(X.reward_lookup("rewards", "cell"), 9).alias("reward")), f"WITH {SCORED} SELECT sample, round(reward, 9) AS reward FROM scored"),
@@ -120,7 +120,7 @@ QUERIES = {
     "score_rows": (lambda s, d: _scored(s, d).select("sample", "parsed", "valid", "exact", E("cast(if(valid, frame_indices[cell - 1], null) as double)").alias("frame"), F.col("frame_error").cast("double").alias("frame_error"), F.round("reward", 9).alias("reward")), f"WITH {SCORED} SELECT sample, parsed, valid, exact, CASE WHEN valid THEN frame_indices[cell] END::DOUBLE AS frame, frame_error::DOUBLE AS frame_error, round(reward, 9) AS reward FROM scored"),
     "redact": (lambda s, d: T.table(s, d, "documents").select("doc_id", F.sha2(X.redact("text", "the"), 256).alias("digest")), "SELECT doc_id, sha256(substr(replace(text, 'the', '[REDACTED]'), 1, 4000)) AS digest FROM documents"),
     "transient_flag": (lambda s, d: T.table(s, d, "documents").select("doc_id", E(f"cast({_STATUS} as int)").alias("status"), E("if(doc_id % 11 = 0, 'APITimeoutError', 'ValueError')").alias("name"), E(_MESSAGE).alias("message")).select("doc_id", X.transient("status", "name", "message").alias("transient")),
-        "SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 2) THEN true WHEN doc_id % 5 = 1 THEN false ELSE doc_id % 11 = 0 OR doc_id % 3 <> 1 END AS transient FROM documents"),
+        f"WITH t AS (SELECT doc_id, {_STATUS} AS status, CASE WHEN doc_id % 11 = 0 THEN 'APITimeoutError' ELSE 'ValueError' END AS name, lower({_MESSAGE}) AS m FROM documents) SELECT doc_id, CASE WHEN status IS NOT NULL THEN status IN (408, 429) OR status >= 500 ELSE coalesce(contains(lower(name), 'timeout') OR contains(lower(name), 'connection') OR list_bool_or([contains(m, x) FOR x IN {list(X.MARKERS)}]), false) END AS transient FROM t"),
     "backoff": (lambda s, d: T.table(s, d, "events").select("event_id", E("cast(event_id % 6 + 1 as int)").alias("attempt")).select("event_id", X.backoff("attempt", 0.5).alias("delay")), "SELECT event_id, 0.5::DOUBLE * pow(2.0::DOUBLE, event_id % 6) AS delay FROM events"),
     "result_key": (lambda s, d: T.trials(s, d).select(X.result_key("episode", "task", "mode", "trial").alias("key"), "status"), f"WITH {TRIALS} SELECT lpad(episode::VARCHAR, 6, '0') || '|' || task || '|' || mode || '|' || trial AS key, status FROM trials"),
     "safe_name": (lambda s, d: T.table(s, d, "pages").select("page_id", X.safe_name("url").alias("name")), "SELECT page_id, lower(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}]', '_', 'g'), '^_+|_+$', '', 'g')) AS name FROM pages"),

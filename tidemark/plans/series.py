@@ -179,7 +179,6 @@ QUERIES = {
     "mode_pinch_pool": (lambda s, d: _picks(s, d).join(_cues(s, d).drop("num_frames"), "episode").select("episode", F.size(E("filter(pinch_list, f -> f > frame_idx)")).alias("after_n"), F.size(E("filter(pinch_list, f -> f <> frame_idx)")).alias("other_n"), E("num_frames - frame_idx - 1").alias("pool_after"), E("num_frames - 1").alias("pool_other")),
         f"WITH {_CUES}, {_PICKS} SELECT episode, len(list_filter(pinch_list, lambda f: f > frame_idx))::INT AS after_n, len(list_filter(pinch_list, lambda f: f <> frame_idx))::INT AS other_n, picks.num_frames - frame_idx - 1 AS pool_after, picks.num_frames - 1 AS pool_other FROM picks JOIN cues USING (episode)"),
     "consecutive_grid": (lambda s, d: _grid(s, d).select("episode", "mode", "center", "start"), f"WITH {_GRID} SELECT episode, mode, center, start FROM grid"),
-    "near_average": (lambda s, d: C.consecutive_grid(_cues(s, d), "speed_list").select("episode", "center", "start", F.array_join(E("transform(sequence(start, start + 8), x -> cast(x as string))"), ",").alias("frames")), f"WITH {_GRID} SELECT episode, center, start, array_to_string(range(start, start + 9), ',') AS frames FROM (SELECT episode, num_frames, round_even(list_avg(speed_list), 0)::INT AS center, greatest(0, least(round_even(list_avg(speed_list), 0)::INT - 4, num_frames - 9))::INT AS start FROM cues WHERE num_frames >= 9)"),
     "grid_min_index": (lambda s, d: C.consecutive_grid(_modes(s, d).join(_picks(s, d).select("episode", F.col("frame_idx").alias("ref")), "episode"), min_index="ref").select("episode", "mode", "start", "relaxed"),
         f"WITH {_GRID}, {_PICKS} SELECT episode, mode, CASE WHEN frame_idx + 1 > grid.num_frames - 9 THEN start ELSE greatest(start, frame_idx + 1) END::INT AS start, frame_idx + 1 > grid.num_frames - 9 AS relaxed FROM grid JOIN picks USING (episode)"),
     "grid_recall": (lambda s, d: C.grid_recall(_grid(s, d), T.truths(s, d)).select("episode", "mode", "task", "start", "gt", "distance", "recall"),

@@ -61,9 +61,9 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and completion: text with no, one or two answer blocks."""
+    """id and completion: whole texts with no, one or two answer blocks."""
     block = "concat('{\"points\": [', cast(doc_id % 11 - 1 as string), ']}')"
-    return table(spark, sf_dir, "documents").selectExpr("doc_id as id", f"case when doc_id % 7 = 0 then substr(text, 1, 40) when doc_id % 5 = 0 then concat('{{\"points\": [2]}} no ', {block}) when doc_id % 13 = 0 then concat('{{\"points\": [2, 3]}} ', {block}) else concat('so ', {block}) end as completion")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id as id", f"case when doc_id % 7 = 0 then text when doc_id % 5 = 0 then concat('{{\"points\": [2]}} no ', {block}) when doc_id % 13 = 0 then concat('{{\"points\": [2, 3]}} ', {block}) else concat(text, {block}) end as completion")
 
 
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
