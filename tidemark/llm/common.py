@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,33 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh one if all run in one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.isLocal:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """From now on shuffle files go when the query that wrote them ends; a query that is run again writes them again."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    tidy(spark)
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of materialize() that nothing reads any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished queries now, instead of when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -53,16 +56,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df on at most one task for `each` of its rows: small tables take few tasks, however many partitions a shuffle has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges(a, b): alternating large-star and small-star until nothing moves.
 
     Returns (node, component) for each node that has an edge; component is the smallest node reachable.
-    Each round is DataFrame joins and partial aggregates on hashed keys; the driver gets a count and a checksum.
-    Earlier results can go in as edges (node, component): they are stars already and cost no further rounds.
+    Each turn is DataFrame joins and partial aggregates on hashed keys; the driver gets a count and a checksum.
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(u != v).distinct()
-    sign = before = None
+    sign, before, rows = None, None, 0
     while True:
         edges = materialize(edges, "star")
         if before is not None:
@@ -71,13 +78,31 @@ def components(edges: DataFrame) -> DataFrame:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64(u, v).cast("decimal(38,0)"))).first()
         if seen == sign or not seen[0]:
             break
-        sign = seen
+        sign, rows = seen, seen[0]
         # large-star: every larger neighbour of u is linked to the smallest of u and its neighbours
-        both = edges.unionAll(edges.select(v.alias("u"), u.alias("v")))
+        both = spread(edges.unionAll(edges.select(v.alias("u"), u.alias("v"))), 2 * rows)
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where(v > u).select(v.alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = spread(both.join(low, "u").where(v > u).select(v.alias("u"), F.least("u", "m").alias("v")), 2 * rows)
         # small-star: u and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(low, "u").select(F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")).distinct()
+        edges = spread(large.join(low, "u"), 2 * rows).select(F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")).where(u != v)
+        edges = spread(edges.distinct(), rows)
     out = edges.select(u.alias("node"), v.alias("component"))
-    return out.unionAll(edges.select(v.alias("node"), v.alias("component")).distinct())
+    out = out.unionAll(edges.select(v.alias("node"), v.alias("component")).distinct())
+    return spread(out, 2 * rows)
+
+
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label(node, component) with the components that links(a, b) join; only links between components go through union-find."""
+    if label is None:
+        return materialize(components(links), "labels")
+    rows = label.count() + 2 * links.count()
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    ends = spread(spread(links.join(name("a"), "a", "left"), rows).join(name("b"), "b", "left"), rows)
+    ends = materialize(ends.select("a", "b", F.coalesce("a_component", "a").alias("c"), F.coalesce("b_component", "b").alias("d")), "ends")
+    roots = components(ends.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    every = label.unionAll(ends.select("a", "c")).unionAll(ends.select("b", "d")).distinct()
+    out = spread(every, rows).join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    out = materialize(spread(out, rows).select("node", F.coalesce("root", "component").alias("component")), "labels")
+    discard(ends)
+    return out

@@ -7,7 +7,7 @@ that band's bucket. First all lines of a bucket are compared to its smallest; th
 different components, more of its lines are compared to the rest, so in the end each pair of lines that meet is
 compared or of one component. Pairs whose shingles set too different bits are left out, the others are verified by the
 exact Jaccard similarity of their shingle sets, and distributed union-find joins verified pairs to components. Of each
-component one line stays: the first, by document and line number.
+component one line stays: the first, by document and line number. Shingles and lines are told apart by 64-bit hashes.
 
 Defined results: blank lines always stay and match nothing; lines shorter than a shingle are one shingle; null text
 has no lines and stays null; a null doc_id counts as the largest, and rows with equal ids are ordered by a hash of the
@@ -21,12 +21,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialize, release, table
+from tidemark.llm.common import discard, joined, materialize, partitions, spread, table
 from tidemark.llm.seeds import LAST
 
-
-
-WORDS = 16  # longs of a line's bitmap
+WORDS = 32  # longs of a line's bitmap
 
 
 def _units(line: str) -> str:
@@ -52,59 +50,104 @@ def signatures(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return minima.select("key", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands))).alias("buckets"))
 
 
-def similarity(k: int) -> Column:
-    """Exact Jaccard similarity of the shingle sets of columns line_a and line_b; transform() over one element names a value."""
-    sets = [f"transform(array({_units(c)}), u -> array_distinct(transform({_starts('u', k)}, i -> {_shingle('u', k)})))[0]" for c in ("line_a", "line_b")]
+def _grams(units: str, k: int) -> str:
+    return f"array_distinct(transform({_starts(units, k)}, i -> {_shingle(units, k)}))"
+
+
+def similarity(k: int, known: bool = False) -> Column:
+    """Exact Jaccard similarity of the shingle sets of columns line_a and line_b; known: grams_a and grams_b hold the sets, or null.
+
+    transform() over one element names a value.
+    """
+    sets = [f"transform(array({_units(f'line_{c}')}), u -> {_grams('u', k)})[0]" for c in "ab"]
+    if known:
+        sets = [f"coalesce(grams_{c}, {x})" for c, x in zip("ab", sets, strict=True)]
     sizes = f"transform(array(named_struct('a', {sets[0]}, 'b', {sets[1]})), s -> named_struct('all', size(s.a) + size(s.b), 'both', size(array_intersect(s.a, s.b))))"
     return F.expr(f"transform({sizes}, s -> s.both / (s.all - s.both))[0]")
 
 
+def counted(lines: DataFrame, k: int) -> DataFrame:
+    """lines(key, line) with grams, the set of a line's shingles if most of its words repeat, else null; and n, the set's size or a bound of it."""
+    n = f"greatest(cast(length(encode(line, 'UTF-16BE')) div 2 as int) - {k}, 0) + 1"
+    exact = f"transform(array({_units('line')}), u -> {_grams('u', k)})[0]"
+    out = lines.withColumn("words", F.split("line", " ")).withColumn("grams", F.expr(f"if(2 * size(array_distinct(words)) < size(words), {exact}, null)"))
+    return out.withColumn("n", F.expr(f"coalesce(size(grams), {n})")).drop("words")
+
+
 def bitmaps(lines: DataFrame, k: int) -> DataFrame:
-    """key, n (shingles, repeated ones too) and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line)."""
-    units = lines.select("key", F.expr(_units("line")).alias("u")).withColumn("n", F.expr(f"greatest(cast(length(u) div 2 as int) - {k}, 0) + 1"))
-    hashes = units.select("key", "n", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", "n", F.expr(_shingle("u", k, "hash")).alias("h"))
-    return hashes.groupBy("key").agg(F.max("n").alias("n"), *(F.bit_or(F.expr(f"if(shiftrightunsigned(h, 6) & {WORDS - 1} = {i}, shiftleft(1L, h & 63), 0L)")).alias(f"w{i}") for i in range(WORDS)))
+    """key, n and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line, n)."""
+    hashes = lines.select("key", "n", F.expr(_units("line")).alias("u")).select("key", "n", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", "n", F.expr(_shingle("u", k, "hash")).alias("h"))
+    hashes = hashes.select("key", "n", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, h & 63)").alias("bit"))
+    return hashes.groupBy("key").agg(F.max("n").alias("n"), *(F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"w{i}") for i in range(WORDS)))
+
+
+def _may_link(threshold: float) -> str:
+    """Whether sizes and bitmaps of p and m allow the threshold: two sets differ in at least as many shingles as their bitmaps do in bits."""
+    differ = " + ".join(f"bit_count(p.w{i} ^ m.w{i})" for i in range(WORDS))
+    return f"{differ} <= (p.n + m.n) * {(1 - threshold) / (1 + threshold)} + 1e-6"
 
 
-def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivots: int = 32) -> DataFrame:
+def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivots: int = 128, few: int = 8) -> DataFrame:
     """node and component of each key that has a link: of the pairs in a bucket of members(bucket, key), those of lines at least threshold similar.
 
-    A round's pivots are compared to all lines of their bucket that were no pivots yet and are of other components:
-    first the smallest, then about `pivots` of those outside one component, then four times as many. Two sets differ in
-    at least as many shingles as their bitmaps do in bits.
+    First each line is compared to the smallest of each of its buckets. Then, as long as a bucket has lines of several
+    components, its pivots are compared to its lines of other components and leave it. A bucket with at most `pivots`
+    lines outside one component takes all of those as pivots; in others about `few` of that component come first, which
+    most of the rest link to, then `pivots` of the rest, then eight times as many, and so on. A pair that meets in several
+    buckets is compared in the smallest of them.
     """
-    spark = members.sparkSession
-    shapes = materialize(bitmaps(texts, k), "line-bitmaps")
-    release(spark)
-    differ = " + ".join(f"bit_count(p.w{i} ^ m.w{i})" for i in range(WORDS))
-    meet = F.expr(f"p.bucket = m.bucket and p.component <> m.component and not (m.pivot and m.key < p.key) and {differ} <= (p.n + m.n) * {(1 - threshold) / (1 + threshold)} + 1e-6")
-    lines = [texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab"]
-    edges = "a long, b long"
-    seen, found, turn = spark.createDataFrame([], edges), spark.createDataFrame([], "node long, component long"), 0
-    left = members
+    spark, rows, keys = members.sparkSession, members.count(), texts.count()
+    texts = counted(texts, k) if "grams" not in texts.columns else texts
+    shapes = bitmaps(texts, k).join(members.groupBy("key").agg(F.collect_set("bucket").alias("all")), "key")
+    shapes = materialize(spread(shapes, keys, 20_000), "line-bitmaps")
+    lines = [texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}"), F.col("grams").alias(f"grams_{c}")) for c in "ab"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "line-pairs")
+        n = pairs.count()
+        # dealt by number of pairs, as their work does not follow their bytes
+        both = spread(pairs.join(lines[0], "a"), max(n, keys)).repartition(min(-(-n // 1000) or 1, max(200, partitions(spark))), "b").join(lines[1], "b")
+        links = materialize(both.where(similarity(k, known=True) >= threshold).select("a", "b"), "line-links")
+        discard(pairs)
+        return links
+
+    # the smallest of each bucket
+    first = materialize(spread(members.groupBy("bucket").agg(F.min("key").alias("a")), rows), "line-firsts")
+    pairs = spread(spread(members.join(first, "bucket"), rows).where("key <> a").select("a", F.col("key").alias("b")).distinct(), rows)
+    side = lambda c: shapes.drop("all").withColumnRenamed("key", c)
+    near = spread(spread(side("a").alias("p").join(pairs, "a"), rows).join(side("b").alias("m"), "b"), rows).where(_may_link(threshold)).select("a", "b")
+    found = verified(near)
+    left = materialize(spread(members.join(first, "bucket"), rows).where("key <> a").select("bucket", "key"), "line-members")
+    discard(first)
+    turn, label = 0, None
     while True:
-        now = left.join(found, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+        turn += 1
+        before, label = label, joined(label, found)
+        now = spread(left.join(label, F.col("key") == F.col("node"), "left"), rows).select("bucket", "key", F.coalesce("component", "key").alias("component"))
         # one component of each open bucket: that of a random line, so mostly the largest
         main = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("key", F.lit(turn))).alias("main")).where("low < high")
-        now = now.join(main.select("bucket", "main"), "bucket")
-        outside = F.col("component") != F.col("main")
-        if turn:
-            some = now.groupBy("bucket").agg(F.min(F.when(outside, F.col("key"))).alias("first"), F.count_if(outside).alias("outside"))
-            pivot = outside & ((F.col("key") == F.col("first")) | (F.pmod(F.xxhash64("key", F.lit(-turn)), F.greatest(F.lit(1), F.expr(f"outside div {pivots}"))) == 0))
-            pivots *= 4
-        else:
-            some, pivot = now.groupBy("bucket").agg(F.min("key").alias("first")), F.col("key") == F.col("first")
-        now = materialize(now.join(some, "bucket").select("bucket", "key", "component", pivot.alias("pivot")), "line-members")
-        if now.isEmpty():
-            return found
-        full = now.join(shapes, "key")
-        pairs = full.where("pivot").alias("p").join(full.alias("m"), meet).select(F.expr("least(p.key, m.key)").alias("a"), F.expr("greatest(p.key, m.key)").alias("b")).distinct()
-        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "line-pairs")
-        release(spark)
-        if not pairs.isEmpty():
-            links = pairs.join(lines[0], "a").join(lines[1], "b").where(similarity(k) >= threshold).select("a", "b")
-            found = components(links.unionAll(found.toDF("a", "b")))
-        seen, left, turn = seen.unionAll(pairs), now.where("not pivot").select("bucket", "key"), turn + 1
+        now = spread(now.join(spread(main, rows).select("bucket", "main"), "bucket"), rows).withColumn("outside", F.col("component") != F.col("main"))
+        size = now.groupBy("bucket").agg(F.count_if("outside").alias("out"), F.count_if(~F.col("outside")).alias("within"), F.min(F.when(F.col("outside"), F.col("key"))).alias("first"), F.expr("cast(ceil(count(*) / 512) as int)").alias("of"))
+        some = lambda n, of: F.pmod(F.xxhash64("key", F.lit(-turn)), F.greatest(F.lit(1), F.floor(F.col(of) / n))) == 0
+        later = some(few, "within") & ~F.col("outside") if turn == 1 else F.col("outside") & (some(pivots, "out") | (F.col("key") == F.col("first")))
+        pivot = F.when(F.col("out") <= pivots, F.col("outside")).otherwise(later)
+        now = materialize(spread(now.join(spread(size, rows), "bucket"), rows).select("bucket", "key", "component", pivot.alias("pivot"), "of"), "line-members")
+        discard(left, found, *([before] if before is not None else []))
+        rows = now.count()
+        if not rows:
+            break
+        # a bucket's lines are dealt out in parts, its pivots go to each
+        full, parts = now.join(shapes, "key"), min(-(-rows // 1000), max(200, partitions(spark)))
+        dealt = [full.where("pivot").withColumn("deal", F.explode(F.expr("sequence(0, of - 1)"))), full.withColumn("deal", F.expr("cast(pmod(xxhash64(key), of) as int)"))]
+        p, m = (x.repartition(parts, "bucket", "deal").alias(c) for x, c in zip(dealt, "pm", strict=True))
+        meet = F.expr(f"p.bucket = m.bucket and p.deal = m.deal and p.component <> m.component and not (m.pivot and m.key < p.key) and {_may_link(threshold)} and not exists(p.all, x -> x < p.bucket and array_contains(m.all, x))")
+        met = p.join(m, meet).select(F.expr("least(p.key, m.key)").alias("a"), F.expr("greatest(p.key, m.key)").alias("b"))
+        found = verified(met)
+        left = materialize(now.where("not pivot").select("bucket", "key"), "line-members")
+        discard(now)
+        pivots = pivots if turn == 1 else 8 * pivots
+    discard(shapes, now)
+    return label
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 8, threshold: float = 0.8, bands: int = 8, rows: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -113,34 +156,34 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     With the defaults lines of similarity 0.8 meet, and so are compared, with probability 0.997 by the formula, of 0.9
     with more than 0.9999. Measured at 0.8: 300 of 300 pairs of 155 to 200 shingles, 300 of 300 of 1,193 to 1,393.
     """
-    spark, raw = docs.sparkSession, F.col(text)
+    raw = F.col(text)
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(doc_id), raw).alias("rk"), raw.alias("text"), F.struct(*(F.col(c) for c in keep) or (F.lit(0).alias("none"),)).alias("rest"))
-    lines = named.select("doc", "rk", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("line", F.lower(F.btrim("line", F.lit(" \t\r\f\x0b"))))
-    lines = lines.withColumn("key", F.when(F.col("line") != "", F.xxhash64("line")))
-    solid = lines.where("key is not null").select("key", "line")
-    index = materialize(lines.select("doc", "rk", "ln", "key"), "line-index")
+    plain = lambda line: F.lower(F.btrim(line, F.lit(" \t\r\f\x0b")))
+    lines = named.select("doc", "rk", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("line", plain(F.col("line"))).where("line <> ''").withColumn("key", F.xxhash64("line"))
+    solid = lines.select("key", "line")
 
-    buckets = signatures(solid, k, bands, rows).select("key", F.explode("buckets").alias("bucket"))
+    signed = materialize(signatures(solid, k, bands, rows), "line-signatures")
+    buckets = signed.select("key", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
     members = materialize(buckets.join(shared, "bucket", "left_semi").distinct(), "line-buckets")
-    release(spark)
-    known = materialize(solid.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")), "line-texts")
-    release(spark)
+    discard(signed)
+    known = materialize(solid.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")).transform(counted, k), "line-texts")
     found = linked(members, known, k, threshold)
-
-    place = F.struct("doc", "rk", "ln")
-    firsts = index.where("key is not null").groupBy("key").agg(F.min(place).alias("first")).join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    kept = firsts.groupBy("component").agg(F.min_by("key", "first").alias("key"), F.min("first").alias("first"))
-    flags = index.join(kept.select("key", "first"), "key", "left")
-    stays = F.col("key").isNull() | F.coalesce(F.col("first") == place, F.lit(False))
-    flags = flags.groupBy("rk").agg(F.transform(F.array_sort(F.collect_set(F.struct("ln", stays.alias("stays")))), lambda x: x["stays"]).alias("stays"))
-    out = named.join(flags, "rk", "left").withColumn("lines", F.split("text", "\n"))
-    left = F.filter(F.zip_with("lines", "stays", lambda x, s: F.when(s, x)), lambda x: x.isNotNull())
+    discard(members, known)
+
+    # of each component the first line stays: numbers of the lines that stay, by row
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc", "rk", "ln")).alias("first")).join(found, F.col("key") == F.col("node"), "left")
+    kept = firsts.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
+    stays = materialize(kept.groupBy(F.col("first.rk").alias("rk")).agg(F.collect_list("first.ln").alias("firsts")), "line-stays")
+    out = named.join(stays, "rk", "left").withColumn("lines", F.split("text", "\n"))
+    out = out.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(plain(x) == "", i)), lambda i: i.isNotNull()))
+    out = out.withColumn("stay", F.array_sort(F.concat("blank", F.coalesce("firsts", F.array().cast("array<int>")))))
+    out = out.withColumn("left", F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n"))
     return out.select(
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.filter("stays", lambda s: ~s)), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("text").isNotNull(), F.array_join(left, "\n")).alias("text"),
+        F.coalesce(F.size("lines") - F.size("stay"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.col("left")).alias("text"),
         "rest",
     )
 
