@@ -2,24 +2,27 @@
 
 Jaccard distance is a metric, but nearly all documents are at distance 1 from any document, so documents as first
 pivots would part nothing. The first pivots are therefore the shingles themselves, as sets of one: the pivots nearest
-to a document are its own shingles, ordered by a total order (rare first, by a fixed-size count sketch summed over all
-tasks). A document's region is its first shingle; the window within which a partner at distance at most 1 - t can lie
-reaches over its first n - ceil(t n) + 1 shingles, and it is replicated to those regions. Set sizes part regions
-further: partners' sizes have a ratio of t at least.
-
-Within a region documents are pivots: all members are compared to the region's pivot (the member with the smallest
-hash, so overlapping regions agree on it). Members linked to it are one component. What is left of a region are pairs
-of different components whose distances to the pivot differ by at most 1 - t; the region goes on to the next round
-with a few members of the first component, then up to `pivots` of the others as new pivots, until no pair is left. Comparisons are
-exact, on texts that stream past the pivot's set.
+to a document are its own shingles, all at one distance, and a total order breaks the ties (rare first, by a fixed-size
+count sketch summed over all tasks). A document's region is its first shingle; the window within which a partner at
+distance at most 1 - t can lie reaches over its first n - ceil(t n) + 1 shingles, and it is replicated to those regions
+(as prefix filters do). Set sizes part regions further: partners' sizes have a ratio of t at least.
+
+Within regions documents are pivots. First all members of a region meet the one with the smallest hash (so overlapping
+regions agree on it). Then, turn by turn, pivots are chosen from the regions that hold several components: a few of the
+first component, which most of the rest link to, then up to `pivots` of the rest. A pivot meets the members of other
+components in all its regions and leaves them; the join goes on with what is left until no region holds two components.
+A pair is left out before any text travels if its distances to the region's first pivot differ by more than 1 - t, or
+if sizes and parity bitmaps show more differing elements than t allows. What is left is compared exactly, on texts that
+stream past the pivot's set; a pivot with many partners is dealt out in several parts.
 
 `jaccard_components` prunes pairs within a component, so it knows no links; `jaccard_links` counts each row's links, from
 all pairs of sets that share a shingle of their windows and that sizes and bitmaps allow, each compared exactly. Its
 work grows with the number of such pairs.
 
-Equal sets are one node from the start. Defined results: null text and text without words have no shingles and link
-with nothing; repeated rows each get a row; a null doc_id counts as the largest; an empty table gives an empty result.
-Columns other than the id and the text are ignored, so their names cannot clash.
+Equal sets are one node from the start. Shingles and sets are told apart by 64-bit hashes. Defined results: null text
+and text without words have no shingles and link with nothing; repeated rows each get a row; a null doc_id counts as the
+largest; an empty table gives an empty result. Columns other than the id and the text are ignored, so their names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.common import arrow_rows, components, materialize, partitions, table
+from tidemark.llm.common import arrow_rows, discard, joined, materialize, partitions, table
 from tidemark.llm.seeds import LAST, keyed, whole_keys
 
 PARITY = 1024  # bits
+LONGS = PARITY // 64
+SIGNED = "doc long, rk long, n int, fp long, pivots array<long>, parity array<long>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -48,20 +53,31 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     values = K.word_hashes(low, starts, ends)
     count = np.diff(woff)
     full = np.maximum(count - k + 1, 0)
-    row = np.repeat(np.arange(len(count)), full)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full) + np.repeat(woff[:-1], full)
-    token = K.grams(values, k)[at] if len(at) else np.zeros(0, np.uint64)
     short = np.flatnonzero((count > 0) & (count < k))
+    full[short] = 1
+    ends = np.cumsum(full)
+    begin = ends - full
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(woff[:-1] - begin, full)
+    grams = K.grams(values, k)
+    token = grams[np.minimum(at, max(0, len(grams) - 1))] if len(grams) else np.zeros(len(at), np.uint64)
     if len(short):
-        sums = K.prefix(values, K._Q)
-        row, token = np.append(row, short), np.append(token, K.spans(sums, woff[short], woff[short + 1], K._Q))
-    o = np.lexsort((token, row))
-    row, token = row[o], token[o]
+        token[begin[short]] = K.spans(K.prefix(values, K._Q), woff[short], woff[short + 1], K._Q)
+    sort_rows(token, begin, ends)
+    row = np.repeat(np.arange(len(count)), full)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
     return row[new], token[new]
 
 
+def sort_rows(values: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> None:
+    """Sorts each row's values in place: one by one, or all together where rows are short."""
+    if len(values) >= 32 * len(begin):
+        for s, e in zip(begin.tolist(), ends.tolist(), strict=True):
+            values[s:e].sort()
+    else:
+        values[:] = values[np.lexsort((values, np.repeat(np.arange(len(begin)), ends - begin)))]
+
+
 def _each(batches: Iterator[pa.RecordBatch], k: int):
     for b in batches:
         off, raw = K.texts(b.column("text"))
@@ -77,46 +93,49 @@ def sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for *_, token in _each(batches, k):
-            np.add.at(total, (token & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+            total += np.bincount((token & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         if total.any():
             at = range(0, len(total), part)
-            yield pa.RecordBatch.from_arrays([pa.array([i // part for i in at], pa.int32()), pa.array([total[i : i + part].tobytes() for i in at], pa.binary())], names=["part", "counts"])
+            total = total.astype(np.min_scalar_type(total.max()))  # mostly a byte each
+            kind = total.dtype.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([i // part for i in at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array([total[i : i + part].tobytes() for i in at], pa.binary())], names=["part", "kind", "counts"])
 
     def add(key, rows):
         total = np.zeros(part, np.uint64)
-        for x in rows.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint32)
+        for x, kind in zip(rows.column("counts"), rows.column("kind").to_pylist(), strict=True):
+            total += np.frombuffer(x.as_py(), f"u{kind}")
         steps = (np.log2(1 + total.astype(float)) * 1000).astype(np.uint16)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros(1 << bits, np.uint16)
-    for r in docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a fixed size
+    for r in docs.select("text").mapInArrow(count, "part int, kind int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a fixed size
         out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["counts"], np.uint16)
     return out
 
 
 def _signatures(counts: np.ndarray, k: int, t: Fraction):
-    """doc, rk, n, fp (names the set), and the shingles of the document's window."""
+    """doc, rk, n, fp (names the set), the shingles of the document's window (48 bits each: chance meetings fall to the comparison), and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, j, row, token in _each(batches, k):
             n = np.bincount(row, minlength=j - i)
-            fp = np.zeros(j - i, np.uint64)
-            np.add.at(fp, row, K.mix(token ^ np.uint64(0x5851F42D4C957F2D)))
+            ends = np.cumsum(n)
+            begin = ends - n
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(token ^ np.uint64(0x5851F42D4C957F2D)))])
+            fp = sums[ends] - sums[begin]
             fp = K.mix(fp ^ n.astype(np.uint64)).view(np.int64)
             # parity bitmap: bits that differ between two sets are at most the elements that differ
-            flip = np.zeros((j - i, PARITY), np.uint8)
-            np.bitwise_xor.at(flip, (row, (token >> np.uint64(40)).astype(np.int64) % PARITY), 1)
-            parity = np.packbits(flip, axis=1)
+            flip = (np.bincount(row * PARITY + (token >> np.uint64(40)).astype(np.int64) % PARITY, minlength=(j - i) * PARITY) & 1).astype(np.uint8).reshape(j - i, PARITY)
+            parity = np.packbits(flip, axis=1).view(np.int64).ravel()
             window = n - -(-n * t.numerator // t.denominator) + 1
             window[n == 0] = 0
-            rare = counts[(token & np.uint64(len(counts) - 1)).astype(np.int64)]
-            o = np.lexsort((token, rare, row))
-            first = np.cumsum(n) - n
-            keep = np.arange(len(o)) - first[row] < window[row]
+            # rare first, then by the shingle's upper bits
+            ranked = counts[(token & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | token >> np.uint64(16)
+            sort_rows(ranked, begin, ends)
+            keep = np.arange(len(ranked)) - begin[row] < window[row]
             ends = np.concatenate([[0], np.cumsum(window)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc").slice(i, j - i), b.column("rk").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[o][keep].view(np.int64))), pa.array([x.tobytes() for x in parity], pa.binary())],
+                [b.column("doc").slice(i, j - i), b.column("rk").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((ranked[keep] & np.uint64((1 << 48) - 1)).view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(0, len(parity) + 1, LONGS, dtype=np.int32)), pa.array(parity))],
                 names=["doc", "rk", "n", "fp", "pivots", "parity"],
             )
 
@@ -186,21 +205,35 @@ def _compare(k: int):
     return run
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """pairs(fp, pivot) with both, either, and linked."""
-    wanted = pairs.unionAll(pairs.select("pivot", "pivot").toDF("fp", "pivot")).distinct().groupBy("fp").agg(F.collect_list("pivot").alias("pivots"))
-    sent = texts.join(wanted, "fp").select("fp", F.explode("pivots").alias("pivot"), "text")
-    sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("fp") != F.col("pivot"))
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, share: int = 256) -> DataFrame:
+    """pairs(fp, pivot) with both, either, and linked. A pivot's partners are dealt out in parts of about `share`, each with the pivot's text."""
+    split = pairs.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {share}) as int)").alias("of"))
+    own = split.select(F.col("pivot").alias("fp"), "pivot", F.explode(F.expr("sequence(0, of - 1)")).alias("deal"))
+    others = pairs.join(split, "pivot").select("fp", "pivot", F.expr("cast(pmod(xxhash64(fp), of) as int)").alias("deal"))
+    sent = texts.join(others.unionAll(own).hint("merge"), "fp").select("fp", "pivot", "deal", "text")
+    sent = sent.repartition(parts, "pivot", "deal").sortWithinPartitions("pivot", "deal", F.col("fp") != F.col("pivot"))
     return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
 
 
+def _differ(a: str, b: str, t: Fraction) -> Column:
+    """Whether sizes and parity bits of the structs a and b allow the threshold."""
+    bits = " + ".join(f"bit_count({a}.parity[{i}] ^ {b}.parity[{i}])" for i in range(LONGS))
+    most = f"({a}.n + {b}.n) * {t.denominator - t.numerator} div {t.denominator + t.numerator}"
+    return F.expr(f"abs({a}.n - {b}.n) <= {most} and {bits} <= {most}")
+
+
+def _bits(rows: pa.Table) -> np.ndarray:
+    column = rows.column("parity")
+    return np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()).view(np.uint64).reshape(rows.num_rows, LONGS)
+
+
 def _meeting(t: Fraction):
     """Pairs (fp < pivot) of the sets of each shingle, sorted by it, but those whose sizes or parity bitmaps show a similarity under t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
             token, fp, n = (rows.column(c).to_numpy() for c in ("key", "fp", "n"))
-            bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(token), -1)
+            bits = _bits(rows)
             n = n.astype(np.int64)
             cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             for s, e in zip(cut, np.append(cut[1:], len(token)), strict=True):
@@ -221,7 +254,7 @@ def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     t, parts = Fraction(percent, 100), partitions(spark)
     named = keyed(docs, text, doc_id)
     counts = sketch(named, k, bits)
-    signed = materialize(named.mapInArrow(_signatures(counts, k, t), "doc long, rk long, n int, fp long, pivots array<long>, parity binary"), "signatures")
+    signed = materialize(named.mapInArrow(_signatures(counts, k, t), SIGNED), "signatures")
     some = signed.where("n > 0")
     sets = some.dropDuplicates(["fp"]).select(F.explode("pivots").alias("token"), "fp", "n", "parity")
     pairs = materialize(sets.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_meeting(t), "fp long, pivot long").distinct(), "pairs")
@@ -247,43 +280,60 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     t, parts = Fraction(percent, 100), partitions(spark)
     named = keyed(docs, text, doc_id)
     counts = sketch(named, k, bits)
-    signed = materialize(named.mapInArrow(_signatures(counts, k, t), "doc long, rk long, n int, fp long, pivots array<long>, parity binary"), "signatures")
-    some = signed.where("n > 0")
-    rows = some.select(F.explode("pivots").alias("token"), "fp", "n").repartition(parts, "token")
+    full = materialize(named.mapInArrow(_signatures(counts, k, t), SIGNED), "signatures")
+    rows = full.where("n > 0").select(F.explode("pivots").alias("token"), "fp", "n").repartition(parts, "token")
     regions = materialize(rows.mapInArrow(_regions(t), "rid long, fp long, pivot long").distinct(), "regions")
+    members = regions.select("fp").distinct()
+    shapes = materialize(full.where("n > 0").select("fp", "n", "parity").join(members, "fp", "left_semi").dropDuplicates(["fp"]), "shapes")
+    signed = materialize(full.select("doc", "rk", "n", "fp"), "sets")
+    discard(full)
     # one row's text for each set that shares a region
-    owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(regions.select("fp").distinct(), "fp")
-    texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners, "rk").select("fp", "text"), "texts")
-
-    shapes = materialize(some.select("fp", "n", "parity").join(regions.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "shapes")
+    some = signed.where("n > 0")
+    owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(members, "fp")
+    texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners.hint("merge"), "rk").select("fp", "text"), "texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return _compared(texts, pairs, k, percent, parts)
-
-    known = materialize(compare(regions.where("fp <> pivot").select("fp", "pivot").distinct()), "compared")
-    links = lambda t: t.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    found = components(links(known))
-    # distance to the region's first pivot; the pivot's is 0
-    far = F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / F.col("either"))
-    left = regions.join(known.select("fp", "pivot", "both", "either"), ["fp", "pivot"], "left").select("rid", "fp", far.alias("far"), (F.col("fp") == F.col("pivot")).alias("done"))
-    slack = float(1 - t) + 1e-9
+        return materialize(_compared(texts, pairs, k, percent, parts), "compared")
+
+    shape = F.struct("n", "parity")
+    first = regions.where("fp <> pivot").select("fp", "pivot").distinct()
+    first = first.join(shapes.select("fp", shape.alias("a")), "fp").join(shapes.select(F.col("fp").alias("pivot"), shape.alias("b")), "pivot")
+    pairs = materialize(first.where(_differ("a", "b", t)).select("fp", "pivot"), "pairs")
+    known = compare(pairs)
+    discard(pairs)
+    linked = lambda t: t.where("linked").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    found = known
+    # distance to the region's first pivot, where it was taken
+    far = known.select("fp", "pivot", (1 - F.col("both") / F.col("either")).alias("far"))
+    left = materialize(regions.where("fp <> pivot").join(far, ["fp", "pivot"], "left").select("rid", "fp", "far"), "left")
+    discard(regions)
+    turn, label = 0, None
     while True:
-        now = left.join(found, F.col("fp") == F.col("node"), "left").select("rid", "fp", "far", "done", F.coalesce("component", "fp").alias("component"))
-        # open regions: two components, and two members that were no pivots yet
-        open_ = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("done")).alias("n")).where("low < high and n > 1").select("rid")
-        now = now.join(open_, "rid", "left_semi").join(shapes, "fp").select("rid", "fp", "far", "done", "component", "n", "parity")
-        step = materialize(now.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_next(pivots, slack, t), "rid long, fp long, far double, done boolean, pivot long"), "open")
-        left, pairs = step.where("pivot is null").drop("pivot"), step.where("pivot is not null").select("fp", "pivot").distinct()
-        seen = known.select(F.least("fp", "pivot").alias("fp"), F.greatest("fp", "pivot").alias("pivot"))
-        pairs = materialize(pairs.join(seen, ["fp", "pivot"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if left.isEmpty():
-                break
-            continue
-        more = materialize(compare(pairs), "compared")
-        known = known.unionByName(more)
-        found = components(links(more).unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    node = some.select("fp", "doc").join(found, F.col("fp") == F.col("node"), "left").select("doc", "fp", F.coalesce("component", "fp").alias("root"))
+        turn += 1
+        stale = [] if label is None else [label]
+        label = joined(label, linked(found))
+        discard(*stale)
+        now = left.join(label, F.col("fp") == F.col("node"), "left").select("rid", "fp", "far", F.coalesce("component", "fp").alias("component"))
+        # of each open region one component, that of a random member, so mostly the largest
+        main = now.groupBy("rid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("fp", F.lit(turn))).alias("main")).where("low < high").select("rid", "main")
+        now = materialize(now.join(main, "rid").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "open")
+        if now.isEmpty():
+            break
+        size = now.groupBy("rid").agg(F.count_if("outside").alias("out"), F.count_if(~F.col("outside")).alias("within"), F.min(F.when(F.col("outside"), F.col("fp"))).alias("first"))
+        some_of = lambda n, of: F.pmod(F.xxhash64("fp", F.lit(-turn)), F.greatest(F.lit(1), F.floor(F.col(of) / n))) == 0
+        later = some_of(8, "within") & ~F.col("outside") if turn == 1 else F.col("outside") & (some_of(pivots, "out") | (F.col("fp") == F.col("first")))
+        chosen = now.join(size, "rid").where(F.when(F.col("out") <= pivots, F.col("outside")).otherwise(later)).select("fp").distinct().withColumn("pivot", F.lit(True))
+        # a member's first regions: pairs that meet in one of them need not meet again
+        lists = now.groupBy("fp").agg(F.expr(f"slice(array_sort(collect_set(rid)), 1, {LISTED})").alias("listed")).join(chosen, "fp", "left").join(shapes, "fp")
+        lists = materialize(lists.withColumn("pivot", F.coalesce("pivot", F.lit(False))), "members")
+        met = now.drop("outside").join(lists, "fp").repartition(parts, "rid").sortWithinPartitions("rid")
+        pairs = materialize(met.mapInArrow(_pairs(float(1 - t) + 1e-9, t), "fp long, pivot long").distinct(), "pairs")
+        spent, found = found, compare(pairs)
+        before, left = left, materialize(now.join(lists.where("not pivot").select("fp"), "fp", "left_semi").select("rid", "fp", "far"), "left")
+        discard(before, now, lists, pairs, spent)
+        pivots = pivots if turn == 1 else 4 * pivots
+    discard(texts, shapes, left, now, found)
+    node = some.select("fp", "doc").join(label, F.col("fp") == F.col("node"), "left").select("doc", "fp", F.coalesce("component", "fp").alias("root"))
     lowest = node.groupBy("root").agg(F.min("doc").alias("low"))
     root = node.select("fp", "root").distinct().join(lowest, "root").select("fp", "low")
     out = signed.join(root, "fp", "left")
@@ -292,57 +342,49 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return out.select(back(F.col("doc")).alias("doc_id"), "rk", F.col("n").cast("long").alias("n_shingles"), back(own).alias("component_id"))
 
 
-def _next(pivots: int, slack: float, t: Fraction):
-    """One round of open regions, sorted by rid: the rows of those that need more rounds, and the pairs (fp < pivot) to compare; a task gives a pair once.
+LISTED = 16
 
-    A pair is left out if it is of one component, if the triangle window excludes it, or if sizes and parity bitmaps
-    show more differing elements than a similarity of t allows. In a region's first round a few members of the first
-    component meet all others, most of which link to one of them; then the others are pivots.
+
+def _pairs(slack: float, t: Fraction):
+    """Pairs (fp, pivot) of the pivots of each region, sorted by rid, with its members of other components.
+
+    A pair is left out if its distances to the region's first pivot exclude it, if sizes and parity bits show more
+    differing elements than a similarity of t allows, or if both list a smaller region, where they meet as well.
     """
-    few = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "fp", "far", "done", "pivot"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
-        sent: set[tuple[int, int]] = set()
-        for rows in whole_keys(b.rename_columns(["key", *b.schema.names[1:]]) for b in batches):
-            rid, fp, far, done, comp, size = (rows.column(c).to_numpy() for c in ("key", "fp", "far", "done", "component", "n"))
-            bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rid), -1)
-            done = done.copy()
-            stays = np.zeros(len(rid), bool)
-            fresh_pairs: list[tuple[int, int]] = []
+        for rows in whole_keys(b.rename_columns(["key" if n == "rid" else n for n in b.schema.names]) for b in batches):
+            rid, fp, far, comp, pivot, size = (rows.column(c).to_numpy() for c in ("key", "fp", "far", "component", "pivot", "n"))
+            size, bits = size.astype(np.int64), _bits(rows)
+            column = rows.column("listed").combine_chunks()
+            listed = np.full((len(rid), LISTED), np.iinfo(np.int64).max)
+            off = np.asarray(column.offsets).astype(np.int64)
+            n = np.diff(off)
+            listed[np.repeat(np.arange(len(rid)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.asarray(column.flatten())
             cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+            found: list[np.ndarray] = []
             for s, e in zip(cut, np.append(cut[1:], len(rid)), strict=True):
-                f, d, c = fp[s:e], far[s:e], comp[s:e]
-                main = c[int(d.argmin())]
-                fresh = ~done[s:e]
-                order = K.mix(f.view(np.uint64))
-                outside = np.flatnonzero((c != main) & fresh)
-                outside = outside[np.argsort(order[outside])]
-                inside = np.flatnonzero((c == main) & fresh)
-                first = done[s:e].sum() <= 1 and len(outside) > few and len(inside)
-                chosen = inside[np.argsort(order[inside])][:few] if first else outside[:pivots]
-                for i in chosen:
-                    done[s + i] = True
-                    near = np.flatnonzero((np.abs(d - d[i]) <= slack) & (c != c[i]) & ~done[s:e])
-                    # elements that differ: at most (1 - t) / (1 + t) of both sizes together
-                    most = (size[s:e][near].astype(np.int64) + int(size[s + i])) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-                    near = near[np.bitwise_count(bits[s:e][near] ^ bits[s + i]).sum(axis=1) <= most]
-                    for h in near.tolist():
-                        pair = (int(min(f[h], f[i])), int(max(f[h], f[i])))
-                        if pair not in sent:
-                            sent.add(pair)
-                            fresh_pairs.append(pair)
-                stays[s:e] = first or len(outside) > pivots
-            if stays.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (rid, fp, far, done)] + [pa.nulls(int(stays.sum()), pa.int64())], names=names)
-            if fresh_pairs:
-                n = len(fresh_pairs)
-                a, z = zip(*fresh_pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if v is None else pa.array(v, k) for v, k in zip((None, a, None, None, z), kinds, strict=True)], names=names)
+                here = rid[s]
+                for i in range(s, e):
+                    if not pivot[i]:
+                        continue
+                    # two pivots meet once, from the smaller
+                    near = s + np.flatnonzero((comp[s:e] != comp[i]) & ~(pivot[s:e] & (fp[s:e] <= fp[i])) & ~(np.abs(far[s:e] - far[i]) > slack))
+                    most = (size[near] + size[i]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+                    ok = np.abs(size[near] - size[i]) <= most
+                    near, most = near[ok], most[ok]
+                    near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= most]
+                    if len(near):
+                        before = listed[i][listed[i] < here]
+                        near = near[~np.isin(listed[near], before).any(axis=1)] if len(before) else near
+                        found.append(np.column_stack([fp[near], np.full(len(near), fp[i])]))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["fp", "pivot"])
 
     return run
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document: distinct 5-word shingles, links at 75 %."""
     return jaccard_components(table(spark, sf_dir, "documents")).drop("rk")
