@@ -3,9 +3,11 @@
 Equal vectors are first put together (a partial aggregate), so a vector in a third of all rows is one search. Coarse
 centroids and subspace codebooks are fitted on a bounded sample; every vector is indexed. A vector's code is its
 nearest centroid's list and, for each subspace, the codeword nearest to its residual, with the exact length of what the
-code leaves out. Each vector searches every list that can hold a partner: a list is excluded only if the vector is
-further than the threshold's distance from all places that are nearer to that list's centroid than to the vector's own.
-So both ends find a link, however many lists there are. Table lookups give its distance to each code, a code
+code leaves out. How many lists a vector searches follows from a margin: a list is left out if the plane between its
+centroid and the vector's own is further away than `margin` times the threshold's distance. With margin 1 no list that
+can hold a partner is left out; the margin is set on the sample so that of pairs right at the threshold, in random
+directions and towards other vectors, the share `recall` is met from one end at least, whatever the number of lists.
+A pair that only one end finds counts for both. Table lookups give a vector's distance to each code of a list, a code
 is dropped only if the triangle inequality with the code's own error excludes the threshold, and the rest are compared
 exactly in double precision. Lists are dealt out in groups of at most `block` codes, larger lists in blocks, searches stream past them, and a
 block passes on counts and a spanning forest of its links, never its pairs.
@@ -56,6 +58,7 @@ class Index:
     coarse: np.ndarray  # lists x dim
     books: list[np.ndarray]  # codewords of each subspace
     cuts: np.ndarray  # bounds of the subspaces
+    margin: float = 1.0  # share of the threshold's distance up to which lists are searched
 
     def parts(self, x: np.ndarray):
         return [x[:, a:z] for a, z in zip(self.cuts, self.cuts[1:], strict=False)]
@@ -71,20 +74,38 @@ class Index:
         return [(p**2).sum(1)[:, None] - 2 * p @ b.T + (b**2).sum(1) for p, b in zip(self.parts(residual), self.books, strict=True)]
 
 
-def fit_index(vectors: DataFrame, rows: int, sample: int, per_list: int, most_lists: int, subspaces: int, seed: int = 11) -> Index | None:
-    """Index on the `sample` vectors first by hash (each of `dim` floats on the driver); lists follow the number of rows."""
+def needed_margin(x: np.ndarray, coarse: np.ndarray, threshold: float, recall: float, seed: int) -> float:
+    """The margin with which the share `recall` of pairs at the threshold is met from one end, over the vectors x with partners made for them."""
+    r = np.random.default_rng(seed)
+    side = np.where(r.random(len(x))[:, None] < 0.5, r.normal(size=x.shape), x[r.permutation(len(x))] - x)
+    side -= (side * x).sum(1)[:, None] * x
+    length = np.linalg.norm(side, axis=1)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * side / np.where(length > 0, length, 1)[:, None]
+    y, x = y[length > 0], x[length > 0]
+    if not len(x):
+        return 1.0
+    homes = [nearest(v, coarse, 1)[:, 0] for v in (x, y)]
+    reach = reach_of(threshold)
+    need = np.minimum(*(plane(v, own, to, coarse) / reach for v, own, to in ((x, homes[0], homes[1]), (y, homes[1], homes[0]))))
+    return float(np.clip(np.quantile(need, recall, method="higher"), 0.0, 1.0))
+
+
+def fit_index(vectors: DataFrame, rows: int, sample: int, per_list: int, subspaces: int, threshold: float, recall: float, seed: int = 11) -> Index | None:
+    """Index on the `sample` vectors first by hash (each of `dim` floats on the driver). Lists follow the rows, up to one for 5 vectors of the sample."""
     taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
     if not taken:
         return None
     x = np.array([r["v"] for r in taken], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    coarse = lloyd(x, max(1, min(most_lists, rows // per_list)), 8, seed)
+    apart = len(x) // 5 if len(x) >= 50 else 0  # vectors that the centroids have not seen set the margin
+    coarse = lloyd(x[apart:], max(1, min(rows // per_list, sample // 5)), 8, seed)
     residual = x - coarse[nearest(x, coarse, 1)[:, 0]]
     cuts = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
-    return Index(coarse, [lloyd(residual[:, a:z], 256, 6, seed + 1 + i) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))], cuts)
+    books = [lloyd(residual[:, a:z], 256, 6, seed + 1 + i) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return Index(coarse, books, cuts, needed_margin(x[:apart] if apart else x, coarse, threshold, recall, seed) if recall < 1 else 1.0)
 
 
-ROW = "cell int, block int, search int, id long, n long, v array<float>, code binary, error double"
+ROW = "cell int, block int, search int, id long, n long, v array<{kind}>, code binary, error double"
 FOUND = "a long, b long, n long"
 
 
@@ -93,6 +114,13 @@ def reach_of(threshold: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
 
+def plane(x: np.ndarray, own: np.ndarray, to: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """How far each row of x, nearest to centroid `own`, is from the side of centroid `to`; 0 if they are one."""
+    far = [((x - coarse[c]) ** 2).sum(1) for c in (own, to)]
+    between = np.sqrt(((coarse[own] - coarse[to]) ** 2).sum(1))
+    return np.where(own == to, 0.0, (far[1] - far[0]) / np.where(between > 0, 2 * between, 1))
+
+
 def reachable(x: np.ndarray, coarse: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
     """Which lists can hold a vector within reach of each row of x, whose nearest centroid is `own`.
 
@@ -101,7 +129,9 @@ def reachable(x: np.ndarray, coarse: np.ndarray, own: np.ndarray, reach: float)
     length = (coarse**2).sum(1)
     far = length - 2 * x @ coarse.T
     between = length[own][:, None] + length - 2 * coarse[own] @ coarse.T
-    return far - far[np.arange(len(x)), own][:, None] <= 2 * reach * np.sqrt(np.maximum(between, 0)) + 1e-6
+    out = far - far[np.arange(len(x)), own][:, None] <= 2 * reach * np.sqrt(np.maximum(between, 0))
+    out[np.arange(len(x)), own] = True
+    return out
 
 
 def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +178,12 @@ def _route(index: Index, reach: float, group: np.ndarray, blocks: np.ndarray):
 
 
 def _search(index: Index, threshold: float):
-    """Streams rows sorted by cell, block, search, id; holds one block. Gives (a, a, links) for each search and (a, b, 0) edges of a spanning forest."""
+    """Streams rows sorted by cell, block, search, id; holds one block. Gives (a, a, links) and (a, b, 0) edges of a spanning forest.
+
+    A link counts for the searching end, and for the other one too if that does not search the list of this one.
+    """
     reach = reach_of(threshold)
+    probed = reach * index.margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
@@ -175,8 +209,9 @@ def _search(index: Index, threshold: float):
         def out(a, b, n):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-        def search(k, ids, x):
-            can = reachable(x, index.coarse, nearest(x, index.coarse, 1)[:, 0], reach)
+        def search(k, ids, n, x):
+            home = nearest(x, index.coarse, 1)[:, 0]
+            can = reachable(x, index.coarse, home, probed)
             for cell, at, who in ((cell, at, w) for cell, at in k["lists"] for w in np.split(np.flatnonzero(can[:, cell]), range(256, len(x), 256))):
                 if not len(who):
                     continue
@@ -191,6 +226,11 @@ def _search(index: Index, threshold: float):
                 if not len(q):
                     continue
                 links = np.bincount(q, k["n"][y], len(who)).astype(np.int64)
+                lone = np.concatenate([plane(k["x"][y[s : s + 65536]], np.full(len(y[s : s + 65536]), cell), home[who[q[s : s + 65536]]], index.coarse) > probed for s in range(0, len(q), 65536)])
+                if lone.any():
+                    back = np.bincount(y[lone], n[who[q[lone]]], len(k["id"])).astype(np.int64)
+                    has = np.flatnonzero(back)
+                    yield out(k["id"][has], k["id"][has], back[has])
                 first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
                 base = y[first][np.cumsum(np.append(True, q[1:] != q[:-1])) - 1]
                 for u, v in np.unique(np.column_stack([k["root"][base], k["root"][y]]), axis=0):
@@ -219,7 +259,7 @@ def _search(index: Index, threshold: float):
                     held.append((ids[s:e], n[s:e], x[s:e], codes, error[s:e]))
                 elif held:
                     block = block or load()
-                    yield from search(block, ids[s:e], x[s:e])
+                    yield from search(block, ids[s:e], n[s:e], x[s:e])
         if block is not None:
             a, z = forest(block)
             yield out(a, z, np.zeros(len(a), np.int64))
@@ -231,10 +271,12 @@ def unlinked(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
 
-def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, per_list: int = 200, most_lists: int = 4096, subspaces: int = 8, sample: int = 20_000, block: int = 20_000) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, per_list: int = 200, subspaces: int = 8, sample: int = 20_000, block: int = 20_000, recall: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
-    sample: vectors that the index is fitted on; block: codes a task holds.
+    sample: vectors that the index is fitted on, which should grow with the table, as lists are at most a fifth of it;
+    block: codes a task holds; recall: share of links right at the threshold that are to be found. 1 finds all, at a cost
+    that grows faster than the rows where vectors spread evenly; a little less keeps the lists searched to a few.
     """
     spark = vectors.sparkSession
     arrow_rows(spark)
@@ -242,20 +284,22 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     size = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return unlinked(rows)
+    kind = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
+    row = ROW.format(kind=kind)
     fine = F.expr(f"size(v) = {size['d']} and {size['d']} > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = rows.withColumn("v", F.when(fine, F.col("v").cast("array<float>")))
+    rows = rows.withColumn("v", F.when(fine, F.col("v") if kind == "float" else F.col("v").cast("array<double>")))
     classes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
     n = classes.count()
-    index = fit_index(classes, n, sample, per_list, most_lists, subspaces)
+    index = fit_index(classes, n, sample, per_list, subspaces, threshold, recall)
     if index is None:
         return unlinked(rows)
     each = np.arange(len(index.coarse))
-    homes = classes.mapInArrow(_route(index, -1.0, each, np.ones_like(each)), ROW).where("search = 0").groupBy("cell").count().collect()  # a row for each list
+    homes = classes.mapInArrow(_route(index, -1.0, each, np.ones_like(each)), row).where("search = 0").groupBy("cell").count().collect()  # a row for each list
     counts = np.zeros(len(each), np.int64)
     for r in homes:
         counts[r["cell"]] = r["count"]
     group, blocks = dealt(counts, min(block, -(-n // partitions(spark))))
-    routed = classes.mapInArrow(_route(index, reach_of(threshold), group, blocks), ROW).repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "search", "id")
+    routed = classes.mapInArrow(_route(index, reach_of(threshold) * index.margin, group, blocks), row).repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "search", "id")
     found = materialize(routed.mapInArrow(_search(index, threshold), FOUND), "links")
     edges = components(found.where("a <> b").select("a", "b"))
     direct = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
@@ -266,4 +310,5 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+    """vec_id, n_links, component_id, kept of each row of embeddings, links at cosine 0.95, with a recall of 0.998 right there."""
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), recall=0.998)
