@@ -8,10 +8,10 @@ words), documents at every `stride`-th word, so some window of a copy stands at
 hashes in any repetition give a candidate place of the whole item, where the edit distance is computed exactly. An
 unedited stretch of window + stride - 1 words is always found; the repetitions find most windows with an edit or two.
 
-Items under `exact` words are too short for walks. Where the tolerance allows them e edits, they are cut into e + 1 parts,
-of which one at least stands unedited in a copy: each place of a part is a candidate place of the item. Others are
-matched as they are. The benchmark is read in blocks of bounded size, so
-what the tasks are sent is bounded whatever its size.
+Items under `exact` words have too few windows for walks. Where the tolerance allows them e edits, they are cut into e + 1 parts,
+of which one at least stands unedited in a copy: each place of a part is a candidate place of the item, so every copy
+within the tolerance is found. Others are matched as they are. The benchmark is read in blocks of bounded size, each in a pass of its own over the documents, so a
+task holds one block's index whatever the benchmark's size.
 
 Defined results: null or wordless items match nothing; null text counts as empty; repeated rows get equal results; an
 empty benchmark leaves all documents clean; an empty table gives an empty result. Other columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import kernels as K
-from tidemark.llm.common import arrow_rows, table
+from tidemark.llm.common import arrow_rows, materialize, table
 from tidemark.llm.jaccard_join import _LOWER
 
 _APART = np.ones(256, bool)
@@ -147,11 +147,11 @@ class Items:
 FOUND = "item int, start int, stop int, edits int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 8, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 25, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, rest (struct of the columns of keep), matches array<struct<item_id, start, stop, edits>> of each row of docs.
 
     An item matches where its word edit distance to a part of the document is at most tolerance times its words.
-    start and stop count the document's words. block_bytes: benchmark text sent to the tasks at once.
+    start and stop count the document's words. block_bytes: benchmark text whose index a task holds, some 30 times as large.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -162,11 +162,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
     rest = F.struct(*(F.col(c) for c in keep) or (F.lit(0).alias("none"),)).alias("rest")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), rest)
     schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"matches array<struct<item_id:{kind},start:int,stop:int,edits:int>>")])
-    for n in range(blocks):
+
+    def one(n: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()  # about block_bytes
         index = Items([(r[0], r[1]) for r in part], window, exact, repetitions, picked, stride, tolerance)
-        rows = rows.mapInArrow(_find(index, tolerance, stride), schema)
-    return rows
+        return rows.mapInArrow(_find(index, tolerance, stride), schema)
+
+    if blocks == 1:
+        return one(0)
+    rk = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    found = [materialize(one(n).select(rk.alias("rk"), F.explode("matches").alias("m")), "matches") for n in range(blocks)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    gathered = every.groupBy("rk").agg(F.array_sort(F.collect_set("m")).alias("matches"))
+    none = F.array().cast(schema["matches"].dataType)
+    return rows.withColumn("rk", rk).join(gathered, "rk", "left").select("doc_id", "text", "rest", F.coalesce("matches", none).alias("matches"))
 
 
 def _find(index: Items, tolerance: float, stride: int):
@@ -176,7 +187,7 @@ def _find(index: Items, tolerance: float, stride: int):
         for b in batches:
             column = b.column("text")
             off, raw = K.texts(column)
-            found: list[list] = b.column("matches").to_pylist() if "matches" in b.schema.names else [[] for _ in range(b.num_rows)]
+            found: list[list] = [[] for _ in range(b.num_rows)]
             for i, j in K.chunks(off):
                 values, begin, n = word_values(raw[off[i] : off[j]], off[i : j + 1] - off[i], pad)
                 count = -(-n // stride)
@@ -200,8 +211,7 @@ def _find(index: Items, tolerance: float, stride: int):
                         found[i + r].append({"item_id": index.ids[it], "start": lo + end - length, "stop": lo + end, "edits": edits})
                 for r, it, s in index.places(index.short, values, begin, n):
                     found[i + r].append({"item_id": index.ids[it], "start": s, "stop": s + len(index.words[it]), "edits": 0})
-            kind = b.schema.field("matches").type.value_type.field("item_id").type if "matches" in b.schema.names else index.kind
-            struct = pa.list_(pa.struct([("item_id", kind), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
+            struct = pa.list_(pa.struct([("item_id", index.kind), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
             names = ["doc_id", "text", "rest"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, struct)], names=[*names, "matches"])
 
