@@ -222,7 +222,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterat
             continue
         held.append(b)
         have += b.nbytes
-        if have < size:
+        if have < size or b.column("key")[-1].as_py() == held[0].column("key")[0].as_py():  # one key as yet
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         key = t.column("key").to_numpy()

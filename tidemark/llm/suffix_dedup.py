@@ -4,8 +4,11 @@ The corpus is sharded by content first (seeds.py): all occurrences of a repeated
 its seed, as snippets. A shard's snippets get a suffix array and its Burrows-Wheeler transform. Breadth-first backward
 extension then turns the intervals of all strings of length l into those of length l + 1: the rows whose preceding
 byte is c, in the order of the last-to-first mapping, are the interval of c before the string. A boundary that first
-shows at length l + 1 is a common prefix of l; the expansion stops at the minimum length, where the intervals left are
-the repeated strings, and longer common prefixes are never computed.
+shows at length l + 1 is a common prefix of l; intervals of one row go no further, and the expansion stops at the minimum
+length, where the intervals left are the repeated strings; longer common prefixes are never computed.
+
+Repeats whose whole surroundings (all windows of one seed) are alike are told by their 64-bit hash before any transform;
+the expansion decides where surroundings differ.
 
 Defined results: null text counts as empty; texts under `window` bytes lose nothing; a null doc_id counts as the
 largest; identical rows (id and text) get equal results; rows with one id and different texts are ordered by a hash of
@@ -51,24 +54,29 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of text (0 parts its strings) and, for each row, its interval of strings equal over `length` bytes."""
+    """Suffix array of text (0 parts its strings) and, for each row, its interval of strings equal over `length` bytes.
+
+    Only rows in intervals of two or more go on: what precedes a string that stands once stands once as well.
+    """
     order, first = suffix_array(text, length)
     bwt = text[order - 1]
-    back = np.argsort(bwt, kind="stable")  # row of the suffix that starts one byte later
-    symbol = bwt[back]
-    edge = np.ones(len(text), bool)
-    edge[1:] = symbol[1:] != symbol[:-1]
-    back = back.astype(np.int32)
-    group = np.cumsum(first, dtype=np.int32)
-    new = np.ones(len(text), bool)
-    for _ in range(8, length):
-        seen = group[back]
-        np.not_equal(seen[1:], seen[:-1], out=new[1:])
-        np.logical_or(new, edge, out=new)
-        np.cumsum(new, dtype=np.int32, out=group)
-        if group[-1] == len(group):  # nothing is repeated any more
+    before = np.empty(len(text), np.int64)  # row of the suffix that starts one byte earlier
+    before[np.argsort(bwt, kind="stable")] = np.arange(len(text))
+    live, group, new = np.arange(len(text)), np.zeros(len(text), np.int64), first
+    for have in range(8, length + 1):
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        live, group = live[several], group[several]
+        if have == length or not len(live):
             break
-    return order, group
+        symbol = bwt[live]
+        o = np.argsort(symbol, kind="stable")
+        symbol, group, live = symbol[o], group[o], before[live[o]]
+        new = np.ones(len(live), bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
+    out = np.arange(len(text))
+    out[live] = len(text) + group
+    return order, out
 
 
 def _expand(plan: Plan):
@@ -141,5 +149,6 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left) of each document, with strings of 100 bytes."""
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
