@@ -346,3 +346,139 @@ def test_chat(spark):
         if w.conv_id % 2 and w.conv_id < 30 and w.window and len(convs[w.conv_id]) > 1:
             assert next(chat.read_turns(w.formatted, [x.asDict() for x in w.loss]))[0] == "system"
     assert chat.digests(chat.chat_windows(df.limit(0))).count() == 0
+
+
+def test_templated_lines_link_as_brute_force_says(spark):
+    """Lines that share most of a template: nearly all pairs are near the threshold, and long lines are among them."""
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    lines = []
+    for size in (40, 90, 400):
+        for _ in range(12):
+            base = some(size)
+            for _ in range(6):
+                t = list(base)
+                for _ in range(r.randint(0, max(1, size // 60))):
+                    t[r.randrange(size)] = "#"
+                lines.append("".join(t) + r.choice(["", " end", some(4)]))
+    lines = [*dict.fromkeys(x.strip() for x in lines)]
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = X.components(range(len(lines)), near)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    kept = {x.doc_id for x in line_dedup.line_dedup(df).where("n_removed = 0").select("doc_id").collect()}
+    gone, should = set(want) - kept, {i for i, c in want.items() if i != c}
+    assert gone <= should and len(gone) >= 0.99 * len(should) > 20
+
+
+def test_repetitive_lines(spark):
+    """Few shingles, many times: bounds follow the distinct ones."""
+    lines = ["onhe is " * k + t for k in (30, 60, 90) for t in ("", "a tail", "another tail here")]
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in (x.strip() for x in lines)]
+    want = X.components(range(len(lines)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.line_dedup(df).where("n_removed = 0").collect()} == set(want.values())
+
+
+def test_decontamination_recall_at_the_tolerance(spark):
+    """Copies with 20 % of the words edited, of items of 8 to 60 words in one block."""
+    r = random.Random(21)
+    items = [(i, " ".join(f"k{r.randrange(3000)}" for _ in range(n))) for i, n in enumerate([8, 12, 20, 35, 60] * 4)]
+    rows, want = [], {}
+    for k in range(200):
+        i = k % len(items)
+        w = items[i][1].split()
+        for at in r.sample(range(len(w)), len(w) // 5):
+            w[at] = "zz"
+        rows.append((k, " ".join(["lead"] * (k % 7) + w + ["tail"] * (k % 5))))
+        want[k] = i
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: {m.item_id for m in x.matches} for x in decontamination.matches(df, bench).collect()}
+    assert sum(want[k] in got[k] for k in want) >= 0.95 * len(want)
+    blocks = {x.doc_id: {m.item_id for m in x.matches} for x in decontamination.matches(df, bench, block_bytes=1500).collect()}
+    assert sum(want[k] in blocks[k] for k in want) >= 0.95 * len(want)
+
+
+def test_embedding_recall_with_few_probes(spark):
+    """Links right above the threshold among 2,000 random vectors in 100 lists: the margin finds nearly all, from both ends alike."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(1000, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([base, 0.952 * base + np.sqrt(1 - 0.952**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {v.vec_id: v.n_links for v in embeddings.embedding_dedup(df, per_list=20, block=40, recall=0.998).collect()}
+    f = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = f @ f.T >= 0.95
+    want = links.sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum()
+    assert all(got[i] == got[i + 1000] for i in range(1000) if want[i] == want[i + 1000] == 1)
+    index = embeddings.Index(base[:50], [], np.array([0, 32]))
+    own = embeddings.nearest(x[:200].astype(float), index.coarse, 1)[:, 0]
+    can = embeddings.reachable(x[:200].astype(float), index.coarse, own, 0.1)
+    far = np.stack([embeddings.plane(x[:200].astype(float), own, np.full(200, j), index.coarse) for j in range(50)], axis=1)
+    assert (can == (far <= 0.1)).mean() > 0.999
+
+
+def test_double_vectors_stay_double(spark):
+    big = [1e300, 1e300]
+    df = spark.createDataFrame([(1, big), (2, [x * 1.0000001 for x in big]), (3, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.embedding_dedup(df.withColumn("embedding", F.transform("embedding", lambda v: v / 1e200))).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_state_crosses_batches(spark, rows, docs, texts, monkeypatch):
+    """Batches of two rows: what settle and whole_keys carry over decides as in one batch."""
+    from tidemark.llm import seeds
+
+    monkeypatch.setattr(seeds, "arrow_rows", lambda spark: common.arrow_rows(spark, 2))
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == X.repeated_words(texts, 50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == X.repeated_bytes(texts, 100)
+
+
+def test_whole_keys():
+    import pyarrow as pa
+
+    from tidemark.llm.seeds import whole_keys
+
+    keys = [1] * 5 + [2] * 40 + [3, 4, 4, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([b"x" * 100])], names=["key", "v"]) for k in keys]
+    out = [t.column("key").to_pylist() for t in whole_keys(iter(batches), 500)]
+    assert sum(out, []) == keys and all({*a}.isdisjoint({*b}) for i, a in enumerate(out) for b in out[i + 1 :])
+
+
+def test_packing_is_the_same_on_every_run(spark):
+    df = spark.createDataFrame([(i % 40, "word " * (i % 9 + 1)) for i in range(200)], "doc_id long, text string").repartition(7)
+    key = lambda r: (r.doc_id, r.piece, r.length, r.sequence_id, r.offset)
+    runs = [sorted(map(key, packing.pack(df.repartition(n), capacity=16).collect())) for n in (3, 5)]
+    assert runs[0] == runs[1]
+
+
+def test_language_by_a_second_computation(spark):
+    """Out-of-place distances of a plain re-statement: profiles of the most frequent n-grams by count, then by n-gram."""
+    import re
+    from collections import Counter
+
+    r = random.Random(5)
+    sets = {"aa": "abcdefg", "bb": "efghijk", "cc": "ijklmno"}
+    rows = [(i, " ".join("".join(r.choice(sets[k]) for _ in range(r.randint(2, 6))) for _ in range(25)), k) for i in range(90) for k in [("aa", "bb", "cc")[i % 3]]]
+    got = {x.doc_id: x.lang_pred for x in language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[a-z]+", text):
+            p = f" {w} "
+            for n in (1, 2, 3):
+                out.update(g for g in (p[i : i + n] for i in range(len(p) - n + 1)) if g.strip())
+        return out
+
+    rank = lambda c: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400])}
+    learned = {k: rank(sum((grams(t) for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 4 != 2), Counter())) for k in sets}
+    away = lambda a, b: sum(abs(i - b[g]) if g in b else 400 for g, i in a.items())
+    want = {i: min(learned, key=lambda k: away(rank(grams(t)), learned[k])) for i, t, _ in rows}
+    assert np.mean([got[i] == want[i] for i in got]) > 0.98

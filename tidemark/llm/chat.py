@@ -161,6 +161,7 @@ def digests(windows: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation and of conversation -1, read back from the windows."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     turn = F.col("id").cast("int")

@@ -159,4 +159,5 @@ def language_id(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lan
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document."""
     return language_id(table(spark, sf_dir, "documents"))

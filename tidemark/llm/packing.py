@@ -121,7 +121,8 @@ def best_two_fit(pieces: DataFrame, capacity: int = 1024, share: int = 50_000) -
     pieces = materialize(pieces, "pieces")
     n = max(1, -(-pieces.count() // share))
     schema = ", ".join(x.replace(":", " ", 1) for x in schema.split(","))
-    return pieces.repartition(n, F.xxhash64(*pieces.columns)).mapInArrow(run, schema)
+    # sorted, so that a task that runs again packs alike
+    return pieces.repartition(n, F.xxhash64(*pieces.columns)).sortWithinPartitions(*pieces.columns).mapInArrow(run, schema)
 
 
 def default_vocabulary() -> str:
@@ -135,4 +136,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end: in
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, in sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"))

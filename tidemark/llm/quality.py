@@ -206,7 +206,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
     stats = materialize(document_statistics(docs, text, doc_id), "statistics")
     held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held, F.lit(False))
     known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    model = fit(stats.where(~held_out).join(known, doc_id).select("stats", "label"))
+    model = fit(materialize(stats.where(~held_out).join(known, doc_id).select("stats", "label"), "labelled"))
     return classify(stats, model, threshold).select(doc_id, held_out.alias("held_out"), "score", "predicted")
 
 
@@ -228,4 +228,5 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from a score of 0.3 on) of each document."""
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

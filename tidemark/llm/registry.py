@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import oracles
 from tidemark.llm.chat import op10_chat_formatting
 from tidemark.llm.decontamination import op2_benchmark_decontamination
 from tidemark.llm.embeddings import op5_embedding_dedup
@@ -19,4 +20,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL of what SQL can express at the size of tests; tests hold the other operators against brute force."""
+    return {"op3_substring_dedup": oracles.SUBSTRING, "op5_embedding_dedup": oracles.EMBEDDING, "op7_ngram_jaccard_join": oracles.JACCARD, "op9_suffix_dedup": oracles.SUFFIX}

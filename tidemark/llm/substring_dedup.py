@@ -93,5 +93,6 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by spaces) of each document, with windows of 50 words."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
