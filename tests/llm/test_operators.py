@@ -482,3 +482,40 @@ def test_language_by_a_second_computation(spark):
     away = lambda a, b: sum(abs(i - b[g]) if g in b else 400 for g, i in a.items())
     want = {i: min(learned, key=lambda k: away(rank(grams(t)), learned[k])) for i, t, _ in rows}
     assert np.mean([got[i] == want[i] for i in got]) > 0.98
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """A text over a megabyte is a chunk of its own; what it shares with short ones is found."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(3, 9))) for _ in range(185_000)]
+    long = " ".join(words)
+    assert len(long) > 1 << 20
+    texts = {1: long, 2: "start " + " ".join(words[90_000:90_120]) + " end", 3: long + " more", 4: None, 5: "", 6: " ".join(words[-60:])}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept).hexdigest()) for x in substring_dedup.substring_dedup(df).collect()}
+    assert got == X.repeated_words(texts, 50)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == X.repeated_bytes(texts, 100)
+    assert {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Names that operators use inside, a row twice, a null id: results are those of the columns asked for."""
+    names = "rk long, key long, line string, matches string, rest string, stats string, score double, v string, id long, n int, piece int, label string"
+    extra = (5, 6, "x", "y", "z", "s", 0.5, "v", 7, 8, 9, "l")
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"so {item} it is\nkeep"), (1, f"so {item} it is\nkeep"), (None, f"so {item} it is"), (2, "clean words only here"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*x, *extra) for x in rows], f"doc_id long, text string, {names}")
+    bench = spark.createDataFrame([(9, item, "q"), (9, item, "q"), (None, None, "q")], "item_id long, text string, doc_id string")
+    found = sorted(((x.doc_id, x.contaminated) for x in decontamination.matches(df, bench).selectExpr("doc_id", "size(matches) > 0 as contaminated").collect()), key=str)
+    assert found == [(1, True), (1, True), (2, False), (3, False), (4, False), (None, True)]
+    lines = sorted(((x.doc_id, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(df).collect()), key=str)
+    assert lines == [(1, 2, 0), (1, 2, 0), (2, 1, 0), (3, 0, 0), (4, 1, 0), (None, 1, 1)]
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x")], "doc_id long, quality int, text string")
+    scored = quality.quality_classifier(df, labels).collect()
+    assert len(scored) == 6 and len({x.score for x in scored if x.doc_id == 1}) == 1
+    known = df.withColumn("lang", F.lit("en"))
+    assert sorted((x.lang_pred for x in language.language_id(known.withColumn("doc_id", F.coalesce("doc_id", F.lit(50)))).collect())) == ["en"] * 4 + ["und"] * 2
+    assert packing.pack(df, capacity=8).select("doc_id").distinct().count() == 5
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (1, [0.0, 1.0], "c")], "vec_id long, embedding array<float>, links string")
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.embedding_dedup(vectors).collect()) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
