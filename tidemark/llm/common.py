@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,13 @@ def tidy(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder, in partitions by its last column if that is named, and reads it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     tidy(spark)
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored = path
     return out
@@ -61,6 +62,21 @@ def spread(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], rows: int) -> DataFrame:
+    """df, stored in sorted runs, with idx (place in its group by order, from 0) and n (rows of the group).
+
+    Runs are ranges of (group, order), so a large group lies in many; the counts of the runs, a row for each run and
+    group in it, give where each begins.
+    """
+    runs = df.repartitionByRange(-(-rows // 50_000) or 1, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    runs = materialize(runs.withColumn("at", F.monotonically_increasing_id()).withColumn("run", F.shiftright("at", 33)), "runs")
+    heads = runs.groupBy(group, "run").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    of = Window.partitionBy(group)
+    heads = heads.select(group, "run", (F.sum("size").over(of.orderBy("run")) - F.col("size") - F.col("first")).alias("shift"), F.sum("size").over(of).alias("n"))
+    heads = materialize(spread(heads, rows), "heads")  # stored, so its size is known before the join
+    return runs.join(heads, [group, "run"]).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "run", "shift")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges(a, b): alternating large-star and small-star until nothing moves.
 

@@ -36,3 +36,33 @@ SUFFIX = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM docum
  k AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) + 1 AS a, a - 1 AS z FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(z) + 1, 1000000000000 FROM u GROUP BY 1),
  h AS (SELECT k.doc_id, string_agg(hex(array_slice(b, k.a, least(k.z, octet_length(b)))), '' ORDER BY k.a) AS kept FROM k JOIN b USING (doc_id) WHERE k.z >= k.a AND k.a <= octet_length(b) GROUP BY 1), m AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS spans FROM u GROUP BY 1)
  SELECT b.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN m.doc_id IS NULL THEN b.b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256 FROM b LEFT JOIN m USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
+
+# crc32 of ASCII text: a step for each byte over a table of 256 remainders.
+_CRC = """RECURSIVE bits AS (SELECT i::BIGINT AS i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc32(text: str, table: str = "crc.t") -> str:
+    """Unsigned crc32 of the UTF-8 bytes of text, with crc among the tables."""
+    h = f"hex(encode({text}))"
+    each = f"list_transform(range(1, len({h}) + 1, 2), lambda i: ('0x' || {h}[i:i + 1])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: xor(c >> 8, list_extract({table}, xor(c & 255, b) + 1))), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    field = "coalesce(octet_length(encode(({0})::VARCHAR)) || ':' || ({0})::VARCHAR, '-')"
+    return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# Levels by recursion; a proof is what stands beside the path, level by level, and a check folds the claim with it.
+MERKLE = f"""WITH {_CRC}, l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS leaf, {_leaf(f"CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS claim FROM documents, crc),
+ p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l),
+ a AS (SELECT tree, 0 AS level, idx, n, leaf AS h FROM p UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM a WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+ s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM a WHERE n = 1),
+ b AS (SELECT 0 AS level, idx, n, subroot AS h FROM s UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM b WHERE n > 1 GROUP BY level, idx // 2, n),
+ y AS (SELECT p.doc_id, s.tree, 0 AS half, a.level, (p.idx >> a.level) & 1 AS side, z.h AS beside FROM p JOIN s USING (tree) JOIN a ON a.tree = p.tree AND a.n > 1 AND a.idx = p.idx >> a.level LEFT JOIN a z ON z.tree = a.tree AND z.level = a.level AND z.idx = xor(a.idx, 1)
+  UNION ALL SELECT p.doc_id, s.tree, 1, b.level, (s.idx >> b.level) & 1, z.h FROM p JOIN s USING (tree) JOIN b ON b.n > 1 AND b.idx = s.idx >> b.level LEFT JOIN b z ON z.level = b.level AND z.idx = xor(b.idx, 1)),
+ w AS (SELECT doc_id, tree, list(coalesce(beside, '') ORDER BY half, level) AS beside, list(side ORDER BY half, level) AS side FROM y GROUP BY doc_id, tree),
+ v AS (SELECT p.doc_id, tree, leaf, claim AS c, 1 AS k, coalesce(beside, []) AS beside, side FROM p LEFT JOIN w USING (doc_id, tree) UNION ALL SELECT doc_id, tree, leaf, sha256(CASE WHEN side[k] = 1 THEN beside[k] || c ELSE c || beside[k] END), k + 1, beside, side FROM v WHERE k <= len(beside))
+ SELECT doc_id, leaf, subroot, (SELECT h FROM b WHERE n = 1) AS root, sha256(coalesce(array_to_string(beside, ''), '')) AS proof_sha256, c AS folded_root, c = (SELECT h FROM b WHERE n = 1) AS verified FROM v JOIN s USING (tree) WHERE k = len(beside) + 1"""
