@@ -139,7 +139,7 @@ def prove(passes: list[DataFrame], entry: DataFrame, claims: DataFrame, fanout:
         above = top.select("tree", F.lit(0).cast("long").alias("block"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("idx"), F.lit(1).cast("long").alias("n"), F.col("above").alias("digest"))
         if upper is not None:
             above = above.unionAll(upper.select("tree", F.col("idx").alias("block"), F.lit(-1), F.lit(0).cast("long"), F.lit(1).cast("long"), "proof"))
-        asked = claims if p == 0 else passes[p].where((F.col("level") == p * height) & (F.col("n") > 1)).select("tree", "idx", "n")
+        asked = claims if p == 0 else passes[p].where((F.col("level") == p * height) & (F.col("n") > 1)).select(*(F.col(c).alias(c) for c in ("tree", "idx", "n")))
         asked = asked.withColumn("block", F.expr(f"idx div {block}"))
         tasks = -(-asked.count() // EACH) or 1
         nodes = sides[p].unionAll(above).repartition(tasks, "tree", "block").groupBy("tree", "block")
