@@ -131,3 +131,47 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+P61 = (1 << 61) - 1
+_P61, _M31, _M30 = np.uint64(P61), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_POWERS61: dict[int, np.ndarray] = {}
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2 ** 61 - 1."""
+    x = (x & _P61) + (x >> np.uint64(61))
+    return np.where(x >= _P61, x - _P61, x)
+
+
+def add61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return fold61(a + b)
+
+
+def sub61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return fold61(a + (_P61 - b))
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2 ** 61 - 1 in halves of 30 and 31 bits, so that no sum passes 64 bits."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _M31, b >> np.uint64(31), b & _M31
+    mid = al * bh + ah * bl
+    return fold61(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _M30) << np.uint64(31)) + al * bl)
+
+
+def cumsum61(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0 to len(x) values modulo 2 ** 61 - 1; upper and lower halves add up apart, for up to 2 ** 31 values."""
+    low, high = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x & np.uint64(0xFFFFFFFF), out=low[1:])
+    np.cumsum(x >> np.uint64(32), out=high[1:])
+    high = fold61(high)
+    return add61(fold61(low), ((high << np.uint64(32)) & _P61) | (high >> np.uint64(29)))
+
+
+def powers61(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 61 - 1 for i < n."""
+    have = _POWERS61.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, mul61(have, np.uint64(pow(base, len(have), P61)))])
+    _POWERS61[base] = have
+    return have[:n]

@@ -66,3 +66,17 @@ MERKLE = f"""WITH {_CRC}, l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree
  w AS (SELECT doc_id, tree, list(coalesce(beside, '') ORDER BY half, level) AS beside, list(side ORDER BY half, level) AS side FROM y GROUP BY doc_id, tree),
  v AS (SELECT p.doc_id, tree, leaf, claim AS c, 1 AS k, coalesce(beside, []) AS beside, side FROM p LEFT JOIN w USING (doc_id, tree) UNION ALL SELECT doc_id, tree, leaf, sha256(CASE WHEN side[k] = 1 THEN beside[k] || c ELSE c || beside[k] END), k + 1, beside, side FROM v WHERE k <= len(beside))
  SELECT doc_id, leaf, subroot, (SELECT h FROM b WHERE n = 1) AS root, sha256(coalesce(array_to_string(beside, ''), '')) AS proof_sha256, c AS folded_root, c = (SELECT h FROM b WHERE n = 1) AS verified FROM v JOIN s USING (tree) WHERE k = len(beside) + 1"""
+
+
+# Near words by what is left of a word without one of its places; chains of forms by recursion.
+SPELLING = f"""WITH {_CRC}, x AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+ d AS (SELECT doc_id, run, count(*) AS n FROM x WHERE len(run) >= 7 GROUP BY 1, 2), h AS (SELECT run, n, {_crc32("doc_id || ':' || run")} AS h FROM d, crc),
+ g AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM h),
+ v AS (SELECT word, sum(n)::BIGINT AS n FROM g WHERE len(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ k AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v), o AS (SELECT word, n, i, word[1:i - 1] AS a, word[i + 1:] AS z FROM k),
+ p AS (SELECT x.word AS word, y.word AS near, y.n AS m FROM o x JOIN o y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT o.word, v.word, v.n FROM o JOIN v ON v.word = o.a || o.z UNION SELECT v.word, o.word, o.n FROM o JOIN v ON v.word = o.a || o.z),
+ r AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k FROM p),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * v.n THEN near END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN r ON r.word = v.word AND k = 1),
+ t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+ SELECT word, form, t.at AS root, n, n_near, form_n FROM f JOIN t USING (word) WHERE t.next IS NULL"""
