@@ -176,7 +176,7 @@ def merkle_manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "sourc
     trees = subroots.count()
     upper = numbered(subroots.withColumn("tree", F.lit("")), "tree", [F.col("name")], trees)
     crown = build(upper, trees, fanout, height)
-    root = tops(crown).select(F.lit("").alias("tree"), F.concat("digest", F.lit(" ")).alias("above"))
+    root = tops(crown).select("tree", F.concat("digest", F.lit(" ")).alias("above"))
     shape = "tree string, above string"
 
     def enter(claims: pa.Table, proofs: list[str]) -> pa.Table:
