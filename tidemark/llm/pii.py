@@ -156,7 +156,7 @@ def votes(t: bytes, kind: int, start: int, end: int, kept: bool, failed: bool) -
         known = 1 if 0 < int(parts[0][-4:]) < 224 and parts[0] != b"127" else -1
     elif kind == 2:
         layout = 1 if re.fullmatch(rb"[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}", s) else 0
-        known = 1 if digits[:1] in b"3456" and luhn(digits) else -1
+        known = 1 if digits[:1] in b"3456" and holds(kind, s) else -1
     else:
         layout = 1 if re.search(rb"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$|^\+[0-9]{10,15}$|^\+[0-9]{1,3}(?:[\x20.-][0-9]{2,4}){3,5}$", s) else 0
         bare = digits[2:] if s.startswith(b"00") else digits
