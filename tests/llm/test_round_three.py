@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
 from tidemark.llm import kernels as K
-from tidemark.llm import merkle, pii, spelling
+from tidemark.llm import jaccard_join, merkle, pii, spelling, substring_dedup, suffix_dedup
 
 
 def H(text: str) -> str:
@@ -234,3 +234,34 @@ def test_added_spans(spark, docs, empty):
     assert all([s.kind for s in got[i] if s.base] == (["email", "phone"] if i < 60 else ["ip", "card"]) and len(got[i]) == 2 for i in range(120))
     assert pii.pii_spans(empty).count() == 0
     assert pii.pii_spans(docs).count() == docs.count()
+
+
+def doubled(n: int) -> tuple[str, str]:
+    """Two texts of n letters, each the other with letters swapped; a polynomial of any odd base modulo 2 ** 64 gives them one hash from 1,024 on."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [128, 1024, 2048])
+def test_words_that_cancel(spark, n):
+    one, other = doubled(n)
+    head = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {other}"), (3, f"p q r s {one}"), (4, f"p q r s {other}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {0}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == X.repeated_bytes(texts, 100)
+
+
+def test_hashes():
+    r = np.random.default_rng(3)
+    raw = r.integers(97, 99, 5000).astype(np.uint8)
+    starts = r.integers(0, 4900, 3000)
+    ends = starts + r.integers(1, 60, 3000)
+    h, data = K.word_hashes(raw, starts, ends), raw.tobytes()
+    seen = {}
+    for a, z, x in zip(starts, ends, h.tolist(), strict=True):
+        assert seen.setdefault(data[a:z], x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert (K.run_hashes(raw.astype(np.uint64), starts, ends) == K.run_hashes(np.append(raw, raw).astype(np.uint64), starts + 5000, ends + 5000)).all()

@@ -15,6 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _R, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first bytes of eight
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -94,8 +95,36 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def _pieces(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each run of count pieces begins, and of each piece its run and its place there."""
+    first = np.cumsum(count) - count
+    run = np.repeat(np.arange(len(count)), count)
+    return first, run, np.arange(len(run)) - first[run]
+
+
+def _added(pieces: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each run: its pieces are mixed with their places before they add up, so no sum of products of one base can vanish."""
+    mixed = mix(mix(pieces) + (place + 1).astype(np.uint64) * np.uint64(_R))
+    return mix(np.add.reduceat(mixed, first) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefix(_BYTE[raw], _R), starts, ends, _R)
+    """Hashes of the bytes [start, end), none empty, by pieces of 8 bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, strides=(1,))
+    first, run, place = _pieces((ends - starts + 7) >> 3)
+    at = starts[run] + 8 * place
+    return _added(eight[at] & _LEFT[np.minimum(ends[run] - at, 8)], place, first, ends - starts)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end], none empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first, run, place = _pieces(ends - starts)
+    return _added(values[starts[run] + place], place, first, ends - starts)
 
 
 def grams(hashes: np.ndarray, k: int, base: int = _Q, sums: np.ndarray | None = None) -> np.ndarray:

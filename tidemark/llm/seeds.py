@@ -68,14 +68,19 @@ def _batch(seed, ctx, doc, rk, s0, s1, kind) -> pa.RecordBatch:
     )
 
 
+def contexts(plan: Plan, raw: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the units [start, end); not by products of one base, so units cannot cancel each other."""
+    return K.word_hashes(raw, starts, ends) if plan.unit == "byte" else K.run_hashes(values, starts, ends)
+
+
 def occurrences(plan: Plan, values: np.ndarray, off: np.ndarray):
-    """row, seed hash, seed place, s0, s1, context of each seed occurrence; places count from the chunk's start."""
+    """row, seed hash, seed place, s0, s1 of each seed occurrence; places count from the chunk's start."""
     g = K.grams(values, plan.k)
     at = K.sliding_argmin(g, plan.w)
     n = np.diff(off)
     live = np.flatnonzero(n >= plan.window)
     if not len(live) or not len(at):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     count = n[live] - plan.window + 1
     row = np.repeat(live, count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(off[live], count)
@@ -83,10 +88,8 @@ def occurrences(plan: Plan, values: np.ndarray, off: np.ndarray):
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
     f = np.flatnonzero(new)
-    s0, s1, p = start[f], start[np.append(f[1:], len(a)) - 1], a[f]
-    sums = K.prefix(values, K._Q)
-    ctx = K.spans(sums, s0, s1 + plan.window, K._Q) ^ K.mix((p - s0).astype(np.uint64))
-    return row[f], g[p], p, s0, s1, ctx
+    p = a[f]
+    return row[f], g[p], p, start[f], start[np.append(f[1:], len(a)) - 1]
 
 
 def _repeats(plan: Plan, seed, ctx, doc, rk, s0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,9 +124,11 @@ def scan(plan: Plan):
             off, raw = K.texts(b.column("text"))
             doc, rk = b.column("doc").to_numpy(zero_copy_only=False), b.column("rk").to_numpy(zero_copy_only=False)
             for i, j in K.chunks(off):
-                values, uoff, _, _ = units(plan, raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                row, seed, _, s0, s1, ctx = occurrences(plan, values, uoff)
+                data = raw[off[i] : off[j]]
+                values, uoff, _, _ = units(plan, data, off[i : j + 1] - off[i])
+                row, seed, p, s0, s1 = occurrences(plan, values, uoff)
                 if len(row):
+                    ctx = contexts(plan, data, values, s0, s1 + plan.window) ^ K.mix((p - s0).astype(np.uint64))
                     held.append((seed, ctx, doc[i + row], rk[i + row], s0 - uoff[row], s1 - uoff[row]))
                     size += len(row)
             if size > 1_000_000:
@@ -187,7 +192,7 @@ def snippets(plan: Plan):
             roff, s0_all = np.asarray(reps.offsets), np.asarray(reps.values)
             for i, j in K.chunks(off):
                 values, uoff, us, ue = units(plan, raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                row, seed, p, s0, s1, _ = occurrences(plan, values, uoff)
+                row, seed, p, s0, s1 = occurrences(plan, values, uoff)
                 if not len(row):
                     continue
                 # which occurrences are representatives: by row and start
