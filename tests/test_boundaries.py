@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from tidemark.functions import scalars as X
 from tidemark.operators import candidates as C
 from tidemark.operators import kernels as N
+from tidemark.operators import resampling as B
 from tidemark.operators import signals as S
-from tidemark.operators import statistics as P
 from tidemark.sources import answers as W
 from tidemark.sources import datasets as D
 from tidemark.sources import store as O
@@ -217,5 +217,5 @@ def test_registration(spark):
 
 def test_paired_bootstrap(spark):
     df = spark.createDataFrame([(1, i, float(i + 1), float(i)) for i in range(5)] + [(1, 9, None, 1.0), (1, 10, float("nan"), 1.0)], "scope int, episode int, a double, b double")
-    got = P.paired_bootstrap(df, "scope", "a", "b", ["episode"], 7, 200).first()
+    got = B.paired_bootstrap(df, "scope", "a", "b", ["episode"], 7, 200).first()
     assert (got.difference, got.low, got.high, got.n) == (1.0, 1.0, 1.0, 5)

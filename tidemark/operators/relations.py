@@ -51,6 +51,18 @@ def paired_errors(events: DataFrame, mode_a: str, mode_b: str) -> DataFrame:
     return side(mode_a, "a").join(side(mode_b, "b"), ["episode", "task"]).withColumn("difference", F.col("a") - F.col("b"))
 
 
+def paired_modes(events: DataFrame, modes: tuple[str, ...], scopes: bool = True) -> DataFrame:
+    """episode, task, scope, mode_a, mode_b, difference (error of a less that of b) for each two modes, in their order, of an event that both have.
+
+    One pass: the errors of an event meet in one row, from which its pairs come. scopes: each row also in scope `combined`.
+    """
+    wide = events.where(F.col("mode").isin(*modes) & F.col("error").isNotNull()).groupBy("episode", "task").agg(*(F.max(F.when(F.col("mode") == m, F.col("error"))).alias(f"e{i}") for i, m in enumerate(modes)))
+    pairs = F.array(*(F.struct(F.lit(a).alias("mode_a"), F.lit(b).alias("mode_b"), (F.col(f"e{i}") - F.col(f"e{j}")).alias("difference")) for i, a in enumerate(modes) for j, b in enumerate(modes) if i < j))
+    names = F.array("task", F.lit("combined")) if scopes else F.array("task")
+    long = wide.select("episode", "task", F.explode(pairs).alias("p")).select("episode", "task", "p.*").where("difference is not null")
+    return long.withColumn("scope", F.explode(names))
+
+
 def select_episodes(tokens: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
     """Zero-padded ids of tokens(pos, token) in order of first mention, marked known or unknown."""
     padded = tokens.select("pos", F.lpad(F.trim("token"), 6, "0").alias("episode")).where("episode <> '000000'")

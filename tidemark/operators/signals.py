@@ -20,10 +20,18 @@ def _distance(*pairs: tuple[str, str]) -> Column:
 
 def detected_speed(frames: DataFrame, per_gap: bool = True) -> DataFrame:
     """Distance to the previous detected centre, over the frame gap if per_gap; 0 where not or first detected."""
-    seen = F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))
-    out = frames.withColumn("p", F.last(seen, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)))
+    return speed_from(frames.withColumn("p", F.last(seen(), ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))), per_gap)
+
+
+def seen() -> Column:
+    """Frame and centre where there is a detection."""
+    return F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))
+
+
+def speed_from(rows: DataFrame, per_gap: bool) -> DataFrame:
+    """The speed of rows with p, the previous detection."""
     gap = F.greatest(F.lit(1), F.col("frame_idx") - F.col("p.frame_idx")) if per_gap else F.lit(1)
-    return out.withColumn("speed", F.when(F.col("detected") & F.col("p").isNotNull(), _distance(("x", "p.x"), ("y", "p.y")) / gap).otherwise(0.0)).drop("p")
+    return rows.withColumn("speed", F.when(F.col("detected") & F.col("p").isNotNull(), _distance(("x", "p.x"), ("y", "p.y")) / gap).otherwise(0.0)).drop("p")
 
 
 def reset_speed(frames: DataFrame) -> DataFrame:
@@ -36,19 +44,27 @@ def reset_speed(frames: DataFrame) -> DataFrame:
 
 def interpolated_speed(frames: DataFrame, interval: float = 1.0) -> DataFrame:
     """Speed over positions filled linearly between detections (flat beyond them) if an episode has two at least."""
-    seen = F.when(F.col("detected"), F.struct("frame_idx", "x", "y"))
     here = series().rowsBetween(Window.unboundedPreceding, 0)
-    out = frames.withColumn("a", F.last(seen, ignorenulls=True).over(here)).withColumn("z", F.first(seen, ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing)))
+    out = frames.withColumn("a", F.last(seen(), ignorenulls=True).over(here)).withColumn("z", F.first(seen(), ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing)))
     out = out.withColumn("n", F.count_if("detected").over(Window.partitionBy("episode")))
+    out = filled(out).withColumn("px", F.lag("fx").over(series())).withColumn("py", F.lag("fy").over(series())).withColumn("begins", F.lag("frame_idx").over(series()).isNull())
+    return out.withColumn("speed", step_speed(interval)).drop("a", "z", "n", "fx", "fy", "px", "py", "begins")
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """fx, fy between the detections a before and z after (each the row's own, if it has one); n: detections of the episode."""
     share = (F.col("frame_idx") - F.col("a.frame_idx")) / (F.col("z.frame_idx") - F.col("a.frame_idx"))
 
     def fill(c: str) -> Column:
         between = F.when(F.col("a.frame_idx") == F.col("z.frame_idx"), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + (F.col(f"z.{c}") - F.col(f"a.{c}")) * share)
         return F.when(F.col("detected"), F.col(c)).when(F.col("n") > 1, F.coalesce(between, F.col(f"a.{c}"), F.col(f"z.{c}")))
 
-    out = out.withColumn("fx", fill("x")).withColumn("fy", fill("y")).withColumn("px", F.lag("fx").over(series())).withColumn("py", F.lag("fy").over(series()))
-    speed = F.when(F.lag("frame_idx").over(series()).isNull(), 0.0).otherwise(_distance(("fx", "px"), ("fy", "py")) / interval)
-    return out.withColumn("speed", speed).drop("a", "z", "n", "fx", "fy", "px", "py")
+    return rows.withColumn("fx", fill("x")).withColumn("fy", fill("y"))
+
+
+def step_speed(interval: float) -> Column:
+    """From (px, py) to (fx, fy); 0 where the series begins."""
+    return F.when(F.col("begins"), 0.0).otherwise(_distance(("fx", "px"), ("fy", "py")) / interval)
 
 
 def bimanual(left: DataFrame, right: DataFrame) -> DataFrame:

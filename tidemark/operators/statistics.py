@@ -1,4 +1,4 @@
-"""Paired statistics: ranks, Holm, percentiles in SQL; bootstrap and Wilcoxon probabilities in NumPy groups."""
+"""Paired statistics: ranks and Holm over scopes of any size, probabilities from their sums, bootstrap of short lists."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import carried, in_runs
+from tidemark.sources.stages import stored
+
 E = F.expr
 
 
@@ -17,23 +20,39 @@ def derived_seed(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 8), 16, 10).cast("bigint")
 
 
-def holm(rows: DataFrame, family: str, p: str = "p", tie: str = "id") -> DataFrame:
-    """Holm-adjusted probabilities within each family; null and NaN stay null and do not count."""
+def holm(rows: DataFrame, family: str, p: str = "p", tie: str = "id", run: int = 200_000) -> DataFrame:
+    """Holm-adjusted probabilities within each family; null and NaN stay null and do not count.
+
+    A family may be of any size: its order lies in runs of about `run` rows, whose counts and largest steps are carried.
+    """
     fine = F.col(p).isNotNull() & ~F.isnan(p)
-    by = Window.partitionBy(family, fine)
-    order = by.orderBy(p, tie)
-    step = F.least(F.lit(1.0), (F.count("*").over(by) - F.row_number().over(order) + 1) * F.col(p))
-    out = rows.withColumn("step", step)
-    return out.withColumn("adjusted", F.when(fine, F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("step")
+    own = [family]
+    tests = rows.where(fine)
+    placed = carried(in_runs(tests, own, [p, tie], run), own, [p, tie], {"before": ("sum", F.lit(1))})
+    size = tests.groupBy(F.col(family).alias("family_")).agg(F.count("*").alias("tests_"))
+    steps = placed.join(size, F.col(family).eqNullSafe(F.col("family_"))).withColumn("step", F.least(F.lit(1.0), (F.col("tests_") - F.col("before")) * F.col(p)))
+    steps = stored(steps.drop("family_", "tests_", "before"), "steps")
+    out = carried(steps, own, [p, tie], {"most": ("max", F.col("step"))}).withColumn("adjusted", F.greatest("step", "most"))
+    return out.select(*rows.columns, "adjusted").unionByName(rows.where(~fine).withColumn("adjusted", F.lit(None).cast("double")))
+
+
+def size_counts(differences: DataFrame, by: str, value: str = "difference") -> DataFrame:
+    """by, size, up, down: how many differences of each absolute size other than 0 are positive and negative. NaN and null do not count."""
+    rows = differences.where((F.col(value) != 0) & ~F.isnan(value))
+    return rows.groupBy(by, F.abs(value).alias("size")).agg(F.count_if(F.col(value) > 0).alias("up"), F.count_if(F.col(value) < 0).alias("down"))
+
 
+def signed_ranks(differences: DataFrame, by: str, value: str = "difference", run: int = 200_000) -> DataFrame:
+    """Sums of the average ranks of absolute non-zero differences, by sign; n, and ties: the sum of c ** 3 - c over groups of c equal sizes.
 
-def signed_ranks(differences: DataFrame, by: str, value: str = "difference") -> DataFrame:
-    """Sums of the average ranks of absolute non-zero differences, by sign."""
-    rows = differences.where(F.col(value) != 0).withColumn("size", F.abs(value))
-    order = Window.partitionBy(by).orderBy("size")
-    rank = F.rank().over(order) + (F.count("*").over(Window.partitionBy(by, "size")) - 1) / F.lit(2.0)
-    rows = rows.withColumn("rank", rank)
-    return rows.groupBy(by).agg(F.sum(F.when(F.col(value) > 0, F.col("rank")).otherwise(0.0)).alias("positive"), F.sum(F.when(F.col(value) < 0, F.col("rank")).otherwise(0.0)).alias("negative"), F.count("*").alias("n"))
+    The rows of a scope are counted by size before anything is ordered; the sizes lie in runs, whose counts are carried,
+    so a scope of any number of sizes is ranked in many tasks.
+    """
+    sizes = in_runs(size_counts(differences, by, value), [by], ["size"], run)
+    n = F.col("up") + F.col("down")
+    ranked = carried(sizes, [by], ["size"], {"before": ("sum", n)}).withColumn("rank", F.col("before") + (n + 1) / F.lit(2.0))
+    c = n.cast("double")
+    return ranked.groupBy(by).agg(F.sum(F.col("rank") * F.col("up")).alias("positive"), F.sum(F.col("rank") * F.col("down")).alias("negative"), F.sum(n).alias("n"), F.sum(c * c * c - c).alias("ties"))
 
 
 def rank_biserial() -> Column:
@@ -61,51 +80,39 @@ def bootstrap(values: np.ndarray, seed: int, resamples: int = 10_000, level: flo
     return float(low), float(high)
 
 
-def bootstrap_ci(rows: DataFrame, by: str, value: str, order: list[str], seed: int, resamples: int = 10_000) -> DataFrame:
-    """by, low, high: values of a group are sorted by `order` first. Groups are the few modes or scopes of a report."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap(pdf.sort_values(order)[value].to_numpy(), seed, resamples)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [low], "high": [high]})
-
-    return rows.select(by, value, *[c for c in order if c not in (by, value)]).groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, low double, high double")
-
-
-def paired_bootstrap(rows: DataFrame, by: str, a: str, b: str, order: list[str], seed: int, resamples: int = 10_000) -> DataFrame:
-    """by, difference (mean of a - b), low, high, n over the rows where both are finite numbers."""
-    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (a, b)]
-    pairs = rows.where(finite[0] & finite[1]).withColumn("difference", F.col(a) - F.col(b))
-    return pairs.groupBy(by).agg(F.avg("difference").alias("difference"), F.count("*").alias("n")).join(bootstrap_ci(pairs, by, "difference", order, seed, resamples), by)
+def signed_rank_probability(w: float, n: int, zeros: bool, ties: float) -> float:
+    """Two-sided probability of the lesser rank sum w of n non-zero differences: exact up to 50 without ties or zeros, else normal with tie correction."""
+    if not n:
+        return 1.0
+    if n <= 50 and not zeros and not ties:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for k in range(1, n + 1):
+            ways[k:] = ways[k:] + ways[: len(ways) - k]
+        return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return float(math.erfc(abs(w - mean) / math.sqrt(2 * var))) if var > 0 else 1.0
 
 
 def wilcoxon_p(differences: np.ndarray) -> tuple[float | None, float | None]:
-    """Two-sided signed-rank statistic and probability: exact up to 50 values without ties or zeros, else normal with tie correction."""
+    """Statistic and probability of a short list; of none null, of zeros alone 0 and 1."""
     d = np.asarray(differences, float)
     if not len(d):
         return None, None
-    zeros = (d == 0).any()
-    d = d[d != 0]
-    n = len(d)
-    if not n:
-        return 0.0, 1.0
-    size = np.abs(d)
-    value, where, count = np.unique(size, return_inverse=True, return_counts=True)
-    last = np.cumsum(count)
-    rank = (last - (count - 1) / 2)[where]
-    w = float(min(rank[d > 0].sum(), rank[d < 0].sum()))
-    if n <= 50 and not zeros and (count == 1).all():
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for k in range(1, n + 1):
-            ways[k:] = ways[k:] + ways[: len(ways) - k]
-        return w, float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
-    return w, float(math.erfc(abs(w - mean) / math.sqrt(2 * var))) if var > 0 else 1.0
+    zeros, d = bool((d == 0).any()), d[d != 0]
+    value, where, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[where]
+    w = float(min(rank[d > 0].sum(), rank[d < 0].sum())) if len(d) else 0.0
+    return w, signed_rank_probability(w, len(d), zeros, float((count**3 - count).sum()))
+
 
+def wilcoxon(differences: DataFrame, by: str, value: str = "difference", run: int = 200_000) -> DataFrame:
+    """by, statistic, p, effect (rank-biserial): from the rank sums of signed_ranks, one row a scope; the probability is worked out from that row."""
+    known = differences.where(F.col(value).isNotNull() & ~F.isnan(value))
+    zeros = known.groupBy(F.col(by).alias("by_")).agg(F.max(F.col(value) == 0).alias("zeros"))
+    rows = zeros.join(signed_ranks(known, by, value, run), F.col(by).eqNullSafe(F.col("by_")), "left").select(F.col("by_").alias(by), "zeros", rank_biserial().alias("effect"), F.coalesce(F.least("positive", "negative"), F.lit(0.0)).alias("statistic"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ties", F.lit(0.0)).alias("ties"))
 
-def wilcoxon(differences: DataFrame, by: str, value: str = "difference") -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = wilcoxon_p(pdf[value].to_numpy())
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "statistic": [w], "p": [p]})
+    def p(w: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_probability(*x) for x in zip(w, n, zeros, ties, strict=True)], dtype=float)
 
-    return differences.select(by, value).groupBy(by).applyInPandas(one, f"{by} {dict(differences.dtypes)[by]}, statistic double, p double")
+    return rows.select(by, "statistic", F.pandas_udf(p, "double")("statistic", "n", "zeros", "ties").alias("p"), "effect")

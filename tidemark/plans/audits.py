@@ -8,12 +8,14 @@ from tidemark.operators import audit as A
 from tidemark.operators import candidates as C
 from tidemark.operators import kernels as N
 from tidemark.operators import relations as R
+from tidemark.operators import resampling as B
 from tidemark.operators import statistics as P
 from tidemark.plans import localize as L
 from tidemark.plans import reports as Q
 from tidemark.plans import series as S
 from tidemark.plans.ctes import EPISODES, FILES, FRAMES, TRIALS, TRUTHS
 from tidemark.sources import tables as T
+from tidemark.sources.stages import stored
 
 E = F.expr
 
@@ -98,24 +100,38 @@ _LOOP = f"""WITH {S._GRID}, {TRUTHS}, a AS (SELECT g.episode, mode, task, g.num_
 
 
 def _wilcoxon(s, d):
-    return P.wilcoxon(Q._pairs(s, d), "task")
+    return P.wilcoxon(Q._pairs(s, d), "task").select("task", "statistic", "p")
 
 
 def _pairwise(s, d):
-    events = Q._events(s, d)
-    out = None
-    for a, b in (("speed", "pinch"), ("speed", "speed_pinch"), ("pinch", "speed_pinch")):
-        both = R.paired_errors(events, a, b)
-        both = both.withColumn("scope", F.explode(F.array("task", F.lit("combined")))).withColumn("pair", F.concat_ws("|", "scope", F.lit(a), F.lit(b)))
-        out = both if out is None else out.unionByName(both)
-    mean = out.groupBy("pair").agg(F.avg("difference").alias("difference"), F.count("*").alias("n"))
-    ci = P.bootstrap_ci(out, "pair", "difference", ["episode", "task"], 20260908)
-    rank = P.signed_ranks(out, "pair").select("pair", P.rank_biserial().alias("effect"))
-    rows = mean.join(ci, "pair").join(P.wilcoxon(out, "pair"), "pair").join(rank, "pair", "left").withColumn("family", F.lit(1))
+    long = stored(R.paired_modes(Q._events(s, d), ("speed", "pinch", "speed_pinch")).withColumn("pair", F.concat_ws("|", "scope", "mode_a", "mode_b")), "pairs")
+    mean = B.merged_bootstrap(long, "pair", "difference", ["episode", "task"], 20260908).withColumnRenamed("mean", "difference")
+    rows = stored(mean.join(P.wilcoxon(long, "pair"), "pair").withColumn("family", F.lit(1)), "tests")
     rows = P.holm(rows, "family", "p", "pair").withColumn("mode_a", F.split("pair", "[|]")[1]).withColumn("mode_b", F.split("pair", "[|]")[2])
     return rows.select("pair", "n", *(F.round(c, 9).alias(c) for c in ("difference", "low", "high", "statistic", "p", "adjusted", "effect")), P.conclusion().alias("conclusion"))
 
 
+def rounded(rows, by: str):
+    """The group, its n, and the numbers at nine places."""
+    return rows.select(by, *(F.col(c) if c == "n" else F.round(c, 9).alias(c) for c in rows.columns if c != by))
+
+
+def resamples_sql(rows: str, by: str, value: str, order: list[str], seed: int, resamples: int) -> str:
+    """ends(by, low, high): the mergeable bootstrap in SQL, over the CTE rows; each step of the hash is a subquery."""
+    def mixed(source: str) -> str:
+        xor = [f"xor(h, h >> {k})" for k in B.SHIFTS]
+        product = [f"(h::HUGEINT * {k} % 4294967296)::BIGINT" for k in B.FACTORS]
+        for step in (xor[0], product[0], xor[1], product[1], xor[2]):
+            source = f"(SELECT * EXCLUDE (h), {step} AS h FROM {source})"
+        return source
+
+    row = "('0x' || substr(sha256(concat_ws('|', " + ", ".join([str(seed), *order]) + ")), 1, 8))::BIGINT"
+    first = mixed(f"(SELECT {by}, {value}, {row} AS h FROM {rows} WHERE {value} IS NOT NULL)")
+    second = mixed(f"(SELECT {by}, {value}, b, xor(h, b * {B.STEP} % 4294967296) AS h FROM {first}, range({resamples}) t(b))")
+    sums = f"(SELECT {by}, b, sum({value} * c) AS s, sum(c) AS n FROM (SELECT *, len(list_filter({B.THRESHOLDS}, lambda t: h >= t)) AS c FROM {second}) GROUP BY {by}, b HAVING sum(c) > 0)"
+    return f"ends AS (SELECT {by}, quantile_cont(s / n, 0.025) AS low, quantile_cont(s / n, 0.975) AS high FROM {sums} GROUP BY {by})"
+
+
 QUERIES = {
     "manifest_violations": (lambda s, d: A.violations(_labels(s, d), "episode", A.MANIFEST), f"""WITH {_LABELS} SELECT episode, 'length' AS rule FROM la WHERE e - s + 1 <> n UNION ALL SELECT episode, 'contact_range' FROM la WHERE c NOT BETWEEN 0 AND n - 1 UNION ALL SELECT episode, 'contact_global' FROM la WHERE g <> s + c
  UNION ALL SELECT episode, 'contact_availability' FROM la WHERE (c IS NULL) <> (g IS NULL) UNION ALL SELECT episode, 'order' FROM la WHERE p < c"""),
@@ -140,7 +156,8 @@ QUERIES = {
  ev AS (SELECT mi.episode, CASE (seed % 3)::INT WHEN 0 THEN 'Contact' WHEN 1 THEN 'Separation' ELSE 'Neither' END AS event, f.frame_idx, f.speed FROM mi JOIN frames f ON f.episode = mi.episode AND f.frame_idx = greatest(0, least(minimum - 4, mi.num_frames - 9)) + seed % 9 WHERE f.speed <> 0),
  pt AS (SELECT *, count(*) FILTER (event = 'Separation') OVER (PARTITION BY episode ORDER BY frame_idx, event = 'Separation' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM ev WHERE event <> 'Neither'),
  pairs AS (SELECT episode, (list(frame_idx ORDER BY speed, frame_idx) FILTER (event = 'Contact'))[1] AS contact, min(frame_idx) FILTER (event = 'Separation') AS separation FROM pt GROUP BY episode, part) SELECT episode, contact, separation FROM pairs WHERE contact IS NOT NULL AND separation IS NOT NULL"""),
-    "bootstrap_ci": (lambda s, d: P.bootstrap_ci(Q._events(s, d).where("error is not null"), "mode", "error", ["episode", "task"], 20260908), None),
+    "bootstrap_ci": (lambda s, d: rounded(B.merged_bootstrap(Q._events(s, d), "mode", "error", ["episode", "task"], 20260908, 100).select("mode", "low", "high"), "mode"),
+        f"WITH {Q.EVENTS}, {resamples_sql('events_', 'mode', 'error', ['episode', 'task'], 20260908, 100)} SELECT mode, round(low, 9) AS low, round(high, 9) AS high FROM ends"),
     "wilcoxon": (_wilcoxon, None),
     "pairwise": (_pairwise, None),
     "active_span": (lambda s, d: N.spans_by_episode(T.frames(s, d)), None),

@@ -8,10 +8,11 @@ from tidemark.functions import scalars as X
 from tidemark.operators import audit as A
 from tidemark.operators import candidates as C
 from tidemark.operators import kernels as N
+from tidemark.operators import resampling as B
 from tidemark.operators import signals as S
-from tidemark.operators import statistics as P
 from tidemark.plans import reports as Q
 from tidemark.plans import series as V
+from tidemark.plans.audits import resamples_sql, rounded
 from tidemark.plans.ctes import EPISODES, FRAMES, GRID_ROWS, HANDS
 from tidemark.sources import datasets as D
 from tidemark.sources import store as O
@@ -129,7 +130,8 @@ QUERIES = {
  c AS (SELECT episode, speed AS cut FROM r WHERE rank = greatest(1, floor(0.3::DOUBLE * num_frames))) SELECT p.episode, p.frame_idx, coalesce(f.speed <= cut AND f.speed <> 0, false) AS accepted FROM picks p JOIN frames f USING (episode, frame_idx) LEFT JOIN c ON c.episode = p.episode"""),
     "feedback_draw": (lambda s, d: N.weighted_draw(C.feedback_candidates(V._picks(s, d), T.frames(s, d)).withColumn("speed", F.coalesce("speed", F.lit(9999.0))), "episode", "speed", 11), None),
     "weighted_reward": (lambda s, d: Q._scored(s, d).selectExpr("sample", "reward as cell_reward", "if(parsed, 1D, 0D) as parse_reward", "if(sample % 4 = 0, null, 0.5D) as extra").select("sample", F.round(X.weighted_reward("cell_reward", "parse_reward", "extra", weights=(1.0, 0.25, 0.5)), 9).alias("reward")), f"WITH {Q.SCORED} SELECT sample, round(reward + CASE WHEN parsed THEN 0.25 ELSE 0 END + CASE WHEN sample % 4 = 0 THEN 0 ELSE 0.25 END, 9) AS reward FROM scored"),
-    "paired_bootstrap": (lambda s, d: P.paired_bootstrap(_both(s, d), "task", "a", "b", ["episode"], 20260908), None),
+    "paired_bootstrap": (lambda s, d: rounded(B.paired_bootstrap(_both(s, d), "task", "a", "b", ["episode"], 20260908, 100), "task"),
+        f"WITH {Q.PAIRS}, pf AS (SELECT task, episode, difference FROM pe WHERE episode % 29 <> 0), {resamples_sql('pf', 'task', 'difference', ['episode'], 20260908, 100)}, m AS (SELECT task, avg(difference) AS difference, count(*) AS n FROM pf GROUP BY task) SELECT task, round(difference, 9) AS difference, n, round(low, 9) AS low, round(high, 9) AS high FROM m JOIN ends USING (task)"),
     "signal_metadata_check": (lambda s, d: A.violations(_meta(s, d), "episode", METADATA), f"WITH {EPISODES} SELECT episode, 'schema_version' AS rule FROM episodes WHERE episode % 7 = 0 UNION ALL SELECT episode, 'total_frames' FROM episodes WHERE episode % 5 = 0 UNION ALL SELECT episode, 'speed' FROM episodes WHERE episode % 11 = 0 UNION ALL SELECT episode, 'pinch' FROM episodes WHERE episode % 13 = 0"),
     "config_check": (lambda s, d: A.violations(_configs(s, d), "event_id", CONFIG), "SELECT event_id, 'hash' AS rule FROM events WHERE event_id % 13 = 0 UNION ALL SELECT event_id, 'backend' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'grid' FROM events WHERE event_id % 7 = 0 UNION ALL SELECT event_id, 'negative_option' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'adapter' FROM events WHERE event_id % 17 = 0 OR event_id % 19 = 0"),
     "sample_ids": (lambda s, d: T.grid_rows(s, d).select("sample", O.sample_id(F.col("task"), F.lit("grid"), {"file_name": E("concat(sample, '.png')"), "prompt": E("concat('say \"', sample, '\"')"), "video_source": F.col("source"), "video_index": F.col("group_id"), "gt_frame": F.col("gt_frame"), "gt_cell": F.col("gt_cell"), "frame_indices": F.col("frame_indices"), "offset": E("if(sample % 2 = 0, null, sample)")}).alias("sample_id")), f"""WITH {GRID_ROWS} SELECT sample, sha256('{{"dataset_name":"grid","file_name":"' || sample || '.png","frame_indices":[' || array_to_string(frame_indices, ',') || '],"gt_cell":' || gt_cell || ',"gt_frame":' || gt_frame || ',"offset":' || CASE WHEN sample % 2 = 0 THEN 'null' ELSE sample::VARCHAR END
