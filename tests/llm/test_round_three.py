@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
 from tidemark.llm import kernels as K
-from tidemark.llm import jaccard_join, merkle, pii, spelling, substring_dedup, suffix_dedup
+from tidemark.llm import decontamination, jaccard_join, merkle, pii, spelling, substring_dedup, suffix_dedup
 
 
 def H(text: str) -> str:
@@ -265,3 +265,42 @@ def test_hashes():
         assert seen.setdefault(data[a:z], x) == x
     assert len(set(seen.values())) == len(seen)
     assert (K.run_hashes(raw.astype(np.uint64), starts, ends) == K.run_hashes(np.append(raw, raw).astype(np.uint64), starts + 5000, ends + 5000)).all()
+
+
+def edited(r, words: list[str], kind: str, regular: bool) -> list[str]:
+    """A fifth of the words replaced, deleted or preceded by another, at every fifth place or at random ones."""
+    e = len(words) // 5
+    at = set(range(2, 5 * e, 5) if regular else r.sample(range(len(words)), e))
+    out = []
+    for i, w in enumerate(words):
+        if i in at:
+            out += {"replace": ["zz%d" % r.randrange(10**6)], "delete": [], "insert": ["zz%d" % r.randrange(10**6), w]}[kind]
+        else:
+            out.append(w)
+    return out
+
+
+def test_decontamination_recall(spark):
+    """Copies with a fifth of the words edited, of each kind and size: at least 0.95 of each are found, and nothing else."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda k: [r.choice(vocabulary) for _ in range(k)]
+    sizes = (8, 12, 16, 20, 25, 30, 35, 40, 44, 48, 54, 60)
+    items = [(i, text(sizes[i % len(sizes)])) for i in range(240)]
+    docs, want, doc = [], {}, 0
+    for kind in ("replace", "delete", "insert"):
+        for regular in (False, True):
+            for i, words in items:
+                docs.append((doc, " ".join(text(30) + edited(r, words, kind, regular) + text(30))))
+                want[doc] = (i, kind, regular)
+                doc += 1
+    docs += [(doc + k, " ".join(text(200))) for k in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {x.doc_id: {m.item_id for m in x.matches} for x in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
+    assert not any(got[doc + k] for k in range(100))
+    hits = Counter()
+    for d, (i, kind, regular) in want.items():
+        hits[kind, regular, sizes[i % len(sizes)] < 45] += i in got[d]
+    total = Counter((kind, regular, sizes[i % len(sizes)] < 45) for i, kind, regular in want.values())
+    share = {k: hits[k] / n for k, n in total.items()}
+    assert all(s == 1 if short else s >= 0.95 for (_, _, short), s in share.items()), share

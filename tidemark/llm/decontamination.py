@@ -8,13 +8,15 @@ words), documents at every `stride`-th word, so some window of a copy stands at
 hashes in any repetition give a candidate place of the whole item, where the edit distance is computed exactly. An
 unedited stretch of window + stride - 1 words is always found; the repetitions find most windows with an edit or two.
 
-Items under `exact` words have too few windows for walks. Where the tolerance allows them e edits, they are cut into e + 1 parts,
-of which one at least stands unedited in a copy: each place of a part is a candidate place of the item, so every copy
-within the tolerance is found. Others are matched as they are. The benchmark is read in blocks of bounded size, each in a pass of its own over the documents, so a
-task holds one block's index whatever the benchmark's size.
-
-Defined results: null or wordless items match nothing; null text counts as empty; repeated rows get equal results; an
-empty benchmark leaves all documents clean; an empty table gives an empty result. Other columns are ignored.
+Items under `exact` words have few windows, and walks alone would miss a part of their copies (a tenth of those of 30
+words with every fifth word deleted); so they are looked for by an exact means as well, the only one for items of
+`window` words or less. Where the tolerance allows an item e edits, it is cut into e + 1 parts, of which one at least
+stands unedited in a copy: each place of a part is a candidate place of the item, so every copy within the tolerance is
+found. Items that may have no edit are matched as they are. The benchmark is read in blocks of bounded size, each in a
+pass of its own over the documents, so a task holds one block's index whatever the benchmark's size.
+
+Defined results: null or wordless items match nothing; null text counts as empty; repeated rows get equal results; items
+that stand at one place all match it, and null ids of items or documents stay null; long texts go whole; an empty benchmark leaves all documents clean; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.kind = pa.array([i for i in self.ids if i is not None][:1] or [0]).type
         self.words = [values[b : b + k] for b, k in zip(begin, n, strict=True)]
-        long = [i for i, k in enumerate(n) if k >= exact]
+        long = [i for i, k in enumerate(n) if k > window]
         # so that one of the document's windows stands at a place of the item whatever the shift
         self.window = min([window, *(int(n[i]) - stride + 1 for i in long)])
         self.walk = Walk.of(self.window, repetitions, picked)
@@ -147,7 +149,7 @@ class Items:
 FOUND = "item int, start int, stop int, edits int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 25, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, window: int = 12, exact: int = 45, stride: int = 2, repetitions: int = 8, picked: int = 7, block_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, rest (struct of the columns of keep), matches array<struct<item_id, start, stop, edits>> of each row of docs.
 
     An item matches where its word edit distance to a part of the document is at most tolerance times its words.
