@@ -6,16 +6,17 @@ are made on the executors by a function, so clients and their connections are ne
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-# What a passing failure says of itself.
-MARKERS = ("temporarily unavailable", "timed out", "timeout", "connection reset", "rate limit", "try again")
+from tidemark.functions.scalars import MARKERS
 
 
 class AnswerSource(Protocol):
@@ -55,7 +56,7 @@ def failure(error: Exception, secret: str | None = None) -> dict:
 
 
 class StartSpacing:
-    """Lets requests start at most `per_second` times a second, all threads together; 0 sets no limit. Completions are free."""
+    """Lets requests start at most `per_second` times a second, all threads of a process together; 0 sets no limit. Completions are free."""
 
     def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         if not 0 <= per_second < float("inf"):
@@ -74,10 +75,36 @@ class StartSpacing:
         return start
 
 
+class SlotSpacing:
+    """A limit over several processes without a word between them: time is cut into slots of 1 / per_second, dealt in turn to the lanes.
+
+    A caller starts in slots of its own lane alone (lane, lane + lanes, ... from the epoch on) and once a slot, at its
+    beginning, so no two starts of all lanes are closer than a slot, whenever the lanes begin and whichever lag behind.
+    The clocks must agree to well under a slot.
+    """
+
+    def __init__(self, per_second: float, lane: int, lanes: int, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        if not 0 <= per_second < float("inf") or not 0 <= lane < lanes:
+            raise ValueError("per_second must be finite and not negative, lane under lanes")
+        self.gap, self.lane, self.lanes, self._clock, self._sleep, self._turn = 1 / per_second if per_second else 0.0, lane, lanes, clock, sleep, None
+
+    def wait(self) -> float:
+        """Waits for the lane's next slot and returns when it begins."""
+        now = self._clock()
+        if not self.gap:
+            return now
+        turn = math.ceil((now / self.gap - self.lane) / self.lanes - 1e-9)
+        self._turn = turn if self._turn is None else max(turn, self._turn + 1)
+        start = (self._turn * self.lanes + self.lane) * self.gap
+        while (left := start - self._clock()) > 0:  # never before the slot
+            self._sleep(left)
+        return start
+
+
 class Retrying:
     """A source that asks again after a passing failure: `attempts` in all, the delay doubles; other failures go through."""
 
-    def __init__(self, source: AnswerSource, attempts: int = 3, delay: float = 1.0, spacing: StartSpacing | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, source: AnswerSource, attempts: int = 3, delay: float = 1.0, spacing: StartSpacing | SlotSpacing | None = None, sleep: Callable[[float], None] = time.sleep):
         self.source, self.attempts, self.delay, self.spacing, self._sleep = source, attempts, delay, spacing, sleep
         self.name, self.tries = source.name, 0
 
@@ -98,15 +125,16 @@ class Retrying:
 ANSWERS = "raw_response string, backend_used string, attempts int, latency_s double, error struct<type:string,status_code:int,request_id:string,message:string>"
 
 
-def ask(requests: DataFrame, make: Callable[[], AnswerSource], attempts: int = 3, delay: float = 1.0, per_second: float = 0.0, secret: str | None = None) -> DataFrame:
+def ask(requests: DataFrame, make: Callable[[], AnswerSource], attempts: int = 3, delay: float = 1.0, per_second: float = 0.0, secret: str | None = None, lanes: int = 8) -> DataFrame:
     """requests with raw_response, backend_used, attempts, latency_s and error (null, or what stopped the last try).
 
-    Each partition asks in order through one source; per_second is the limit of a partition, so the limit of a service
-    over the number of partitions that run at once. A failed request is a row with an error, never a failed task.
+    Requests are dealt to `lanes` tasks, each of which asks in order through one source. per_second limits the starts of
+    all of them together, retries too; lanes that run one after another use their share of it only. A failed request is
+    a row with an error, never a failed task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source = Retrying(make(), attempts, delay, StartSpacing(per_second))
+        source = Retrying(make(), attempts, delay, SlotSpacing(per_second, TaskContext.get().partitionId() % lanes, lanes))
         for batch in batches:
             rows = []
             for question in batch.to_dict("records"):
@@ -119,4 +147,4 @@ def ask(requests: DataFrame, make: Callable[[], AnswerSource], attempts: int = 3
             yield batch.assign(**{name: pd.Series([r[i] for r in rows], index=batch.index, dtype=object) for i, name in enumerate(("raw_response", "backend_used", "attempts", "latency_s", "error"))})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.mapInPandas(run, f"{fields}, {ANSWERS}")
+    return requests.repartition(lanes).mapInPandas(run, f"{fields}, {ANSWERS}")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.lines import PLACE, place, strict_rows
+
 E = F.expr
 
 
@@ -41,31 +43,12 @@ def read_checked(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, bool]:
-    """Rows of a file of JSON lines, and whether its last line was torn (has no newline): that line alone is dropped.
+    """Rows of JSON lines (one file or more) with their place `at`, and whether the last line of a file was torn (has no newline): such a line is dropped.
 
     Blank lines are skipped; any other line that is not JSON is an error, which is raised here.
     """
-    lines = spark.read.text(path, lineSep="\n").withColumn("at", F.col("_metadata.file_block_start") + F.monotonically_increasing_id())
-    size = spark.read.format("binaryFile").load(path).select("length").first()
-    tail = b""
-    if size is not None and size[0]:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hadoop)
-        try:
-            stream.seek(size[0] - 1)
-            tail = bytes([stream.read()])
-        finally:
-            stream.close()
-    torn = bool(tail) and tail not in (b"\n", b"\r")
-    if torn:
-        last = lines.agg(F.max("at")).first()[0]
-        lines = lines.where(F.col("at") != last)
-    fields = StructType([*schema.fields]).add("_corrupt_record", "string")
-    rows = lines.where(F.trim("value") != "").select("at", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("at", "r.*")
-    bad = rows.where("_corrupt_record is not null").orderBy("at").first()
-    if bad is not None:
-        raise ValueError(f"{path}: a line is not JSON: {bad['_corrupt_record'][:80]!r}")
-    return rows.drop("_corrupt_record"), torn
+    rows, torn = strict_rows(spark, schema, path)
+    return rows.select(place().alias("at"), *(c for c in rows.columns if c not in PLACE)), bool(torn)
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:

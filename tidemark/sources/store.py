@@ -13,19 +13,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.lines import PLACE, json_rows, place, read_lines, tails
+
 STATUSES = ("success", "terminal_failure", "failed", "error")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of JSON lines with a column `line`; malformed lines have only _corrupt_record. The last record of a key is the one of the largest line."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    fields = StructType([*schema.fields]).add("_corrupt_record", "string")
-    return lines.where(F.trim("value") != "").select("line", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("line", "r.*")
+    """Rows of JSON lines with `line`, their place; malformed lines have only _corrupt_record. The last record of a key is the one of the largest line."""
+    rows = json_rows(read_lines(spark, path), schema)
+    return rows.select(place().alias("line"), *(c for c in rows.columns if c not in PLACE))
 
 
 def torn_files(spark: SparkSession, path: str) -> DataFrame:
     """Files whose last line lacks its newline: only that line may be dropped, any other bad one is an error."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), (~F.col("value").endswith("\n") & (F.length("value") > 0)).alias("torn"))
+    return tails(read_lines(spark, path)).select(F.col("file").alias("path"), "torn")
 
 
 def speed_series(rows: DataFrame, base: int = 0) -> DataFrame:
