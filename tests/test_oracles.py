@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 from tests.conftest import SMALL
-from tidemark.plans import audits, extras, reports, rounds, series
+from tidemark.plans import audits, extras, kept, reports, rounds, series
 
-ALL = series.QUERIES | reports.QUERIES | audits.QUERIES | extras.QUERIES | rounds.QUERIES
+ALL = series.QUERIES | reports.QUERIES | audits.QUERIES | extras.QUERIES | rounds.QUERIES | kept.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
