@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tidemark.functions import scalars as X
 from tidemark.operators import audit as A
 from tidemark.operators import candidates as C
@@ -16,6 +17,8 @@ from tidemark.operators import relations as R
 from tidemark.operators import rollups as U
 from tidemark.operators import signals as S
 from tidemark.operators import statistics as P
+from tidemark.plans import audits
+from tidemark.plans import series as Z
 from tidemark.sources.store import ResultStore, content_hash, inventory, markdown, read_jsonl, speed_series, torn_files
 from tidemark.streaming.intake import intake
 
@@ -166,7 +169,6 @@ def test_audit_rules(spark):
 
 
 def test_plans(spark):
-    from tests.conftest import SMALL
     from tidemark.sources import tables as T
 
     plan = C.slowest(T.frames(spark, SMALL), 4)._jdf.queryExecution().executedPlan().toString()
@@ -175,3 +177,11 @@ def test_plans(spark):
     assert plan.count("Exchange hashpartitioning") == 1  # all windows of a series share one exchange
     modes = C.mode_candidates(C.cue_lists(T.frames(spark, SMALL)))
     assert modes.where("mode = 'speed'").where(F.size(F.array_except("cues", "speed_list")) > 0).count() == 0
+
+
+def test_scans_of_wide_queries(spark):
+    """Queries over several signals read their table once for all of them, and once more for the labels."""
+    for name, run, scans, exchanges in (("grid_recall", Z.QUERIES["grid_recall"][0], 2, 3), ("closed_loop", audits.QUERIES["closed_loop"][0], 2, 3), ("pairwise", audits.QUERIES["pairwise"][0], 3, 99)):
+        plan = run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans, (name, plan.count("FileScan parquet"))
+        assert plan.count("Exchange hashpartitioning") <= exchanges, (name, plan.count("Exchange hashpartitioning"))

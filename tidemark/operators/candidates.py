@@ -45,14 +45,20 @@ def minima(detections: DataFrame, segmented: bool = True) -> DataFrame:
 
     An inner point is one if it exceeds no neighbour and is under one; a segment without any gives its first least.
     """
-    run = F.col("frame_idx") - F.row_number().over(Window.partitionBy("episode").orderBy("frame_idx")) if segmented else F.lit(0)
-    rows = detections.where("detected").withColumn("seg", run)
+    return marked_minima(detections.where("detected"), segmented).where("minimum").select("episode", "frame_idx", "pinch")
+
+
+def marked_minima(frames: DataFrame, segmented: bool = True) -> DataFrame:
+    """All frames, with minimum: whether minima() has them. Frames without a detection lie in no segment; all windows share the exchange by episode."""
+    seen = F.coalesce(F.col("detected"), F.lit(False))
+    before = F.count_if(seen).over(Window.partitionBy("episode").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = frames.withColumn("seg", F.when(seen, F.col("frame_idx") - before if segmented else F.lit(0)))
     by = Window.partitionBy("episode", "seg")
     order = by.orderBy("frame_idx")
     rows = rows.withColumn("a", F.lag("pinch").over(order)).withColumn("z", F.lead("pinch").over(order))
     rows = rows.withColumn("dip", E("a is not null and z is not null and pinch <= a and pinch <= z and (pinch < a or pinch < z)"))
     rows = rows.withColumn("dips", F.count_if("dip").over(by)).withColumn("least", F.min_by("frame_idx", F.struct("pinch", "frame_idx")).over(by))
-    return rows.where("dip or (dips = 0 and frame_idx = least)").select("episode", "frame_idx", "pinch")
+    return rows.withColumn("minimum", F.coalesce(F.col("seg").isNotNull() & (F.col("dip") | ((F.col("dips") == 0) & (F.col("frame_idx") == F.col("least")))), F.lit(False))).drop("seg", "a", "z", "dip", "dips", "least")
 
 
 def with_neighbors(points: DataFrame, totals: DataFrame) -> DataFrame:
@@ -67,19 +73,15 @@ def below_percentile(detections: DataFrame, share: float = 0.15) -> DataFrame:
 
 
 def cue_lists(frames: DataFrame, n: int = 4) -> DataFrame:
-    """episode, num_frames, speed_list (n slowest, slowest first), pinch_list (minima and neighbours, in order), ranked (all usable frames by speed), ranked_speeds (theirs)."""
-    totals = frames.groupBy("episode").agg(F.max("num_frames").alias("num_frames"))
-
-    def listed(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col("frame_idx").alias("f")))), lambda x: x["f"]).alias(name))
-
-    order = F.array_sort(F.collect_list(F.struct("speed", F.col("frame_idx").alias("f"))))
-    ranked = frames.where(usable()).groupBy("episode").agg(order.alias("o")).select("episode", F.col("o.f").alias("ranked"), F.col("o.speed").alias("ranked_speeds"))
-    near = listed(with_neighbors(minima(frames), totals), "frame_idx", "pinch_list")
-    none = E("cast(array() as array<int>)")
-    out = totals.join(ranked, "episode", "left").join(near, "episode", "left")
-    speeds = F.coalesce("ranked_speeds", E("cast(array() as array<double>)")).alias("ranked_speeds")
-    return out.select("episode", "num_frames", F.coalesce("ranked", none).alias("ranked"), speeds, F.coalesce("pinch_list", none).alias("pinch_list")).withColumn("speed_list", F.slice("ranked", 1, n))
+    """episode, num_frames, speed_list (n slowest, slowest first), pinch_list (minima and neighbours, in order), ranked (all usable frames by speed), ranked_speeds (theirs).
+
+    One pass over frames with one exchange: windows and lists go by episode.
+    """
+    order = F.array_sort(F.collect_list(F.when(usable(), F.struct("speed", F.col("frame_idx").alias("f")))))
+    rows = marked_minima(frames).groupBy("episode").agg(F.max("num_frames").alias("num_frames"), order.alias("o"), F.collect_list(F.when(F.col("minimum"), F.col("frame_idx"))).alias("minima"))
+    near = E("array_sort(array_distinct(filter(flatten(transform(minima, m -> array(m - 1, m, m + 1))), f -> f >= 0 and f < num_frames)))")
+    out = rows.select("episode", "num_frames", F.col("o.f").alias("ranked"), F.col("o.speed").alias("ranked_speeds"), near.alias("pinch_list"))
+    return out.withColumn("speed_list", F.slice("ranked", 1, n))
 
 
 def mode_candidates(cues: DataFrame, n: int = 4) -> DataFrame:

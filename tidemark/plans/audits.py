@@ -81,7 +81,7 @@ def _image_pairs(s, d):
 
 
 def _loop(s, d):
-    return L.closed_loop(S._grid(s, d), T.frames(s, d), T.truths(s, d)).select("episode", "mode", "task", "trial", "frame_idx", "stage", "final")
+    return L.closed_loop(S._grid(s, d), T.truths(s, d)).select("episode", "mode", "task", "trial", "frame_idx", "stage", "final")
 
 
 _LOOP = f"""WITH {S._GRID}, {TRUTHS}, a AS (SELECT g.episode, mode, task, g.num_frames AS n, start, t.trial::INT AS trial, ('0x' || substr(sha256(g.episode || '|' || task || '|' || t.trial), 1, 8))::BIGINT AS seed FROM grid g JOIN truths USING (episode), range(3) t(trial)),

@@ -36,20 +36,22 @@ def dry_run(grids: DataFrame, truths: DataFrame, trials: int = 3) -> DataFrame:
     return rows.withColumn("prediction", F.col("start") + F.col("cell") - 1).withColumn("error", F.abs(F.col("prediction") - F.col("gt")))
 
 
-def closed_loop(grids: DataFrame, frames: DataFrame, truths: DataFrame) -> DataFrame:
+def closed_loop(grids: DataFrame, truths: DataFrame) -> DataFrame:
     """One round of feedback. The state source answers yes where the seed is even; a late frame (within 5 of the end) passes anyway.
 
     A rejected state resamples after the frame, a rejected speed among slower frames, a frame without a speed among all
-    others; pinch mode has no speed gate. The same cell then names a frame of the new window.
+    others; pinch mode has no speed gate. The same cell then names a frame of the new window. Speeds and the gate's cut
+    come from the cue lists of grids, so no frame is read again.
     """
-    lists = grids.select("episode", "mode", "ranked", "ranked_speeds", "speed_list", "pinch_list")
-    first = dry_run(grids.select("episode", "mode", "num_frames", "start"), truths)
-    rows = C.speed_gate(frames.where(C.usable()), first.withColumnRenamed("prediction", "frame_idx"))
+    lists = ("ranked", "ranked_speeds", "speed_list", "pinch_list")
+    rows = dry_run(grids.select("episode", "mode", "num_frames", "start", *lists), truths).withColumnRenamed("prediction", "frame_idx")
+    rows = rows.withColumn("speed", E("element_at(ranked_speeds, nullif(cast(array_position(ranked, frame_idx) as int), 0))"))
+    rows = rows.withColumn("accepted", E("coalesce(speed <= ranked_speeds[greatest(1, cast(floor(0.3D * size(ranked_speeds)) as int)) - 1], false)"))
     rows = rows.withColumn("state", F.coalesce((F.col("seed") % 2 == 0) | (F.col("frame_idx") > F.col("num_frames") - 5), F.lit(False)))
     gated = F.col("mode") != "pinch"
     stage = F.when(~F.col("state"), "visual_feedback").when(gated & F.col("speed").isNull(), "missing_hand_speed").when(gated & ~F.col("accepted"), "speed_feedback").otherwise("accepted")
     rows = rows.withColumn("stage", stage).withColumn("flag", E("case stage when 'visual_feedback' then 'feedback' when 'speed_feedback' then 'speed' else 'fault' end"))
-    again = C.mode_candidates_after(rows.join(lists, ["episode", "mode"]).withColumn("ref", F.col("frame_idx")).withColumn("ref_speed", F.col("speed")))
+    again = C.mode_candidates_after(rows.withColumn("ref", F.col("frame_idx")).withColumn("ref_speed", F.col("speed")))
     after = C.consecutive_grid(again.withColumn("least", E("if(flag = 'feedback', ref, -1)")).drop("start", "center"), min_index="least")
     return after.withColumn("final", F.when(F.col("stage") == "accepted", F.col("frame_idx")).otherwise(F.col("start") + F.col("cell") - 1))
 
