@@ -194,8 +194,12 @@ def test_smoothing_spline():
         k[i, i] = (h[i] + h[i + 1]) / 3
         if i:
             k[i, i - 1] = k[i - 1, i] = h[i] / 6
-    line = N.banded_solve([np.diag(m := k + 0.3 * q.T @ q).copy(), np.append(np.diag(m, 1), 0), np.append(np.diag(m, 2), [0, 0])], q.T @ y)
+    m = k + 0.3 * q.T @ q
+    line = N.banded_solve([d[:, None] for d in (np.diag(m), np.append(np.diag(m, 1), 0), np.append(np.diag(m, 2), [0, 0]))], q.T @ y)[:, 0]
     assert np.allclose(line, np.linalg.solve(m, q.T @ y))
+    grid = np.linspace(x[0], x[-1], 200)
+    few, many = N.smoothing_spline(x, y, grid, 0.5), N.smoothing_spline(x, y, grid, 0.5, dense=0)  # both ways to the penalty
+    assert np.allclose(few, many, atol=1e-4)
 
 
 def test_registration(spark):

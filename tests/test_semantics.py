@@ -130,6 +130,28 @@ def test_kernels():
     assert N.local_minima(np.arange(3), np.ones(3)) == []
 
 
+def test_local_minima_of_known_curves():
+    """Valleys of a wave, each kind: where they lie, slowest first, and what it leaves out."""
+    f = np.arange(80)
+    wave = 5 + 3 * np.cos(2 * np.pi * f / 20) + f / 100  # valleys at 10, 30, 50, 70, each a little higher
+    got = N.local_minima(f, wave, "short")
+    assert [round(x / 20 - 0.5) for x, _ in got] == [0, 1, 2, 3] and all(abs(x % 20 - 10) <= 1 and v == wave[x] for x, v in got)
+    assert [x for x, _ in N.local_minima(f + 5, wave, "short")] == [x + 5 for x, _ in got]
+    spoiled = wave.copy()
+    spoiled[[5, 25, 45]] = 31, np.nan, 0  # too fast, unknown, unknown: left out for clips
+    assert all(abs(x % 20 - 10) <= 2 for x, _ in N.local_minima(f, spoiled, "short")) and len(N.local_minima(f, spoiled, "short")) == 4
+    g = np.arange(280)
+    long = 5 + 3 * np.cos(2 * np.pi * g / 70) + 0.05 * np.cos(2 * np.pi * g / 7)  # valleys at 35, 105, 175, 245 under a ripple
+    for kind in ("long", "long_vda"):
+        found = sorted(x for x, _ in N.local_minima(g, long, kind))
+        assert len(found) == 4 and all(abs(x - v) <= 4 for x, v in zip(found, (35, 105, 175, 245), strict=True)), (kind, found)
+    outlier = long.copy()
+    outlier[140] = 900.0
+    found = sorted(x for x, _ in N.local_minima(g, outlier, "long_vda"))
+    assert len(found) == 4 and all(abs(x - v) <= 4 for x, v in zip(found, (35, 105, 175, 245), strict=True))
+    assert sorted(x for x, _ in N.local_minima(g, outlier, "long")) != found  # it is the quartiles that cut it
+
+
 def test_store_and_readers(spark, tmp_path):
     store = ResultStore(spark, f"file://{tmp_path}/store", "h")
     rows = spark.createDataFrame([("a", "success"), ("b", "failed"), ("b", "failed")], "key string, status string")

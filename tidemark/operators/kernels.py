@@ -28,14 +28,17 @@ def savitzky_golay(values: np.ndarray, window: int, order: int) -> np.ndarray:
 
 
 def banded_solve(diagonals: list[np.ndarray], right: np.ndarray) -> np.ndarray:
-    """Solves a symmetric positive definite system of the main diagonal and the ones above it, in time by its length."""
+    """Solves symmetric positive definite systems of the main diagonal and the ones above it, in time by their length.
+
+    Diagonals are length x systems; all systems go through one sweep together.
+    """
     n, w = len(right), len(diagonals)
-    low = [np.zeros(n) for _ in range(w)]  # rows of L D L': low[k][i] is L[i + k, i], low[0] is D
+    low = [np.zeros(diagonals[0].shape) for _ in range(w)]  # rows of L D L': low[k][i] is L[i + k, i], low[0] is D
     for i in range(n):
         low[0][i] = diagonals[0][i] - sum(low[k][i - k] ** 2 * low[0][i - k] for k in range(1, min(w, i + 1)))
         for k in range(1, min(w, n - i)):
             low[k][i] = (diagonals[k][i] - sum(low[m][i - m] * low[m + k][i - m] * low[0][i - m] for m in range(1, min(w - k, i + 1)))) / low[0][i]
-    x = np.array(right, float)
+    x = np.repeat(np.asarray(right, float)[:, None], diagonals[0].shape[1], axis=1)
     for i in range(n):
         x[i] -= sum(low[k][i - k] * x[i - k] for k in range(1, min(w, i + 1)))
     x /= low[0]
@@ -44,10 +47,11 @@ def banded_solve(diagonals: list[np.ndarray], right: np.ndarray) -> np.ndarray:
     return x
 
 
-def smoothing_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, residual: float = 0.0) -> np.ndarray:
+def smoothing_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, residual: float = 0.0, dense: int = 400) -> np.ndarray:
     """Natural cubic spline of least curvature whose squared residuals sum to `residual` at most; with 0 it goes through (x, y).
 
-    The penalty is found by bisection; each step is a banded system, so time and memory follow the number of points.
+    The penalty is found by refining a grid. Up to `dense` points one eigendecomposition gives the residuals of all
+    penalties; beyond, each step is 64 penalties in one sweep of a banded system, so time and memory follow the points.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
@@ -60,23 +64,39 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, residual: flo
     r = [(h[:-1] + h[1:]) / 3, np.append(h[1:-1] / 6, 0.0), np.zeros(n - 2)]
     q = [a**2 + (a + c) ** 2 + c**2, np.append(-(a[:-1] + c[:-1]) * a[1:] - c[:-1] * (a[1:] + c[1:]), 0.0), np.append(c[:-2] * a[2:], [0.0, 0.0])[: n - 2]]
 
-    def fit(penalty: float) -> tuple[np.ndarray, np.ndarray]:
-        bend = banded_solve([u + penalty * v for u, v in zip(r, q, strict=True)], second)
-        off = np.zeros(n)
-        off[:-2] += a * bend
-        off[1:-1] -= (a + c) * bend
-        off[2:] += c * bend
-        return y - penalty * off, bend
+    def fit(penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """points x penalties: what leaves the points, and the second derivatives inside."""
+        bend = banded_solve([u[:, None] + v[:, None] * penalties for u, v in zip(r, q, strict=True)], second)
+        off = np.zeros((n, len(penalties)))
+        off[:-2] += a[:, None] * bend
+        off[1:-1] -= (a + c)[:, None] * bend
+        off[2:] += c[:, None] * bend
+        return penalties * off, bend
+
+    def residuals(penalties: np.ndarray) -> np.ndarray:
+        return (fit(penalties)[0] ** 2).sum(axis=0)
+
+    if residual > 0 and n <= dense:
+        full = lambda d: np.diag(d[0]) + sum(np.diag(v[: len(v) - k], k) + np.diag(v[: len(v) - k], -k) for k, v in enumerate(d[1:], 1) if len(v) > k)
+        inverse = np.linalg.inv(np.linalg.cholesky(full(r)))
+        stretch, axes = np.linalg.eigh(inverse @ full(q) @ inverse.T)
+        weight = np.maximum(stretch, 0) * (axes.T @ (inverse @ second)) ** 2
+
+        def residuals(penalties: np.ndarray) -> np.ndarray:
+            return penalties**2 * (weight[:, None] / (1 + stretch[:, None] * penalties) ** 2).sum(axis=0)
 
-    f, bend = fit(0.0)
+    best = 0.0
     if residual > 0:
-        low, high = 0.0, 1.0
-        while ((fit(high)[0] - y) ** 2).sum() < residual and high < 1e12:
-            low, high = high, high * 10
-        for _ in range(40):
-            mid = (low + high) / 2
-            low, high = (mid, high) if ((fit(mid)[0] - y) ** 2).sum() <= residual else (low, mid)
-        f, bend = fit(low)
+        tried = np.append(0.0, np.logspace(-12, 12, 63))
+        for _ in range(4):  # residuals grow with the penalty
+            fine = np.flatnonzero(residuals(tried) <= residual)
+            k = int(fine[-1]) if len(fine) else 0
+            best = tried[k]
+            if k + 1 == len(tried):
+                break
+            tried = np.linspace(best, tried[k + 1], 64)
+    off, bend = (m[:, 0] for m in fit(np.array([best])))
+    f = y - off
     m = np.concatenate([[0.0], bend, [0.0]])
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     u, v = (x[i + 1] - at) / h[i], (at - x[i]) / h[i]
