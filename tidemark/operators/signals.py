@@ -136,8 +136,8 @@ def invert_depth(tensors: DataFrame) -> DataFrame:
 def invalid_tensor(tensors: DataFrame, least: float = 1e-4) -> DataFrame:
     """Whether a tensor has no finite value, or a population deviation under `least`."""
     finite = F.filter("inv", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    out = tensors.withColumn("f", finite).withColumn("m", F.aggregate("f", F.lit(0.0), lambda a, x: a + x) / F.size("f"))
-    spread = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / F.size("f"))
+    out = tensors.withColumn("f", finite).withColumn("m", F.aggregate("f", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("f"), F.lit(0)))
+    spread = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / F.nullif(F.size("f"), F.lit(0)))
     return out.withColumn("invalid", F.when(F.size("f") == 0, True).otherwise(spread < least)).drop("f", "m")
 
 
