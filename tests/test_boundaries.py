@@ -223,3 +223,36 @@ def test_paired_bootstrap(spark):
     df = spark.createDataFrame([(1, i, float(i + 1), float(i)) for i in range(5)] + [(1, 9, None, 1.0), (1, 10, float("nan"), 1.0)], "scope int, episode int, a double, b double")
     got = B.paired_bootstrap(df, "scope", "a", "b", ["episode"], 7, 200).first()
     assert (got.difference, got.low, got.high, got.n) == (1.0, 1.0, 1.0, 5)
+
+
+def test_store_lock(spark, tmp_path):
+    one, two = (O.ResultStore(spark, f"{tmp_path}/store", "h") for _ in range(2))
+    rows = spark.createDataFrame([("a", "success")], "key string, status string")
+    with one.writing(), pytest.raises(O.StoreBusy):
+        two.append(rows)
+    assert two.append(rows) == 1 and one.append(rows) == 0
+    (tmp_path / "store.lock").touch()  # of a writer that died
+    with pytest.raises(O.StoreBusy):
+        one.append(rows)
+    assert O.ResultStore(spark, f"{tmp_path}/store", "h", stale=0.0).append(rows) == 0
+    assert not (tmp_path / "store.lock").exists()
+
+
+def test_reports(spark, tmp_path):
+    """One file, fields in the order of the table, null as nothing in CSV and a dash in Markdown."""
+    rows = spark.createDataFrame([("contact", 2, 0.5, None), ("separation", 1, None, "x")], "task string, n int, share double, note string").orderBy("task")
+    O.write_report(rows, f"{tmp_path}/csv")
+    (csv,) = (tmp_path / "csv").glob("*.csv")
+    assert csv.read_text() == "task,n,share,note\ncontact,2,0.5,\nseparation,1,,x\n"
+    O.write_report(rows, f"{tmp_path}/json", "json")
+    (lines,) = (tmp_path / "json").glob("*.json")
+    assert [json.loads(x) for x in lines.read_text().splitlines()] == [{"task": "contact", "n": 2, "share": 0.5}, {"task": "separation", "n": 1, "note": "x"}]
+    assert O.markdown(rows) == "| task | n | share | note |\n|---|---|---|---|\n| contact | 2 | 0.5 | - |\n| separation | 1 | - | x |\n"
+
+
+def test_regions_and_depths(spark):
+    df = spark.createDataFrame([(f, n) for n in (1, 4, 5) for f in range(n)], "f int, n int")
+    got = [(r.f, r.n, r.s, r.e) for r in df.select("f", "n", C.in_anchor_region(F.col("f"), F.col("n"), "start").alias("s"), C.in_anchor_region(F.col("f"), F.col("n"), "end").alias("e")).collect()]
+    assert all(s == (f < n // 2) and e == (f >= n // 2) for f, n, s, e in got)
+    depths = spark.createDataFrame([(0.0,), (5.0,), (5.1,), (-1.0,), (float("nan"),), (None,), (0.1,)], "z double")
+    assert [r.z for r in depths.where(S.plausible_depth()).collect()] == [5.0, 0.1]

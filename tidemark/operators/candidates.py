@@ -165,11 +165,17 @@ def grid_recall(windows: DataFrame, truths: DataFrame, cells: int = CELLS) -> Da
     return windows.join(truths.select("episode", "task", "gt"), "episode").withColumn("distance", far).withColumn("recall", F.col("distance") == 0)
 
 
+def in_anchor_region(frame: Column, total: Column, anchor: str) -> Column:
+    """Whether a frame lies in the anchor's half of an episode: the first for start, else the second; the middle frame of an odd number is in the second."""
+    early = frame < F.floor(total / 2)
+    return early if anchor == "start" else ~early
+
+
 def anchor_filter(lists: DataFrame, anchor: str, size: int = 9) -> DataFrame:
     """Candidates in the anchor's half, topped up to `size` from the pool's; in order."""
-    half = "f < num_frames div 2" if anchor == "start" else "f >= num_frames div 2"
-    own = E(f"filter(candidates, f -> {half})")
-    more = E(f"slice(filter(array_except(pool, candidates), f -> {half}), 1, greatest(0, {size} - size(filter(candidates, f -> {half}))))")
+    half = lambda f: in_anchor_region(f, F.col("num_frames"), anchor)
+    own = F.filter("candidates", half)
+    more = F.slice(F.filter(F.array_except("pool", "candidates"), half), F.lit(1), F.greatest(F.lit(0), F.lit(size) - F.size(own)))
     return lists.withColumn("kept", F.array_sort(F.concat(own, more)))
 
 

@@ -103,6 +103,11 @@ def unproject(points: DataFrame, width: float, height: float) -> DataFrame:
     return points.withColumn("cx", (F.col("u") - width / 2) * F.col("z") / f).withColumn("cy", (F.col("v") - height / 2) * F.col("z") / f)
 
 
+def plausible_depth(z: str = "z", most: float = 5.0) -> Column:
+    """Whether a depth in metres is positive and at most `most`; null and NaN are not."""
+    return F.coalesce((F.col(z) > 0) & (F.col(z) <= most), F.lit(False))
+
+
 def rigid_transform(points: DataFrame) -> DataFrame:
     """T (16 numbers, row by row) applied to p (3 numbers); the first frame passes through."""
 

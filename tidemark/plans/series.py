@@ -149,7 +149,7 @@ QUERIES = {
  SELECT video, round(d, 6) AS pinch, hand FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY d, hand) AS rn FROM m) WHERE rn = 1"""),
     "detection_status": (lambda s, d: S.detection_status(_frames(s, d).selectExpr("episode", "frame_idx", "frame_idx % 7 > 0 as readable", "frame_idx % 3 as hands", "frame_idx % 2 as valid")).select(*KEYS, "status"),
         f"WITH {FRAMES} SELECT episode, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 'frame_read_failed' WHEN frame_idx % 3 = 0 THEN 'no_hand_detected' WHEN frame_idx % 2 = 0 THEN 'no_valid_hand_keypoints' ELSE 'detected' END AS status FROM frames"),
-    "unproject": (lambda s, d: S.unproject(_frames(s, d).selectExpr("episode", "frame_idx", "x as u", "y as v", "1 + pinch / 100 as z"), 1000, 600).where("z > 0 and z <= 5").select(*KEYS, *(F.round(c, 9).alias(c) for c in ("cx", "cy", "z"))),
+    "unproject": (lambda s, d: S.unproject(_frames(s, d).selectExpr("episode", "frame_idx", "x as u", "y as v", "1 + pinch / 100 as z"), 1000, 600).where(S.plausible_depth()).select(*KEYS, *(F.round(c, 9).alias(c) for c in ("cx", "cy", "z"))),
         f"WITH {FRAMES}, z AS (SELECT *, 1 + pinch / 100 AS z FROM frames) SELECT episode, frame_idx, round((x - 500) * z / 1000, 9) AS cx, round((y - 300) * z / 1000, 9) AS cy, round(z, 9) AS z FROM z WHERE z > 0 AND z <= 5"),
     "rigid_transform": (lambda s, d: S.rigid_transform(_frames(s, d).selectExpr("episode", "frame_idx", "array(x, y, speed) as p", "array(0.8D, -0.6D, 0D, 1D, 0.6D, 0.8D, 0D, 2D, 0D, 0D, 1D, cast(frame_idx as double), 0D, 0D, 0D, 1D) as T")).select(*KEYS, *(F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(3))),
         f"""WITH {FRAMES} SELECT episode, frame_idx, round(CASE WHEN frame_idx = 0 THEN x ELSE 0.8 * x - 0.6 * y + 1 END, 6) AS q0, round(CASE WHEN frame_idx = 0 THEN y ELSE 0.6 * x + 0.8 * y + 2 END, 6) AS q1, round(CASE WHEN frame_idx = 0 THEN speed ELSE speed + frame_idx END, 6) AS q2 FROM frames"""),

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import time
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.sources.lines import PLACE, json_rows, place, read_lines, tails
 
+# What a result may end as.
 STATUSES = ("success", "terminal_failure", "failed", "error")
 
 
@@ -60,11 +62,34 @@ def _json(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substr(text, F.lit(6), F.length(text) - 6))
 
 
-class ResultStore:
-    """Append-only Parquet store with unique keys and one config hash; one writer at a time."""
+class StoreBusy(RuntimeError):
+    """Another writer holds the store."""
+
 
-    def __init__(self, spark: SparkSession, path: str, config_hash: str):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config_hash
+class ResultStore:
+    """Append-only Parquet store with unique keys and one config hash.
+
+    A writer holds a lock file beside the store while it appends; a second one gets StoreBusy. A lock that is older than
+    `stale` seconds was left by a writer that died, and is taken over.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, config_hash: str, stale: float = 3600.0):
+        self.spark, self.path, self.config, self.stale = spark, path.rstrip("/"), config_hash, stale
+
+    @contextmanager
+    def writing(self):
+        lock = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}.lock")
+        files = lock.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.createNewFile(lock):
+            if time.time() - files.getFileStatus(lock).getModificationTime() / 1000 < self.stale:
+                raise StoreBusy(self.path)
+            files.delete(lock, False)
+            if not files.createNewFile(lock):
+                raise StoreBusy(self.path)
+        try:
+            yield
+        finally:
+            files.delete(lock, False)
 
     def exists(self) -> bool:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -79,6 +104,10 @@ class ResultStore:
         Rows with an unknown status, or a store of another configuration, are errors. The store is read once, its keys
         alone; the count comes from the write.
         """
+        with self.writing():
+            return self._append(rows)
+
+    def _append(self, rows: DataFrame) -> int:
         if not rows.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).isEmpty():
             raise ValueError("unknown status")
         seen = Observation()
