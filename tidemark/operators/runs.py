@@ -18,7 +18,7 @@ RUN = "run_"
 
 def in_runs(df: DataFrame, by: list[str], order: list[str], rows: int = 200_000) -> DataFrame:
     """df, stored, with the number of its run; about `rows` rows a run, in order of (by, order). Orders within a series should be unique."""
-    df = df if hasattr(df, "stored") else stored(df, "series")  # the range partitioning reads it more than once
+    df = df if "stored" in df.__dict__ else stored(df, "series")  # the range partitioning reads it more than once
     n = df.count()
     keys = [F.col(c) for c in (*by, *order)]
     placed = df.repartitionByRange(max(1, -(-n // rows)), *keys).withColumn(RUN, F.spark_partition_id())
