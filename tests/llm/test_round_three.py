@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
 from tidemark.llm import kernels as K
-from tidemark.llm import decontamination, jaccard_join, merkle, pii, spelling, substring_dedup, suffix_dedup
+from tidemark.llm import decontamination, embeddings, jaccard_join, merkle, pii, spelling, substring_dedup, suffix_dedup
 
 
 def H(text: str) -> str:
@@ -304,3 +304,17 @@ def test_decontamination_recall(spark):
     total = Counter((kind, regular, sizes[i % len(sizes)] < 45) for i, kind, regular in want.values())
     share = {k: hits[k] / n for k, n in total.items()}
     assert all(s == 1 if short else s >= 0.95 for (_, _, short), s in share.items()), share
+
+
+def test_embeddings_of_any_scale(spark):
+    """Doubles whose squares overflow or vanish link by their cosine as others do; rows without a usable vector stay."""
+    r = np.random.default_rng(7)
+    base = r.normal(0, 1, (6, 8))
+    rows = [(10 * i + k, [float(x) for x in v * s]) for i, v in enumerate(base) for k, s in enumerate((1.0, 1e200, 1e-200, 5e-310 / np.abs(v).min()))]
+    rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0] * 3)]
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows if i < 900}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    links = {i: {j for j in unit if j != i and cosine(unit[i], unit[j]) >= 0.95} for i in unit}
+    assert all(got[i][0] == len(links[i]) >= 3 for i in unit)
+    assert all(got[i] == (0, i, True) for i in range(900, 904))

@@ -90,13 +90,19 @@ def needed_margin(x: np.ndarray, coarse: np.ndarray, threshold: float, recall: f
     return float(np.clip(np.quantile(need, recall, method="higher"), 0.0, 1.0))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two takes them near 1 first, exactly, so that squares neither overflow nor vanish."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def fit_index(vectors: DataFrame, rows: int, sample: int, per_list: int, subspaces: int, threshold: float, recall: float, seed: int = 11) -> Index | None:
     """Index on the `sample` vectors first by hash (each of `dim` floats on the driver). Lists follow the rows, up to one for 5 vectors of the sample."""
     taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
     if not taken:
         return None
     x = np.array([r["v"] for r in taken], float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = units(x)
     apart = len(x) // 5 if len(x) >= 50 else 0  # vectors that the centroids have not seen set the margin
     coarse = lloyd(x[apart:], max(1, min(rows // per_list, sample // 5)), 8, seed)
     residual = x - coarse[nearest(x, coarse, 1)[:, 0]]
@@ -157,7 +163,7 @@ def _route(index: Index, reach: float, group: np.ndarray, blocks: np.ndarray):
                 continue
             v = b.column("v")
             x = np.asarray(v.flatten(), float).reshape(b.num_rows, -1)
-            x = x / np.linalg.norm(x, axis=1)[:, None]
+            x = units(x)
             home_cell = nearest(x, index.coarse, 1)[:, 0]
             codes, error = index.encode(x - index.coarse[home_cell])
             ids = b.column("id").to_numpy()
@@ -246,7 +252,7 @@ def _search(index: Index, threshold: float):
             cell, blk, kind = (b.column(c).to_numpy() for c in ("cell", "block", "search"))
             ids, n, error = (b.column(c).to_numpy() for c in ("id", "n", "error"))
             x = np.asarray(b.column("v").flatten(), float).reshape(b.num_rows, -1)
-            x = x / np.linalg.norm(x, axis=1)[:, None]
+            x = units(x)
             cut = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (blk[1:] != blk[:-1]) | (kind[1:] != kind[:-1])))
             for s, e in zip(cut, np.append(cut[1:], len(cell)), strict=True):
                 if now != (cell[s], blk[s]):
@@ -303,10 +309,11 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = materialize(routed.mapInArrow(_search(index, threshold), FOUND), "links")
     edges = components(found.where("a <> b").select("a", "b"))
     direct = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
-    out = rows.join(classes.withColumnRenamed("n", "copies"), "v", "left")
+    out = rows.where("v is not null").join(classes.withColumnRenamed("n", "copies"), "v")
     out = out.join(direct, F.col("id") == F.col("a"), "left").join(edges, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("component", "id", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.coalesce("component", "id")
+    out = out.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.unionAll(unlinked(rows.where("v is null")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
