@@ -41,9 +41,23 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str, parts: int) -> DataFrame:
+    """As materialize, in as many buckets by key as a shuffle has partitions: joins by key read it as it lies, however often. df should come from a shuffle by key, so a task has few buckets."""
+    spark = df.sparkSession
+    tidy(spark)
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    out = spark.table(name)
+    out.stored, out.table_name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing reads any more."""
+    """Deletes tables of materialize() and bucketed() that nothing reads any more."""
     for t in tables:
+        if "table_name" in t.__dict__:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.table_name}")
         path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.common import arrow_rows, discard, joined, materialize, partitions, table
+from tidemark.llm.common import arrow_rows, bucketed, discard, joined, materialize, partitions, table
 from tidemark.llm.seeds import LAST, keyed, whole_keys
 
 PARITY = 1024  # bits
@@ -205,12 +205,17 @@ def _compare(k: int):
     return run
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, share: int = 256) -> DataFrame:
-    """pairs(fp, pivot) with both, either, and linked. A pivot's partners are dealt out in parts of about `share`, each with the pivot's text."""
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, owners: DataFrame | None = None, share: int = 256) -> DataFrame:
+    """pairs(fp, pivot) with both, either, and linked. A pivot's partners are dealt out in parts of about `share`, each with the pivot's text.
+
+    texts(fp, text), or texts(rk, text) with owners(fp, rk): in buckets by rk they stay where they lie.
+    """
     split = pairs.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {share}) as int)").alias("of"))
     own = split.select(F.col("pivot").alias("fp"), "pivot", F.explode(F.expr("sequence(0, of - 1)")).alias("deal"))
     others = pairs.join(split, "pivot").select("fp", "pivot", F.expr("cast(pmod(xxhash64(fp), of) as int)").alias("deal"))
-    sent = texts.join(others.unionAll(own).hint("merge"), "fp").select("fp", "pivot", "deal", "text")
+    asked = others.unionAll(own)
+    asked, key = (asked, "fp") if owners is None else (asked.join(owners, "fp"), "rk")
+    sent = texts.join(asked.hint("merge"), key).select("fp", "pivot", "deal", "text")
     sent = sent.repartition(parts, "pivot", "deal").sortWithinPartitions("pivot", "deal", F.col("fp") != F.col("pivot"))
     return sent.mapInArrow(_compare(k), "fp long, pivot long, both long, either long").withColumn("linked", F.col("both") * 100 >= F.col("either") * percent)
 
@@ -289,11 +294,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     discard(full)
     # one row's text for each set that shares a region
     some = signed.where("n > 0")
-    owners = some.groupBy("fp").agg(F.min("rk").alias("rk")).join(members, "fp")
-    texts = materialize(named.select("rk", "text").dropDuplicates(["rk"]).join(owners.hint("merge"), "rk").select("fp", "text"), "texts")
+    owners = materialize(some.groupBy("fp").agg(F.min("rk").alias("rk")).join(members, "fp"), "owners")
+    texts = bucketed(named.select("rk", "text").dropDuplicates(["rk"]).join(owners.select("rk").hint("merge"), "rk"), "texts", "rk", parts)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return materialize(_compared(texts, pairs, k, percent, parts), "compared")
+        return materialize(_compared(texts, pairs, k, percent, parts, owners), "compared")
 
     shape = F.struct("n", "parity")
     first = regions.where("fp <> pivot").select("fp", "pivot").distinct()
@@ -332,7 +337,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         before, left = left, materialize(now.join(lists.where("not pivot").select("fp"), "fp", "left_semi").select("rid", "fp", "far"), "left")
         discard(before, now, lists, pairs, spent)
         pivots = pivots if turn == 1 else 4 * pivots
-    discard(texts, shapes, left, now, found)
+    discard(texts, owners, shapes, left, now, found)
     node = some.select("fp", "doc").join(label, F.col("fp") == F.col("node"), "left").select("doc", "fp", F.coalesce("component", "fp").alias("root"))
     lowest = node.groupBy("root").agg(F.min("doc").alias("low"))
     root = node.select("fp", "root").distinct().join(lowest, "root").select("fp", "low")
