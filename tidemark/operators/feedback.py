@@ -24,6 +24,12 @@ def exponential_key(speed: str, *parts: Column) -> Column:
     return -F.log((derived_seed(*parts) + 0.5) / float(1 << 32)) * (known + 1e-8)
 
 
+def weighted_draw(rows: DataFrame, by: str, speed: str, seed: int) -> DataFrame:
+    """by and the frame_idx of one row of each group, drawn with probability by inverse speed."""
+    key = F.struct(exponential_key(speed, F.lit(seed), F.col(by), F.col("frame_idx")).alias("key"), "frame_idx")
+    return rows.groupBy(by).agg(F.min(key)["frame_idx"].alias("frame_idx"))
+
+
 def said(answers: DataFrame, stage: str, round_: int, name: str) -> DataFrame:
     """pick and its text at a stage and round; of repeated answers the smallest text."""
     return answers.where((F.col("stage") == stage) & (F.col("round") == round_)).groupBy("pick").agg(F.min("text").alias(name))

@@ -342,9 +342,3 @@ def spans_by_episode(frames: DataFrame) -> DataFrame:
         return pd.DataFrame({"episode": [pdf["episode"].iloc[0]], "contact": [a], "separation": [z]})
 
     return frames.select("episode", "frame_idx", "speed").groupBy("episode").applyInPandas(one, "episode long, contact int, separation int")
-
-
-def weighted_draw(rows: DataFrame, by: str, speed: str, seed: int) -> DataFrame:
-    """One row of each group, drawn with probability by inverse speed: the least exponential key of a hashed uniform number."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), by, "frame_idx"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return rows.withColumn("key", -F.log(u) * (F.col(speed) + 1e-8)).groupBy(by).agg(F.min_by("frame_idx", F.struct("key", "frame_idx")).alias("frame_idx"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit as A
 from tidemark.operators import candidates as C
+from tidemark.operators import feedback as K
 from tidemark.operators import kernels as N
 from tidemark.operators import relations as R
 from tidemark.operators import resampling as B
@@ -13,7 +14,7 @@ from tidemark.operators import statistics as P
 from tidemark.plans import localize as L
 from tidemark.plans import reports as Q
 from tidemark.plans import series as S
-from tidemark.plans.ctes import EPISODES, FILES, FRAMES, TRIALS, TRUTHS
+from tidemark.plans.ctes import EPISODES, FILES, FRAMES, TRIALS, TRUTHS, drawn
 from tidemark.sources import tables as T
 from tidemark.sources.stages import stored
 
@@ -164,6 +165,6 @@ QUERIES = {
     "minima_short": (lambda s, d: N.minima_by_episode(T.frames(s, d), "short"), None),
     "minima_long": (lambda s, d: N.minima_by_episode(T.frames(s, d), "long"), None),
     "minima_long_vda": (lambda s, d: N.minima_by_episode(T.frames(s, d), "long_vda"), None),
-    "inv_speed_draw": (lambda s, d: N.weighted_draw(T.frames(s, d).where(C.usable()), "episode", "speed", 7), None),
+    "inv_speed_draw": (lambda s, d: K.weighted_draw(T.frames(s, d).where(C.usable()), "episode", "speed", 7), f"WITH {FRAMES} SELECT episode, {drawn('episode', 'speed', 7)} AS frame_idx FROM frames WHERE speed <> 0 GROUP BY episode"),
     "content_hash": (lambda s, d: T.truths(s, d).select("episode", "task", F.sha2(F.to_json(F.struct(F.col("episode"), F.col("gt"), F.col("num_frames"), F.col("task"))), 256).alias("digest")), f"WITH {TRUTHS} SELECT episode, task, sha256('{{\"episode\":' || episode || ',\"gt\":' || gt || ',\"num_frames\":' || num_frames || ',\"task\":\"' || task || '\"}}') AS digest FROM truths"),
 }

@@ -25,3 +25,18 @@ GRID_ROWS = """grid_rows AS (SELECT doc_id AS sample, CASE WHEN toxic = 0 THEN '
  FROM documents JOIN labels USING (doc_id))"""
 FILES = """files AS (SELECT page_id, url AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS folder, regexp_extract(url, '[.]([a-z0-9]+)$', 1) AS suffix,
  length(html) AS size, page_id % 10 > 0 AS readable FROM pages)"""
+
+
+def hashed(*parts: str) -> str:
+    """statistics.derived_seed of SQL expressions."""
+    return "('0x' || substr(sha256(concat_ws('|', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
+
+
+def draw_key(speed: str, *parts: str) -> str:
+    """feedback.exponential_key of SQL expressions."""
+    return f"-ln(({hashed(*parts)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) * ({speed} + 1e-8::DOUBLE)"
+
+
+def drawn(by: str, speed: str, seed: int) -> str:
+    """feedback.weighted_draw as an aggregate."""
+    return f"arg_min(frame_idx, {{'k': {draw_key(speed, str(seed), by, 'frame_idx')}, 'f': frame_idx}})"

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as X
 from tidemark.operators import audit as A
 from tidemark.operators import candidates as C
+from tidemark.operators import feedback as K
 from tidemark.operators import kernels as N
 from tidemark.operators import resampling as B
 from tidemark.operators import signals as S
 from tidemark.plans import reports as Q
 from tidemark.plans import series as V
 from tidemark.plans.audits import resamples_sql, rounded
-from tidemark.plans.ctes import EPISODES, FRAMES, GRID_ROWS, HANDS
+from tidemark.plans.ctes import EPISODES, FRAMES, GRID_ROWS, HANDS, drawn
 from tidemark.sources import datasets as D
 from tidemark.sources import store as O
 from tidemark.sources import tables as T
@@ -125,10 +126,13 @@ QUERIES = {
     "minima_by_type": (lambda s, d: N.minima_by_type(T.frames(s, d).withColumn("video_type", E("if(episode % 3 = 0, 'short', 'long')")).withColumn("use_depth", E("episode % 3 = 1"))), None),
     "minima_around": (lambda s, d: C.around_minima(T.frames(s, d).where(C.usable()), C.minima(T.frames(s, d))).select("episode", "minimum", "frame_idx", F.round("p", 9).alias("p")), f"""WITH {V._CUES}, u AS (SELECT episode, frame_idx, speed, row_number() OVER (PARTITION BY episode ORDER BY frame_idx) AS pos FROM frames WHERE speed <> 0),
  n AS (SELECT m.episode, m.frame_idx AS minimum, o.frame_idx, 1 / (o.speed + 1e-8::DOUBLE) AS w FROM minima m JOIN u USING (episode, frame_idx) JOIN u o ON o.episode = u.episode AND abs(o.pos - u.pos) <= 2) SELECT episode, minimum, frame_idx, round(w / sum(w) OVER (PARTITION BY episode, minimum), 9) AS p FROM n"""),
-    "minima_around_draw": (lambda s, d: N.weighted_draw(C.around_minima(T.frames(s, d).where(C.usable()), C.minima(T.frames(s, d))).withColumn("g", F.concat_ws("|", "episode", "minimum")), "g", "speed", 7), None),
+    "minima_around_draw": (lambda s, d: K.weighted_draw(C.around_minima(T.frames(s, d).where(C.usable()), C.minima(T.frames(s, d))).withColumn("g", F.concat_ws("|", "episode", "minimum")), "g", "speed", 7),
+        f"""WITH {V._CUES}, u AS (SELECT episode, frame_idx, speed, row_number() OVER (PARTITION BY episode ORDER BY frame_idx) AS pos FROM frames WHERE speed <> 0),
+ n AS (SELECT concat_ws('|', m.episode, m.frame_idx) AS g, o.frame_idx, o.speed FROM minima m JOIN u USING (episode, frame_idx) JOIN u o ON o.episode = u.episode AND abs(o.pos - u.pos) <= 2) SELECT g, {drawn('g', 'speed', 7)} AS frame_idx FROM n GROUP BY g"""),
     "speed_gate_by_length": (lambda s, d: C.speed_gate_by_length(T.frames(s, d), V._picks(s, d)).select(*KEYS, "accepted"), f"""WITH {FRAMES}, {V._PICKS}, r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY speed, frame_idx) AS rank FROM frames WHERE speed <> 0),
  c AS (SELECT episode, speed AS cut FROM r WHERE rank = greatest(1, floor(0.3::DOUBLE * num_frames))) SELECT p.episode, p.frame_idx, coalesce(f.speed <= cut AND f.speed <> 0, false) AS accepted FROM picks p JOIN frames f USING (episode, frame_idx) LEFT JOIN c ON c.episode = p.episode"""),
-    "feedback_draw": (lambda s, d: N.weighted_draw(C.feedback_candidates(V._picks(s, d), T.frames(s, d)).withColumn("speed", F.coalesce("speed", F.lit(9999.0))), "episode", "speed", 11), None),
+    "feedback_draw": (lambda s, d: K.weighted_draw(C.feedback_candidates(V._picks(s, d), T.frames(s, d)).withColumn("speed", F.coalesce("speed", F.lit(9999.0))), "episode", "speed", 11),
+        f"WITH {FRAMES}, {V._PICKS}, n AS (SELECT p.episode, f.frame_idx, f.speed FROM picks p JOIN frames f ON f.episode = p.episode AND abs(f.frame_idx - p.frame_idx) BETWEEN 1 AND 3) SELECT episode, {drawn('episode', 'speed', 11)} AS frame_idx FROM n GROUP BY episode"),
     "weighted_reward": (lambda s, d: Q._scored(s, d).selectExpr("sample", "reward as cell_reward", "if(parsed, 1D, 0D) as parse_reward", "if(sample % 4 = 0, null, 0.5D) as extra").select("sample", F.round(X.weighted_reward("cell_reward", "parse_reward", "extra", weights=(1.0, 0.25, 0.5)), 9).alias("reward")), f"WITH {Q.SCORED} SELECT sample, round(reward + CASE WHEN parsed THEN 0.25 ELSE 0 END + CASE WHEN sample % 4 = 0 THEN 0 ELSE 0.25 END, 9) AS reward FROM scored"),
     "paired_bootstrap": (lambda s, d: rounded(B.paired_bootstrap(_both(s, d), "task", "a", "b", ["episode"], 20260908, 100), "task"),
         f"WITH {Q.PAIRS}, pf AS (SELECT task, episode, difference FROM pe WHERE episode % 29 <> 0), {resamples_sql('pf', 'task', 'difference', ['episode'], 20260908, 100)}, m AS (SELECT task, avg(difference) AS difference, count(*) AS n FROM pf GROUP BY task) SELECT task, round(difference, 9) AS difference, n, round(low, 9) AS low, round(high, 9) AS high FROM m JOIN ends USING (task)"),

@@ -8,7 +8,7 @@ from tidemark.operators import candidates as C
 from tidemark.operators import feedback as B
 from tidemark.operators.statistics import derived_seed
 from tidemark.plans import series as S
-from tidemark.plans.ctes import FRAMES
+from tidemark.plans.ctes import FRAMES, draw_key, hashed
 from tidemark.sources import tables as T
 from tidemark.sources.stages import fresh
 from tidemark.streaming.waiting import run_when_whole, signal_files
@@ -17,15 +17,6 @@ E = F.expr
 ROUNDS, SEED = 3, 5
 
 
-def _hash(*parts: str) -> str:
-    """derived_seed in SQL."""
-    return "('0x' || substr(sha256(concat_ws('|', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
-
-
-def _key(speed: str, *parts: str) -> str:
-    return f"-ln(({_hash(*parts)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) * ({speed} + 1e-8::DOUBLE)"
-
-
 def _answers(picks, rounds: int = ROUNDS):
     """What a model said, by hashes: verify a third of the time `1`, select from -1 to 10 or no number; state and pick once a pick."""
     asked = picks.select("pick", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(r).alias("round")) for s in ("verify", "select", "state", "pick") for r in range(rounds)))).alias("q")).select("pick", "q.stage", "q.round")
@@ -41,11 +32,11 @@ _SPEEDS = "spd AS (SELECT episode, list(speed ORDER BY frame_idx) AS speeds FROM
 
 def _rounds(start: str) -> str:
     """r: all states of the picks of start(pick, episode, n, frame) under feedback."""
-    d = f"list_sort(list_transform(left_, lambda f: {{'k': {_key('speeds[f + 1]', str(SEED), 'pick', 'round', 'f')}, 'f': f}}))[1].f"
+    d = f"list_sort(list_transform(left_, lambda f: {{'k': {draw_key('speeds[f + 1]', str(SEED), 'pick', 'round', 'f')}, 'f': f}}))[1].f"
     left = "list_filter([(frame + d)::INT FOR d IN range(-3, 4)], lambda f: f >= 0 AND f < n AND NOT list_contains(t, f))"
     return f"""{_SPEEDS}, r AS (SELECT pick, n, speeds, frame, []::INT[] AS tried, 0 AS round, 'open' AS status FROM {start} JOIN spd USING (episode)
  UNION ALL SELECT pick, n, speeds, CASE WHEN yes OR len(left_) = 0 THEN frame WHEN coalesce(num, 0) IN (0, -1) THEN drawn ELSE {_WINDOW.format('drawn', 'num')} END, t, round + 1, CASE WHEN yes THEN 'accepted' WHEN len(left_) = 0 THEN 'failed' WHEN round + 1 = {ROUNDS} THEN 'accepted' ELSE 'open' END
- FROM (SELECT *, {_NUMBER.format('h')} AS num, {d} AS drawn FROM (SELECT *, {left} AS left_, {_hash('pick', "'select'", 'round')} AS h, v % 17 > 0 AND v % 3 = 0 AS yes FROM (SELECT *, list_append(tried, frame) AS t, {_hash('pick', "'verify'", 'round')} AS v FROM r WHERE status = 'open'))))"""
+ FROM (SELECT *, {_NUMBER.format('h')} AS num, {d} AS drawn FROM (SELECT *, {left} AS left_, {hashed('pick', "'select'", 'round')} AS h, v % 17 > 0 AND v % 3 = 0 AS yes FROM (SELECT *, list_append(tried, frame) AS t, {hashed('pick', "'verify'", 'round')} AS v FROM r WHERE status = 'open'))))"""
 
 
 def _feedback(s, d):
@@ -60,9 +51,9 @@ def _long(s, d):
 
 
 _LONG = f"""WITH RECURSIVE {S._CUES}, mi AS (SELECT m.episode, num_frames AS n, m.frame_idx AS minimum, m.pinch, concat_ws('|', m.episode, m.frame_idx) AS pick FROM minima m JOIN totals USING (episode)),
- nr AS (SELECT mi.*, f.frame_idx AS f, {_key('f.speed', str(SEED), "'key'", 'pick', 'f.frame_idx')} AS k FROM mi JOIN frames f ON f.episode = mi.episode AND f.frame_idx BETWEEN minimum - 2 AND minimum + 2),
+ nr AS (SELECT mi.*, f.frame_idx AS f, {draw_key('f.speed', str(SEED), "'key'", 'pick', 'f.frame_idx')} AS k FROM mi JOIN frames f ON f.episode = mi.episode AND f.frame_idx BETWEEN minimum - 2 AND minimum + 2),
  kf AS (SELECT episode, n, minimum, pinch, pick, arg_min(f, {{'k': k, 'f': f}}) AS kf FROM nr GROUP BY ALL),
- tn AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY {_key('pinch', str(SEED), "'turn'", 'pick')}, minimum) AS turn, {_hash('pick', "'state'", '0')} AS st, {_hash('pick', "'pick'", '0')} AS ph FROM kf),
+ tn AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY {draw_key('pinch', str(SEED), "'turn'", 'pick')}, minimum) AS turn, {hashed('pick', "'state'", '0')} AS st, {hashed('pick', "'pick'", '0')} AS ph FROM kf),
  q AS (SELECT *, ['Contact', 'Separation'][st % 3 + 1] AS event, {_NUMBER.format('ph')} AS num FROM tn WHERE st % 17 > 0 AND st % 3 < 2),
  start AS (SELECT episode, n, pick, turn, minimum, event, {_WINDOW.format('kf', 'num')} AS frame FROM q WHERE num <> -1), {_rounds('start')}
  SELECT start.episode, turn::INT AS turn, minimum, event, r.frame AS frame_idx FROM r JOIN start USING (pick) WHERE status = 'accepted'"""

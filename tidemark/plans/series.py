@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import candidates as C
 from tidemark.operators import signals as S
-from tidemark.plans.ctes import EPISODES, FRAMES, HANDS, TRUTHS
+from tidemark.plans.ctes import FRAMES, HANDS, TRUTHS
 from tidemark.sources import tables as T
 
 E = F.expr
