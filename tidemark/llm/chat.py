@@ -10,6 +10,7 @@ becomes "<\\|" (in roles also newline a backslash and n), so control strings occ
 
 Defined results: null role and null text are empty; turns that are equal or null keep an order by turn (null first),
 role, text; a null conversation id is a conversation; an empty table gives an empty result. Other columns are ignored.
+The query adds a conversation -1; rows of that id in the table itself are turns of the same conversation.
 """
 
 from __future__ import annotations

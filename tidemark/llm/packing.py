@@ -6,7 +6,8 @@ piece gives way to the two unpacked pieces that fit the expanded gap most tightl
 works on counts by length, so its memory is its share of short rows; at most a bin or two of each share are not full.
 
 Defined results: null text counts as empty and gives one piece of the end token; repeated rows are packed each; a null
-doc_id stays null; an empty table gives an empty result. Other columns are ignored.
+doc_id stays null; texts of any length are tokenized whole and cut at the capacity alone; an empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
