@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tidemark.streaming.waiting import InputsMissing, run_when_whole, signal_files
@@ -68,3 +70,28 @@ def test_missing_inputs_end_the_query(place):
     with pytest.raises(Exception, match="a lacks pinch: 2 of 2 frames") as e:
         place.run(keep=False)
     assert InputsMissing.__name__ in str(e.value)
+
+
+def test_many_episodes_share_few_states_and_grow(spark, tmp_path):
+    """700 episodes of 1 to 40 frames over three files, their lengths first told too small; against counting."""
+    draw = random.Random(5)
+    n = {e: draw.randint(1, 40) for e in range(700)}
+    sent = [(e, signal, i, n[e] if i % 3 == 0 else draw.randint(i + 1, n[e]), draw.choice([1.0, 1.0, 1.0, None]) if e % 4 == 0 else 2.0) for e in n for signal in ("speed", "pinch") for i in range(n[e])]
+    draw.shuffle(sent)
+    sent += [(e, "speed", 0, n[e], 0.0) for e in n]
+    (tmp_path / "marker").mkdir()
+    for i in range(3):
+        spark.createDataFrame(sent[i::3], SIGNALS.replace("episode string", "episode long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "signals"))
+    got = []
+    keep = lambda status: lambda df: got.extend((r.episode, status, r.num_frames, r.lacks if status == "failed" else "") for r in df.collect())
+    for last in (False, True):
+        if last:
+            spark.createDataFrame([(1,)], "done int").write.mode("append").parquet(str(tmp_path / "marker"))
+        q = run_when_whole(signal_files(spark, str(tmp_path / "signals"), SIGNALS.replace("episode string", "episode long"), 1), keep("ready"), str(tmp_path / "checkpoint"), signal_files(spark, str(tmp_path / "marker"), "done int"), failed=keep("failed"), groups=8)
+        q.awaitTermination(90)
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    valid = {(e, signal, i) for e, signal, i, _, v in sent if v is not None}
+    for e, status, frames, lacks in got:
+        lack = {s: sum((e, s, i) not in valid for i in range(n[e])) for s in ("speed", "pinch")}
+        assert (status, frames, lacks) == ("failed" if any(lack.values()) else "ready", n[e], ", ".join(f"{s}: {m} of {n[e]} frames" for s, m in lack.items() if m))
+    assert sorted(e for e, *_ in got) == sorted(n)

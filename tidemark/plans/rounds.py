@@ -60,11 +60,12 @@ _LONG = f"""WITH RECURSIVE {S._CUES}, mi AS (SELECT m.episode, num_frames AS n,
 
 
 def _wait(s, d):
-    """Two signals of each episode, some with gaps, streamed file by file; then the marker comes."""
+    """Two signals of each episode, some with gaps, streamed in three batches of files; then the marker comes."""
+    each = -(-T.table(s, d, "events").count() // 500_000) or 1  # files a batch, of a fixed size
     raw = T.frames(s, d).selectExpr("cast(episode as string) as episode", "explode(array(named_struct('signal', 'speed', 'value', if(episode % 5 = 0 and frame_idx % 7 = 3, null, speed)), named_struct('signal', 'pinch', 'value', pinch))) as x", "cast(frame_idx as int) as frame_idx", "num_frames")
     raw = raw.selectExpr("episode", "x.signal", "frame_idx", "num_frames", "x.value").where("not (signal = 'pinch' and cast(episode as bigint) % 7 = 0 and frame_idx = 0)")
     at, out = fresh(s, "signals"), fresh(s, "waited")
-    raw.repartition(3, "frame_idx", "signal").write.parquet(at)
+    raw.repartition(3 * each, "episode", "frame_idx", "signal").write.parquet(at)
     done, checkpoint = fresh(s, "marker"), fresh(s, "waiting")
     names = T.table(s, d, "region").select("r_name")
     names.limit(0).write.parquet(done)
@@ -73,8 +74,8 @@ def _wait(s, d):
         if last:
             names.write.mode("append").parquet(done)
         run_when_whole(
-            signal_files(s, at, raw.schema, 1), lambda df: df.selectExpr(*shape, "'ready' as status", "'' as lacks").write.mode("append").parquet(out), checkpoint, signal_files(s, done, names.schema),
-            failed=lambda df: df.selectExpr(*shape, "'failed' as status", "lacks").write.mode("append").parquet(out),
+            signal_files(s, at, raw.schema, each), lambda df: df.selectExpr(*shape, "'ready' as status", "'' as lacks").write.mode("append").parquet(out), checkpoint, signal_files(s, done, names.schema),
+            failed=lambda df: df.selectExpr(*shape, "'failed' as status", "lacks").write.mode("append").parquet(out), groups=64 * each,
         ).awaitTermination()
     return s.read.schema("episode long, num_frames int, status string, lacks string").parquet(out)
 
