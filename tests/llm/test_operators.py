@@ -66,6 +66,20 @@ def test_interval_expansion():
     assert all((group[i] == group[i + 1]) == (strings[i] == strings[i + 1]) for i in range(len(text) - 1) if 0 not in strings[i] and 0 not in strings[i + 1])
 
 
+@pytest.mark.parametrize("length", [9, 16, 33, 64, 100])
+def test_intervals_start_from_the_longest_sorted_strings(length):
+    draw = np.random.default_rng(length)
+    base = draw.integers(1, 4, 400).astype(np.uint8)
+    parts = [base[a : a + n] for a, n in zip(draw.integers(0, 300, 60), draw.integers(1, 200, 60), strict=True)] + [np.full(150, 2, np.uint8)]
+    text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint8)
+    assert suffix_dedup.suffix_array(text, length)[2] == 1 << length.bit_length() - 1  # 64 for 100: 36 levels to go, not 92
+    order, group = suffix_dedup.intervals(text, length)
+    whole = [text[i : i + length].tobytes() for i in range(len(text) - length + 1) if text[i : i + length].all()]
+    name = dict(zip(order.tolist(), group.tolist(), strict=True))
+    named = [(text[i : i + length].tobytes(), name[i]) for i in range(len(text) - length + 1) if text[i : i + length].all()]
+    assert len(set(named)) == len(set(whole)) == len({g for _, g in named})
+
+
 def test_jaccard_join(docs, texts, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == X.jaccard_groups(texts)

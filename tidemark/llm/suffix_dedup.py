@@ -29,53 +29,72 @@ from tidemark.llm.common import table
 from tidemark.llm.seeds import LAST, Plan, keyed, ranges, repeated, runs, whole_keys
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order of their suffixes' first `depth` bytes, at least, and for each row whether its first 8 bytes differ from the row's before."""
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in order of their suffixes' first `depth` bytes, at least; for each row whether its first `known` bytes differ from the row's before; known, at most depth, from 8 on.
+
+    Places double the bytes that they are sorted by; only those that equal another are sorted anew.
+    """
     n = len(text)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    have, start = 8, None
+    have = 8
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        start = new if start is None else start
-        if have >= depth or new.all():
-            return order, start
+        known, at = new, have
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        tied = np.flatnonzero(tied)
+        if have >= depth or not len(tied):
+            return order, known, at
+        ordered = np.cumsum(new)
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new)
-        key = rank << np.uint64(32)
-        key[: max(0, n - have)] |= rank[have:]
+        rank[order] = ordered
+        place = order[tied]
+        key = ordered[tied].astype(np.uint64) << np.uint64(32)
+        further = place + have < n
+        key[further] |= rank[place[further] + have]
+        o = np.argsort(key, kind="stable")
+        order[tied], key = place[o], key[o]
+        new = new.copy()
+        new[tied[1:]] |= key[1:] != key[:-1]
         have *= 2
+        if have > depth:
+            return order, known, at
 
 
 def intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of text (0 parts its strings) and, for each row, its interval of strings equal over `length` bytes.
 
-    Only rows in intervals of two or more go on: what precedes a string that stands once stands once as well.
+    The array gives the intervals of the longest strings, up to `length`, whose order its sorting went through; they are
+    extended from there. Only rows in intervals of two or more go on: what precedes a string that stands once stands once
+    as well.
     """
-    order, first = suffix_array(text, length)
+    order, new, known = suffix_array(text, length)
     bwt = text[order - 1]
     before = np.empty(len(text), np.int64)  # row of the suffix that starts one byte earlier
     before[np.argsort(bwt, kind="stable")] = np.arange(len(text))
-    live, group, new = np.arange(len(text)), np.zeros(len(text), np.int64), first
-    for have in range(8, length + 1):
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        live, group = live[several], group[several]
+    live, group = np.arange(len(text)), np.zeros(len(text), np.int64)
+    for have in range(known, length + 1):
+        # a row goes on unless it and the next are both first of their intervals
+        several = ~new
+        several[:-1] |= ~new[1:]
+        live, new = live[several], new[several]
         if have == length or not len(live):
             break
+        group = np.cumsum(new)
         symbol = bwt[live]
         o = np.argsort(symbol, kind="stable")
         symbol, group, live = symbol[o], group[o], before[live[o]]
         new = np.ones(len(live), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
     out = np.arange(len(text))
-    out[live] = len(text) + group
+    out[live] = len(text) + np.cumsum(new)
     return order, out
 
 
