@@ -173,6 +173,27 @@ def test_long_lines_meet_as_often_as_short_ones(spark):
     assert sum(bool(got[2 * i] & got[2 * i + 1]) for i in range(pairs)) >= 0.99 * pairs
 
 
+def test_shingles_go_four_a_row(spark):
+    """An aggregate takes in a quarter as many rows as a line has shingles, and none is left out or made up."""
+    draw = random.Random(9)
+    lines = ["".join(draw.choice("abc \U0001f600é") for _ in range(n)) for n in (*range(1, 30), 200, 1001)]
+    df = spark.createDataFrame(list(enumerate(lines)), "key long, line string")
+    whole = df.select("key", F.expr(line_dedup._units("line")).alias("u")).select("key", "u", F.explode(F.expr(line_dedup._starts("u", 8))).alias("i")).select("key", F.expr(line_dedup._shingle("u", 8, "hash")).alias("h"))
+    want, count = {}, {}
+    for key, h in whole.collect():
+        want.setdefault(key, set()).add(h)
+        count[key] = count.get(key, 0) + 1
+    blocks = line_dedup._blocks(df, 8)
+    got, rows = {}, {}
+    for key, *hs in blocks.collect():
+        got.setdefault(key, set()).update(hs)
+        rows[key] = rows.get(key, 0) + 1
+    assert got == want and rows == {key: -(-n // 4) for key, n in count.items()}
+    for r in line_dedup.bitmaps(line_dedup.counted(df, 8), 8).collect():
+        bits = {64 * i + b for i in range(line_dedup.WORDS) for b in range(64) if (r[f"w{i}"] >> b) & 1}
+        assert bits == {64 * (((h & 0xFFFFFFFF) >> 6) % line_dedup.WORDS) + (h & 63) for h in want[r.key]}
+
+
 def test_line_similarity_is_exact(spark):
     pairs = [("abcdefghijkl", "abcdefghijkm"), ("short", "short"), ("é" * 12, "é" * 11 + "x")]
     df = spark.createDataFrame(pairs, "line_a string, line_b string")

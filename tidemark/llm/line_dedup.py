@@ -25,6 +25,7 @@ from tidemark.llm.common import discard, joined, materialize, partitions, spread
 from tidemark.llm.seeds import LAST
 
 WORDS = 32  # longs of a line's bitmap
+BLOCK = 4  # shingles in a row
 
 
 def _units(line: str) -> str:
@@ -41,12 +42,18 @@ def _shingle(units: str, k: int, kind: str = "xxhash64") -> str:
     return f"{kind}(substring({units}, 2 * i + 1, {2 * k}))"
 
 
+def _blocks(lines: DataFrame, k: int, *columns: str) -> DataFrame:
+    """key, columns and h0, h1, ... (hashes of BLOCK shingles in turn) for all shingles of lines(key, line), so that an aggregate takes in BLOCK of them a row; a line's last block repeats its last shingle."""
+    units = lines.select("key", *columns, F.expr(_units("line")).alias("u")).withColumn("last", F.expr(f"greatest(cast(length(u) div 2 as int) - {k}, 0)"))
+    begins = units.select("key", *columns, "u", "last", F.explode(F.expr(f"sequence(0, last, {BLOCK})")).alias("i"))
+    return begins.select("key", *columns, *(F.expr(f"hash(substring(u, 2 * least(i + {j}, last) + 1, {2 * k}))").alias(f"h{j}") for j in range(BLOCK)))
+
+
 def signatures(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """key and buckets array<long> of each key of lines(key, line), from all shingles of a line, whatever its length."""
     masks = np.random.default_rng(3).integers(-(1 << 31), (1 << 31) - 1, bands * rows)
-    units = lines.select("key", F.expr(_units("line")).alias("u"))
-    hashes = units.select("key", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", F.expr(_shingle("u", k, "hash")).alias("h"))
-    minima = hashes.groupBy("key").agg(*(F.min(F.expr(f"h ^ {m}")).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
+    least = lambda m: "least(" + ", ".join(f"h{j} ^ {m}" for j in range(BLOCK)) + ")"
+    minima = _blocks(lines, k).groupBy("key").agg(*(F.min(F.expr(least(m))).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
     return minima.select("key", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands))).alias("buckets"))
 
 
@@ -76,9 +83,9 @@ def counted(lines: DataFrame, k: int) -> DataFrame:
 
 def bitmaps(lines: DataFrame, k: int) -> DataFrame:
     """key, n and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line, n)."""
-    hashes = lines.select("key", "n", F.expr(_units("line")).alias("u")).select("key", "n", "u", F.explode(F.expr(_starts("u", k))).alias("i")).select("key", "n", F.expr(_shingle("u", k, "hash")).alias("h"))
-    hashes = hashes.select("key", "n", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, h & 63)").alias("bit"))
-    return hashes.groupBy("key").agg(F.max("n").alias("n"), *(F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"w{i}") for i in range(WORDS)))
+    bits = _blocks(lines, k, "n").select("key", "n", *(F.expr(x).alias(f"{c}{j}") for j in range(BLOCK) for c, x in (("word", f"shiftrightunsigned(h{j}, 6) & {WORDS - 1}"), ("bit", f"shiftleft(1L, h{j} & 63)"))))
+    within = lambda i: " | ".join(f"if(word{j} = {i}, bit{j}, 0L)" for j in range(BLOCK))
+    return bits.groupBy("key").agg(F.max("n").alias("n"), *(F.expr(f"bit_or({within(i)})").alias(f"w{i}") for i in range(WORDS)))
 
 
 def _may_link(threshold: float) -> str:
@@ -163,11 +170,12 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     solid = lines.select("key", "line")
 
     signed = materialize(signatures(solid, k, bands, rows), "line-signatures")
-    buckets = signed.select("key", F.explode("buckets").alias("bucket"))
+    buckets = signed.select("key", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
-    members = materialize(buckets.join(shared, "bucket", "left_semi").distinct(), "line-buckets")
+    # the smaller sides of these joins are hashed, so that neither all buckets nor all texts are sorted
+    members = materialize(buckets.join(shared.hint("shuffle_hash"), "bucket", "left_semi"), "line-buckets")
     discard(signed)
-    known = materialize(solid.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")).transform(counted, k), "line-texts")
+    known = materialize(solid.join(members.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")).transform(counted, k), "line-texts")
     found = linked(members, known, k, threshold)
     discard(members, known)
 
@@ -175,7 +183,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     firsts = lines.groupBy("key").agg(F.min(F.struct("doc", "rk", "ln")).alias("first")).join(found, F.col("key") == F.col("node"), "left")
     kept = firsts.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
     stays = materialize(kept.groupBy(F.col("first.rk").alias("rk")).agg(F.collect_list("first.ln").alias("firsts")), "line-stays")
-    out = named.join(stays, "rk", "left").withColumn("lines", F.split("text", "\n"))
+    out = named.join(stays.hint("shuffle_hash"), "rk", "left").withColumn("lines", F.split("text", "\n"))
     out = out.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(plain(x) == "", i)), lambda i: i.isNotNull()))
     out = out.withColumn("stay", F.array_sort(F.concat("blank", F.coalesce("firsts", F.array().cast("array<int>")))))
     out = out.withColumn("left", F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n"))
