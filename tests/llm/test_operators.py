@@ -194,6 +194,22 @@ def test_shingles_go_four_a_row(spark):
         assert bits == {64 * (((h & 0xFFFFFFFF) >> 6) % line_dedup.WORDS) + (h & 63) for h in want[r.key]}
 
 
+def test_each_distinct_line_is_signed_once(spark, monkeypatch):
+    """Repeated lines are one row before they are signed, and lie by key, so that no shuffle follows."""
+    seen, inner = [], line_dedup.signatures
+
+    def signatures(lines, *rest):
+        out = inner(lines, *rest)
+        seen.append((lines.count(), lines.select("key").distinct().count(), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "signatures", signatures)
+    rows = [(i, f"one line that all of the documents have\nline number {i // 2} that two of them have\n\n ONE line that all of the documents have") for i in range(40)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("n_removed < 3").collect()
+    assert [x[:2] for x in seen] == [(21, 21)] and "Exchange" not in seen[0][2]
+    assert {x.doc_id for x in got} and min(x.doc_id for x in got) == 0 and next(x for x in got if not x.doc_id).n_removed == 1
+
+
 def test_line_similarity_is_exact(spark):
     pairs = [("abcdefghijkl", "abcdefghijkm"), ("short", "short"), ("é" * 12, "é" * 11 + "x")]
     df = spark.createDataFrame(pairs, "line_a string, line_b string")

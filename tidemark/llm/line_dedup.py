@@ -21,11 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, joined, materialize, partitions, spread, table
+from tidemark.llm.common import bucketed, discard, joined, materialize, partitions, spread, table
 from tidemark.llm.seeds import LAST
 
+BLANK = " \t\r\f\x0b"
 WORDS = 32  # longs of a line's bitmap
 BLOCK = 4  # shingles in a row
+WIDE = 16  # the same where many minima are taken of them
 
 
 def _units(line: str) -> str:
@@ -42,18 +44,23 @@ def _shingle(units: str, k: int, kind: str = "xxhash64") -> str:
     return f"{kind}(substring({units}, 2 * i + 1, {2 * k}))"
 
 
-def _blocks(lines: DataFrame, k: int, *columns: str) -> DataFrame:
-    """key, columns and h0, h1, ... (hashes of BLOCK shingles in turn) for all shingles of lines(key, line), so that an aggregate takes in BLOCK of them a row; a line's last block repeats its last shingle."""
+def _places(units: str, k: int) -> str:
+    """The same in bytes of units, from 1: what substring() takes, without arithmetic on each."""
+    return f"sequence(1, 2 * greatest(cast(length({units}) div 2 as int) - {k}, 0) + 1, 2)"
+
+
+def _blocks(lines: DataFrame, k: int, *columns: str, block: int = BLOCK) -> DataFrame:
+    """key, columns and h0, h1, ... (hashes of `block` shingles in turn) for all shingles of lines(key, line), so that an aggregate takes in `block` of them a row; a line's last block repeats its last shingle."""
     units = lines.select("key", *columns, F.expr(_units("line")).alias("u")).withColumn("last", F.expr(f"greatest(cast(length(u) div 2 as int) - {k}, 0)"))
-    begins = units.select("key", *columns, "u", "last", F.explode(F.expr(f"sequence(0, last, {BLOCK})")).alias("i"))
-    return begins.select("key", *columns, *(F.expr(f"hash(substring(u, 2 * least(i + {j}, last) + 1, {2 * k}))").alias(f"h{j}") for j in range(BLOCK)))
+    begins = units.select("key", *columns, "u", "last", F.explode(F.expr(f"sequence(0, last, {block})")).alias("i"))
+    return begins.select("key", *columns, *(F.expr(f"hash(substring(u, 2 * least(i + {j}, last) + 1, {2 * k}))").alias(f"h{j}") for j in range(block)))
 
 
 def signatures(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """key and buckets array<long> of each key of lines(key, line), from all shingles of a line, whatever its length."""
     masks = np.random.default_rng(3).integers(-(1 << 31), (1 << 31) - 1, bands * rows)
-    least = lambda m: "least(" + ", ".join(f"h{j} ^ {m}" for j in range(BLOCK)) + ")"
-    minima = _blocks(lines, k).groupBy("key").agg(*(F.min(F.expr(least(m))).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
+    least = lambda m: "least(" + ", ".join(f"h{j} ^ {m}" for j in range(WIDE)) + ")"
+    minima = _blocks(lines, k, block=WIDE).groupBy("key").agg(*(F.min(F.expr(least(m))).alias(f"m{i}") for i, m in enumerate(masks.tolist())))
     return minima.select("key", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands))).alias("buckets"))
 
 
@@ -64,13 +71,14 @@ def _grams(units: str, k: int) -> str:
 def similarity(k: int, known: bool = False) -> Column:
     """Exact Jaccard similarity of the shingle sets of columns line_a and line_b; known: grams_a and grams_b hold the sets, or null.
 
-    transform() over one element names a value.
+    transform() over one element names the units. Sets and their sizes are outside of it, in generated code; a projection
+    works out once what is written twice here, a filter does not.
     """
-    sets = [f"transform(array({_units(f'line_{c}')}), u -> {_grams('u', k)})[0]" for c in "ab"]
+    sets = [f"array_distinct(transform(array({_units(f'line_{c}')}), u -> transform({_places('u', k)}, i -> xxhash64(substring(u, i, {2 * k}))))[0])" for c in "ab"]
     if known:
         sets = [f"coalesce(grams_{c}, {x})" for c, x in zip("ab", sets, strict=True)]
-    sizes = f"transform(array(named_struct('a', {sets[0]}, 'b', {sets[1]})), s -> named_struct('all', size(s.a) + size(s.b), 'both', size(array_intersect(s.a, s.b))))"
-    return F.expr(f"transform({sizes}, s -> s.both / (s.all - s.both))[0]")
+    either = f"size(array_distinct(concat({sets[0]}, {sets[1]})))"
+    return F.expr(f"(size({sets[0]}) + size({sets[1]}) - {either}) / {either}")
 
 
 def counted(lines: DataFrame, k: int) -> DataFrame:
@@ -82,10 +90,12 @@ def counted(lines: DataFrame, k: int) -> DataFrame:
 
 
 def bitmaps(lines: DataFrame, k: int) -> DataFrame:
-    """key, n and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line, n)."""
-    bits = _blocks(lines, k, "n").select("key", "n", *(F.expr(x).alias(f"{c}{j}") for j in range(BLOCK) for c, x in (("word", f"shiftrightunsigned(h{j}, 6) & {WORDS - 1}"), ("bit", f"shiftleft(1L, h{j} & 63)"))))
-    within = lambda i: " | ".join(f"if(word{j} = {i}, bit{j}, 0L)" for j in range(BLOCK))
-    return bits.groupBy("key").agg(F.max("n").alias("n"), *(F.expr(f"bit_or({within(i)})").alias(f"w{i}") for i in range(WORDS)))
+    """key, n and w0, w1, ... (the bits that its shingles set) of each key of lines(key, line, n). Lines dealt by key stay where they are."""
+    units = lines.select("key", "n", F.expr(_units("line")).alias("u")).select("key", "n", "u", F.explode(F.expr(_places("u", k))).alias("i"))
+    bits = units.select("key", "n", F.expr(f"hash(substring(u, i, {2 * k}))").alias("h")).select("key", "n", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1} AS word"), F.expr("shiftleft(1L, h & 63) AS bit"))
+    # a word of a line is a row first: a shingle changes one number, not one of each word
+    words = bits.groupBy("key", "n", "word").agg(F.expr("bit_or(bit)").alias("bits"))
+    return words.groupBy("key").agg(F.max("n").alias("n"), *(F.expr(f"bit_or(if(word = {i}, bits, 0L))").alias(f"w{i}") for i in range(WORDS)))
 
 
 def _may_link(threshold: float) -> str:
@@ -105,8 +115,8 @@ def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivot
     """
     spark, rows, keys = members.sparkSession, members.count(), texts.count()
     texts = counted(texts, k) if "grams" not in texts.columns else texts
-    shapes = bitmaps(texts, k).join(members.groupBy("key").agg(F.collect_set("bucket").alias("all")), "key")
-    shapes = materialize(spread(shapes, keys, 20_000), "line-bitmaps")
+    shapes = bitmaps(texts.repartition(partitions(spark), "key"), k).join(members.groupBy("key").agg(F.collect_set("bucket").alias("all")), "key")
+    shapes = materialize(shapes, "line-bitmaps")
     lines = [texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}"), F.col("grams").alias(f"grams_{c}")) for c in "ab"]
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -114,8 +124,10 @@ def linked(members: DataFrame, texts: DataFrame, k: int, threshold: float, pivot
         n = pairs.count()
         # dealt by number of pairs, as their work does not follow their bytes
         both = spread(pairs.join(lines[0], "a"), max(n, keys)).repartition(min(-(-n // 1000) or 1, max(200, partitions(spark))), "b").join(lines[1], "b")
-        links = materialize(both.where(similarity(k, known=True) >= threshold).select("a", "b"), "line-links")
+        scored = materialize(both.select("a", "b", similarity(k, known=True).alias("similarity")), "line-links")
         discard(pairs)
+        links = scored.where(F.col("similarity") >= threshold).select("a", "b")
+        links.stored = scored.stored
         return links
 
     # the smallest of each bucket
@@ -165,26 +177,32 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     """
     raw = F.col(text)
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(doc_id), raw).alias("rk"), raw.alias("text"), F.struct(*(F.col(c) for c in keep) or (F.lit(0).alias("none"),)).alias("rest"))
-    plain = lambda line: F.lower(F.btrim(line, F.lit(" \t\r\f\x0b")))
-    lines = named.select("doc", "rk", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("line", plain(F.col("line"))).where("line <> ''").withColumn("key", F.xxhash64("line"))
+    plain = lambda line: F.lower(F.btrim(line, F.lit(BLANK)))
+    spots = named.select("doc", "rk", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("line", plain(F.col("line"))).where("line <> ''").withColumn("key", F.xxhash64("line"))
+    # each distinct line once with its first place, in buckets by key: what follows by key reads it as it lies
+    parts = partitions(docs.sparkSession)
+    first = spots.groupBy("key").agg(F.min(F.struct("doc", "rk", "ln", "line")).alias("first"))
+    lines = bucketed(first.select("key", "first.line", F.struct("first.doc", "first.rk", "first.ln").alias("first")), "line_distinct", "key", parts)
     solid = lines.select("key", "line")
 
-    signed = materialize(signatures(solid, k, bands, rows), "line-signatures")
-    buckets = signed.select("key", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    # stored in buckets, so that grouping and joining them needs one shuffle
+    buckets = signatures(solid, k, bands, rows).select("key", F.explode(F.array_distinct("buckets")).alias("bucket")).repartition(parts, "bucket")
+    buckets = bucketed(buckets, "line_signatures", "bucket", parts)
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
     # the smaller sides of these joins are hashed, so that neither all buckets nor all texts are sorted
     members = materialize(buckets.join(shared.hint("shuffle_hash"), "bucket", "left_semi"), "line-buckets")
-    discard(signed)
-    known = materialize(solid.join(members.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")).transform(counted, k), "line-texts")
+    discard(buckets)
+    known = materialize(solid.join(members.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").transform(counted, k), "line-texts")
     found = linked(members, known, k, threshold)
     discard(members, known)
 
     # of each component the first line stays: numbers of the lines that stay, by row
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc", "rk", "ln")).alias("first")).join(found, F.col("key") == F.col("node"), "left")
-    kept = firsts.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
+    firsts = lines.select("key", "first").join(found, F.col("key") == F.col("node"), "left")
+    kept = firsts.where("component is null").select("first").unionAll(firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first"))
     stays = materialize(kept.groupBy(F.col("first.rk").alias("rk")).agg(F.collect_list("first.ln").alias("firsts")), "line-stays")
+    discard(lines)
     out = named.join(stays.hint("shuffle_hash"), "rk", "left").withColumn("lines", F.split("text", "\n"))
-    out = out.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(plain(x) == "", i)), lambda i: i.isNotNull()))
+    out = out.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(F.ltrim(x, F.lit(BLANK)) == "", i)), lambda i: i.isNotNull()))
     out = out.withColumn("stay", F.array_sort(F.concat("blank", F.coalesce("firsts", F.array().cast("array<int>")))))
     out = out.withColumn("left", F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n"))
     return out.select(
